@@ -55,7 +55,7 @@ def _digits(value: Column) -> Column:
 
 
 def _card_ok(value: Column) -> Column:
-    return F.length(_digits(value)).between(13, 19) & F.coalesce(F.luhn_check(_digits(value)), F.lit(False))
+    return F.length(_digits(value)).between(13, 19) & F.coalesce(F.call_function("luhn_check", _digits(value)), F.lit(False))
 
 
 def _phone_ok(value: Column) -> Column:

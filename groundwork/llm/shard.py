@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import partitions, ranked, written
+from .shared import ranked, written
 
 TOP = 4096
 #: Groups of at most so many bytes are levelled by exact size.
@@ -139,5 +139,3 @@ def shard_documents(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", t
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard")
     )
 
-
-__all__ = ["deal", "partitions", "shard_documents"]
