@@ -103,20 +103,26 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     A span is a half-open range of code points. Null text counts as empty. Spans of different
     kinds may overlap, spans of one kind do not. Rows are independent; other columns are not read.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return with_spans(rows)
+
+
+def with_spans(rows: DataFrame) -> DataFrame:
+    """``rows`` with a column ``spans`` (see ``find_spans``) for their column ``text``."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    columns = [c for c in rows.columns if c != "spans"]
     # a cheap test per kind keeps most texts away from the patterns
     digit = text.rlike("[0-9]")
-    rows = rows.withColumn("joined", F.when(digit, _joined_digits(text)).otherwise(F.lit("")))
+    rows = rows.withColumn("_joined", F.when(digit, _joined_digits(text)).otherwise(F.lit("")))
     sources = {
         "email": F.when(text.contains("@"), text).otherwise(F.lit("")),
         "ip": F.when(digit & text.contains("."), text).otherwise(F.lit("")),
-        "card": F.col("joined"),
+        "card": F.col("_joined"),
         "phone": F.when(text.contains("+"), text).otherwise(F.lit("")),
         "iban": F.when(digit & text.rlike("[A-Z]{2}[0-9]{2}"), text).otherwise(F.lit("")),
     }
     for kind in KINDS:
-        rows = rows.withColumn(f"m_{kind}", _matches(kind, text, sources[kind]))
+        rows = rows.withColumn(f"_m_{kind}", _matches(kind, text, sources[kind]))
 
     def scored(kind: str) -> Column:
         def rate(s: Column) -> Column:
@@ -124,9 +130,9 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             bonus = F.when(near.rlike(rf"(?:^|[^a-z])(?:{CONTEXT[kind]})(?:[^a-z]|$)"), CONTEXT_BONUS).otherwise(0.0)
             return F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), F.round(F.lit(PRIOR[kind]) + bonus, 2).alias("score"))
 
-        return F.transform(F.filter(F.col(f"m_{kind}"), lambda s: _OK[kind](s["value"])), rate).cast(_SPAN)
+        return F.transform(F.filter(F.col(f"_m_{kind}"), lambda s: _OK[kind](s["value"])), rate).cast(_SPAN)
 
-    return rows.select("doc_id", "text", F.concat(*(scored(kind) for kind in KINDS)).alias("spans"))
+    return rows.select(*(F.col(f"`{c}`") for c in columns), F.concat(*(scored(kind) for kind in KINDS)).alias("spans"))
 
 
 def span_digest(spans: Column, kinds=KINDS) -> Column:
