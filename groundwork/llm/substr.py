@@ -233,17 +233,31 @@ def _later(h, v, d, p) -> tuple[np.ndarray, ...]:
     return h, v, d, p, d > np.repeat(d[cut], np.diff(np.append(cut, len(h))))
 
 
-def _positions(d: np.ndarray, p: np.ndarray) -> pa.RecordBatch:
+def _positions(d: np.ndarray, p: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Rows of (range of documents, documents, starts): one for each range, not each document."""
+    part = (mix(d.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+    order = np.lexsort((p, d, part))
+    d, p, part = d[order], p[order].astype(np.uint32), part[order]
+    cut = _by_run(part)
+    none = [None] * len(cut)
+    split = lambda x: [y.tobytes() for y in np.split(x, cut[1:])] if len(cut) else []
+    return _found(part[cut].tolist(), none, none, none, split(d), split(p))
+
+
+def _starts(table: pa.Table) -> pa.Table:
+    """All starts of a range of documents: one row for each document."""
+    d = np.frombuffer(b"".join(table.column("d").to_pylist()), np.int64)
+    p = np.frombuffer(b"".join(table.column("p").to_pylist()), np.uint32)
     order = np.lexsort((p, d))
     d, p = d[order], p[order]
     cut = _by_run(d)
-    none = [None] * len(cut)
-    return _found(none, d[cut].tolist(), none, none, none, [x.astype(np.uint32).tobytes() for x in np.split(p, cut[1:])] if len(cut) else [])
+    return pa.table({"doc_id": pa.array(d[cut], pa.int64()), "p": pa.array([x.tobytes() for x in np.split(p, cut[1:])] if len(cut) else [], pa.binary())})
 
 
 def repeated_windows(flagged: DataFrame, buckets: int, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     """Verify: ``flagged`` has ``doc_id, text, prints``; returns ``(doc_id, p)``, the
     starts (uint32) of windows whose word sequence starts in a smaller document too."""
+    ranges = max(16, partitions(flagged.sparkSession))  # of documents, for the way back
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lot in _gathered(batches, 16 << 20):
@@ -263,7 +277,7 @@ def repeated_windows(flagged: DataFrame, buckets: int, width: int = WIDTH, gram:
             if not len(h):
                 continue
             if later.any():
-                yield _positions(d[later], p[later])
+                yield _positions(d[later], p[later], ranges)
             h, v, d, p = h[~later], v[~later], d[~later], p[~later]
             part = (h >> np.uint64(40)).astype(np.int64) % buckets
             order = np.argsort(part, kind="stable")
@@ -275,11 +289,12 @@ def repeated_windows(flagged: DataFrame, buckets: int, width: int = WIDTH, gram:
     def reduce(table: pa.Table) -> pa.Table:
         cols = [np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("h", np.uint64), ("v", np.uint32), ("d", np.int64), ("p", np.uint32))]
         _, _, d, p, later = _later(*cols)
-        return pa.Table.from_batches([_positions(d[later], p[later])])
+        return pa.Table.from_batches([_positions(d[later], p[later], ranges)])
 
-    step = written(flagged.mapInArrow(run, _FOUND), "windows")
-    rest = step.where("bucket is not null").groupBy("bucket").applyInArrow(reduce, _FOUND)
-    return step.where("bucket is null").unionByName(rest).select("doc_id", "p")
+    step = written(flagged.mapInArrow(run, _FOUND), "windows")  # windows, and positions where h is null
+    rest = step.where("h is not null").groupBy("bucket").applyInArrow(reduce, _FOUND)
+    places = step.where("h is null").unionByName(rest).select("bucket", "d", "p")
+    return places.groupBy("bucket").applyInArrow(_starts, "doc_id long, p binary")
 
 
 def _cut(width: int, keep_text: bool):
@@ -288,10 +303,9 @@ def _cut(width: int, keep_text: bool):
             raw, offsets = text_bytes(part.column("text"))
             starts, ends, first = word_runs(raw, offsets)
             gone = np.zeros(len(starts), bool)
-            for r, parts in enumerate(part.column("starts")):
-                lists = parts.as_py()
-                if lists:
-                    at = np.unique(np.frombuffer(b"".join(lists), np.uint32)).astype(np.int64)
+            for r, own in enumerate(part.column("starts")):
+                if own.is_valid:
+                    at = np.unique(np.frombuffer(own.as_py(), np.uint32)).astype(np.int64)
                     change = np.zeros(first[r + 1] - first[r] + 1, np.int64)
                     change[at] += 1
                     np.add.at(change, np.minimum(at + width, len(change) - 1), -1)
@@ -339,7 +353,6 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         found = index.add(batch)
         flags = found if flags is None else flags.unionByName(found)
     prints = flags.groupBy("doc_id").agg(F.collect_list("a").alias("prints"))
-    again = written(repeated_windows(table.join(prints, "doc_id"), index.buckets, width, gram), "repeats")
-    starts = again.groupBy("doc_id").agg(F.collect_list("p").alias("starts"))
+    starts = written(repeated_windows(table.join(prints, "doc_id"), index.buckets, width, gram), "repeats").withColumnRenamed("p", "starts")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if keep_text else "")
     return table.join(starts, "doc_id", "left").mapInArrow(_cut(width, keep_text), schema)
