@@ -18,7 +18,8 @@ def risk_summary(docs: DataFrame, group: str = "lang", text_col: str = "text") -
 
 def pii_type_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """L1. Documents by category of personal data."""
-    return docs.select(F.explode(found_categories(resolve_pii(normalise_ws(text_col)))).alias("category")).groupBy("category").agg(F.count(F.lit(1)).alias("documents"))
+    rows = docs.select(normalise_ws(text_col).alias("body"))
+    return rows.select(F.explode(found_categories(resolve_pii(F.col("body")))).alias("category")).groupBy("category").agg(F.count(F.lit(1)).alias("documents"))
 
 
 def ground_foreign(claims: DataFrame, docs: DataFrame, min_share: float = 0.5, max_df: float = 0.05, k: int = 3) -> DataFrame:

@@ -24,6 +24,7 @@ from ..functions.text import (
     truncate_words,
     word_count,
 )
+from ..sources.tables import written
 
 
 def key_of(col: Column) -> Column:
@@ -233,12 +234,13 @@ def risk_markers(sentences: DataFrame, most: int = 6) -> DataFrame:
     return _first_lines(sentences, F.col("sentence").rlike(rules.RISK_WORD), most, 200, "risk_markers")
 
 
-def build_knowledge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """F17. One row per document with all of the above. Documents without sentences have empty lists."""
-    rows = row_knowledge(docs, id_col, text_col)
-    sents = sentence_table(docs, id_col, text_col)
-    terms = sentence_terms(sents)
-    scored = score_sentences(sents, terms)
+def build_knowledge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep=written) -> DataFrame:
+    """F17. One row per document with all of the above. Documents without sentences have empty lists.
+    ``keep`` materialises the tables that several parts read."""
+    rows = keep(row_knowledge(docs, id_col, text_col))
+    sents = keep(sentence_table(docs, id_col, text_col))
+    terms = keep(sentence_terms(sents))
+    scored = keep(score_sentences(sents, terms))
     good = usable(scored, rows)
     signals = section_signals(sents).groupBy("doc_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("signal", "sentences")))).alias("section_signals"))
     out = rows.drop("headings")
