@@ -10,6 +10,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from . import rules
 
@@ -29,10 +30,13 @@ def strip(col: Column) -> Column:
     return F.regexp_replace(col, r"^\s+|\s+$", "")
 
 
-@F.pandas_udf("string")
-def nfkc(text: pd.Series) -> pd.Series:
+def nfkc(col: Column) -> Column:
     """Full compatibility normalisation, in Arrow batches (Spark has no function for it)."""
-    return text.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
+
+    def run(text: pd.Series) -> pd.Series:
+        return text.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
+
+    return F.pandas_udf(run, StringType())(col)
 
 
 def normalise_ws(col: Column | str, full: bool = False) -> Column:

@@ -54,9 +54,8 @@ def read_delimited(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
 
 
 def normalise_json(col: Column) -> Column:
-    """A4. Valid JSON written anew with indentation; other text as it is."""
-    valid = F.is_variant_null(F.try_parse_json(col)).isNotNull()
-    return F.when(valid, F.to_json(F.try_parse_json(col), {"pretty": "true"})).otherwise(col)
+    """A4. Valid JSON written anew in one form (compact; Spark indents no variants); other text as it is."""
+    return F.coalesce(F.to_json(F.try_parse_json(col)), col)
 
 
 def _unescape(col: Column) -> Column:
