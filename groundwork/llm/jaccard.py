@@ -1,14 +1,16 @@
 """Similarity join of word-shingle sets with signature trees.
 
 Equal sets are one class, so copies never meet each other. A pair of classes with
-similarity t or more shares one of its first shingles in any fixed order (the prefix
-of n - ceil(t n) + 1); the order here is by hash, with frequent shingles last. Classes
-that share a prefix shingle form a list.
+similarity t or more shares k of its first shingles in any fixed order (the prefix
+of n - ceil(t n) + k); the order here is by hash, with frequent shingles last, and k an
+eighth of the size. Classes that share a prefix shingle form a list; a class that shares
+fewer than k with any others leaves all lists.
 
-1. Each list links its members to its smallest class of fitting size. These few
+1. Each list links its members to its smallest class of about their size. These few
    candidates are bounded by their signatures and verified on the whole sets. Lists whose
    members then stand in one component need no further work.
-2. The other lists go through signature trees: a leaf holds the bitmap of a set's
+2. The other lists go twice (first for the likeliest partners of each member, which joins
+   most components, then for everything that is left) through signature trees: a leaf holds the bitmap of a set's
    hashes and its size, a node the OR of its children's bitmaps and their size
    range. Two nodes are traversed together only while the common bits, plus the
    hashes that a bitmap can hide, reach the overlap that their sizes call for, and
@@ -36,7 +38,7 @@ SHINGLE, PERCENT = 5, 75
 #: Frequent shingles put last: at most this many, 8 bytes each. Only the order depends on them.
 FREQUENT = 1 << 15
 SALTS = 16
-BLOCK = 2048
+BLOCK = 1024
 #: Bits of the filter that picks candidates' documents; when it fills up, more sets are shuffled.
 FILTER_BITS = 1 << 23
 _FOLD = [np.uint64(0x9FB21C651E98DF25), np.uint64(0xD1B54A32D192ED03), np.uint64(0xA24BAED4963EE407), np.uint64(0x9E6C63D0676A9A99), np.uint64(0xC2B2AE3D27D4EB4F)]
@@ -74,17 +76,22 @@ def class_of(tokens: np.ndarray) -> int:
 
 
 def signature(tokens: np.ndarray) -> np.ndarray:
-    """Bitmap of a set: the next power of two of twice its size, 64 bits at least."""
+    """Bitmap of a set: the next power of two of four times its size, 64 bits at least."""
     width = 64
-    while width < 2 * len(tokens):
+    while width < 4 * len(tokens):
         width *= 2
     bits = np.zeros(width, np.uint8)
     bits[(tokens >> np.uint64(20)) & np.uint64(width - 1)] = 1
     return np.packbits(bits, bitorder="little").view(np.uint64)
 
 
+def _common(n: int) -> int:
+    """How many prefix shingles linked sets share at least, by the smaller size n."""
+    return max(1, n // 8)
+
+
 def _prefix_size(n: int, percent: int) -> int:
-    return n - -(-percent * n // 100) + 1
+    return min(n, n - -(-percent * n // 100) + _common(n))
 
 
 def _needed(a, b, percent: int):
@@ -193,19 +200,21 @@ def _prefix_lists(docs: DataFrame, heavy, buckets: int, words: int, percent: int
     return docs.mapInArrow(run, schema)
 
 
-def _lists(heavy):
-    """Reduce of one hash range: lists of two classes or more (of frequent shingles: all)."""
+def _lists(heavy, ranges: int):
+    """Reduce of one hash range: lists of two classes or more (of frequent shingles: all parts), and
+    in rows without a shingle how many shared prefix shingles each class has here."""
 
     def reduce(table: pa.Table) -> pa.Table:
         rare_last = heavy.value
         t, c, n = (np.frombuffer(b"".join(table.column(k).to_pylist()), d) for k, d in (("t", np.uint64), ("c", np.int64), ("n", np.uint32)))
-        order = np.lexsort((c, n, t))
+        order = np.lexsort((c, t))
         t, c, n = t[order], c[order], n[order]
         new = np.concatenate([[True], (t[1:] != t[:-1]) | (c[1:] != c[:-1])]) if len(t) else np.zeros(0, bool)
         t, c, n = t[new], c[new], n[new]
         cut = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]])) if len(t) else np.zeros(0, np.int64)
         size = np.diff(np.append(cut, len(t)))
         hot = _is_in(rare_last, t[cut])
+        shared = np.repeat(hot | (size > 1), size)
         # lists with the same members are one list
         with np.errstate(over="ignore"):
             mark = np.add.reduceat(mix(c.view(np.uint64)), cut) if len(cut) else np.zeros(0, np.uint64)
@@ -213,43 +222,51 @@ def _lists(heavy):
         once = np.zeros(len(cut), bool)
         once[first] = True
         keep = hot | ((size > 1) & once)
-        rows = np.repeat(keep, size)
         offsets = np.concatenate([[0], np.cumsum(size[keep])])
-        return pa.table(
+        lists = pa.table(
             {
                 "token": pa.array(t[cut][keep].view(np.int64)),
                 "hot": pa.array(hot[keep]),
                 "mark": pa.array(mark[keep].view(np.int64)),
-                "classes": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(c[rows])),
-                "sizes": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(n[rows].astype(np.int64))),
+                "classes": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(c[np.repeat(keep, size)])),
+                "range": pa.nulls(int(keep.sum()), pa.int32()),
+                "c": pa.nulls(int(keep.sum()), pa.binary()),
+                "n": pa.nulls(int(keep.sum()), pa.binary()),
             }
         )
+        own, at, times = np.unique(c[shared], return_index=True, return_counts=True)
+        sizes = n[shared][at]
+        where = (mix(own.view(np.uint64)) % np.uint64(ranges)).astype(np.int64)
+        order = np.argsort(where, kind="stable")
+        own, sizes, times, where = own[order], sizes[order], times[order], where[order]
+        edge = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]])) if len(own) else np.zeros(0, np.int64)
+        split = lambda x: [y.tobytes() for y in np.split(x, edge[1:])] if len(edge) else []
+        counts = np.stack([sizes, times], axis=1).astype(np.uint32) if len(own) else np.empty((0, 2), np.uint32)
+        k = len(edge)
+        rows = pa.table(
+            {
+                "token": pa.nulls(k, pa.int64()), "hot": pa.nulls(k, pa.bool_()), "mark": pa.nulls(k, pa.int64()), "classes": pa.nulls(k, pa.list_(pa.int64())),
+                "range": pa.array(where[edge], pa.int32()), "c": pa.array(split(own), pa.binary()), "n": pa.array(split(counts), pa.binary()),
+            }
+        )
+        return pa.concat_tables([lists, rows])
 
     return reduce
 
 
-def _star_edges(percent: int):
-    """Per list (ascending sizes), each member with the first of its stretch of fitting sizes."""
+def _alive(percent: int):
+    """Of a range of classes those with enough shared prefix shingles for a link, and their sizes."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            a_all, b_all = [], []
-            for classes, sizes in zip(b.column("classes"), b.column("sizes"), strict=True):
-                c, n = classes.values.to_numpy(), sizes.values.to_numpy()
-                k = 0
-                while k < len(c):
-                    end = int(np.searchsorted(n, n[k] * 100 // percent, "right"))
-                    end = max(end, k + 1)
-                    lead = k + int(np.argmin(c[k:end]))
-                    a_all.append(np.repeat(c[lead], end - k))
-                    b_all.append(c[k:end])
-                    k = end
-            if a_all:
-                x, y = np.concatenate(a_all), np.concatenate(b_all)
-                pairs = np.unique(np.stack([x, y], axis=1)[x != y], axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
+    def reduce(table: pa.Table) -> pa.Table:
+        c = np.frombuffer(b"".join(table.column("c").to_pylist()), np.int64)
+        n = np.frombuffer(b"".join(table.column("n").to_pylist()), np.uint32).reshape(-1, 2).astype(np.int64)
+        own, first, of = np.unique(c, return_index=True, return_inverse=True)
+        total, size = np.bincount(of, weights=n[:, 1]), n[first, 0]
+        least = np.maximum(1, -(-percent * size // 100) // 8)  # _common of the smallest partner
+        keep = total >= least
+        return pa.table({"class": pa.array(own[keep]), "size": pa.array(size[keep])})
 
-    return run
+    return reduce
 
 
 def _fold(bits: np.ndarray, words: int) -> np.ndarray:
@@ -308,8 +325,9 @@ class SignatureTree:
         return np.repeat(nodes * self.FAN - (np.cumsum(count) - count), count) + np.arange(count.sum()), count
 
 
-def tree_pairs(x: SignatureTree, y: SignatureTree, percent: int, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Leaf pairs that survive the dual traversal, in lots (``same``: of one tree, i < j)."""
+def tree_pairs(x: SignatureTree, y: SignatureTree, percent: int, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Leaf pairs that survive the dual traversal, in lots (``same``: of one tree, i < j),
+    and the ratio of their largest possible overlap to the one that they need."""
     stack = [(len(x.levels) - 1, len(y.levels) - 1, np.array([0]), np.array([0]))]
     while stack:
         lx, ly, i, j = stack.pop()
@@ -322,12 +340,13 @@ def tree_pairs(x: SignatureTree, y: SignatureTree, percent: int, same: bool) ->
         i, j = i[ok], j[ok]
         if len(i):
             common = np.bitwise_count(bx[i] & by[j]).sum(axis=1).astype(np.int64)
-            ok = common + np.minimum(hidx[i], hidy[j]) >= _needed(lowx[i], lowy[j], percent)
-            i, j = i[ok], j[ok]
+            ratio = (common + np.minimum(hidx[i], hidy[j])) / _needed(lowx[i], lowy[j], percent)
+            ok = ratio >= 1
+            i, j, ratio = i[ok], j[ok], ratio[ok]
         if not len(i):
             continue
         if not lx and not ly:
-            yield i, j
+            yield i, j, ratio
             continue
         if lx >= ly:
             kids, n = x.children(lx, i)
@@ -339,10 +358,22 @@ def tree_pairs(x: SignatureTree, y: SignatureTree, percent: int, same: bool) ->
         stack += [(lx, ly, i[k : k + step], j[k : k + step]) for k in range(0, len(i), step)]
 
 
-def _traverse(percent: int):
-    """Dual traversals of the lists in one group: candidate pairs between components."""
+def _best(pairs: np.ndarray, ratio: np.ndarray, most: int) -> np.ndarray:
+    """The pairs that are among the ``most`` likeliest of one of their two members."""
+    keep = np.zeros(len(pairs), bool)
+    for side in (0, 1):
+        order = np.lexsort((-ratio, pairs[:, side]))
+        start = np.flatnonzero(np.concatenate([[True], np.diff(pairs[order, side]) != 0]))
+        number = np.arange(len(pairs)) - np.repeat(start, np.diff(np.append(start, len(pairs))))
+        keep[order[number < most]] = True
+    return pairs[keep]
+
 
-    def one(c, n, label, block, bits, crossing) -> Iterator[np.ndarray]:
+def _traverse(percent: int, most: int | None = None):
+    """Dual traversals of the lists in one group: candidate pairs between components; with
+    ``most`` only the likeliest of each member, in a round that another one follows."""
+
+    def one(c, n, label, block, bits, crossing) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         words = np.array([len(b) // 8 for b in bits])
         for width in np.unique(words):
             # sets of this width, and the next one folded to it: linked sizes differ by less than 2
@@ -370,8 +401,8 @@ def _traverse(percent: int):
                     if len(u) and len(v):
                         tu = SignatureTree(um, n[u], label[u])
                         tv = tu if same else SignatureTree(vm, n[v], label[v])
-                        for i, j in tree_pairs(tu, tv, percent, same):
-                            yield np.stack([np.minimum(c[u[i]], c[v[j]]), np.maximum(c[u[i]], c[v[j]])], axis=1)
+                        for i, j, ratio in tree_pairs(tu, tv, percent, same):
+                            yield np.stack([np.minimum(c[u[i]], c[v[j]]), np.maximum(c[u[i]], c[v[j]])], axis=1), ratio
 
     def reduce(table: pa.Table) -> pa.Table:
         token, i, j = (table.column(k).to_numpy() for k in ("token", "i", "j"))
@@ -382,7 +413,15 @@ def _traverse(percent: int):
         found = []
         for own in np.split(order, cut[1:]):
             cross = (i[own[0]], j[own[0]])
-            found += one(c[own], n[own], label[own], block[own], [bits[k] for k in own], cross if cross[0] != cross[1] else None)
+            pairs, ratio = [], []
+            for x, y in one(c[own], n[own], label[own], block[own], [bits[k] for k in own], cross if cross[0] != cross[1] else None):
+                pairs.append(x)
+                ratio.append(y)
+                if most and sum(map(len, pairs)) > 4_000_000:
+                    break
+            if pairs:
+                pairs = np.concatenate(pairs)
+                found.append(_best(pairs, np.concatenate(ratio), most) if most else pairs)
             if len(found) > 1000:
                 found = [np.unique(np.concatenate(found), axis=0)]
         pairs = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
@@ -466,23 +505,28 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sizes = rows.agg(F.sum("n_shingles")).first()[0] or 0
     buckets = int(max(4 * partitions(spark), sizes // 4_000_000))
 
-    lists = written(
+    ranges = max(16, partitions(spark))
+    found = written(
         _prefix_lists(table, frequent, buckets, words, percent)
         .groupBy("bucket")
-        .applyInArrow(_lists(frequent), "token long, hot boolean, mark long, classes array<long>, sizes array<long>"),
+        .applyInArrow(_lists(frequent, ranges), "token long, hot boolean, mark long, classes array<long>, range int, c binary, n binary"),
         "lists",
     )
+    alive = found.where("range is not null").select("range", "c", "n").groupBy("range").applyInArrow(_alive(percent), "class long, size long")
+    # lists with the same members are one list; of frequent shingles they are parts and stay
+    lists = found.where("not hot").dropDuplicates(["mark"]).select("token", "classes").unionByName(found.where("hot").select("token", "classes"))
+    members = written(lists.select("token", F.explode("classes").alias("class")).join(alive, "class"), "members")
     signs = rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("size"), F.first("bits").alias("bits"))
     signs = written(signs, "classes")
 
-    # frequent shingles were split by salt: the leaders of the parts meet here
-    stars = lists.mapInArrow(_star_edges(percent), "a long, b long")
-    hot = lists.where("hot").select("token", F.explode(F.arrays_zip("classes", "sizes")).alias("m"))
-    hot = hot.select("token", F.col("m.classes").alias("class"), F.floor(F.log(F.col("m.sizes")) / F.log(F.lit(100 / percent))).alias("step"))
-    leaders = hot.groupBy("token", "step").agg(F.min("class").alias("class"))
-    salted = hot.withColumn("salt", F.pmod(F.xxhash64("class"), F.lit(SALTS))).groupBy("token", "step", "salt").agg(F.min("class").alias("b"))
-    across = salted.join(leaders.withColumnRenamed("class", "a"), ["token", "step"]).where("a <> b").select("a", "b")
-    candidates = stars.unionByName(across).distinct()
+    # each member with the smallest class of its token and size step, and those of neighbouring steps
+    step = F.floor(F.log("size") / F.log(F.lit(100 / percent))).cast("int")
+    stepped = members.withColumn("step", step)
+    leaders = stepped.groupBy("token", "step").agg(F.min("class").alias("a"))
+    upper = leaders.select("token", (F.col("step") - 1).alias("step"), F.col("a").alias("b"))
+    candidates = stepped.join(leaders, ["token", "step"]).where("a <> class").select("a", F.col("class").alias("b"))
+    candidates = candidates.unionByName(leaders.join(upper, ["token", "step"]).where("a <> b").select("a", "b"))
+    candidates = candidates.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
     def with_signs(pairs: DataFrame) -> DataFrame:
         x = signs.select(F.col("class").alias("a"), F.col("size").alias("na"), F.col("bits").alias("xa"))
@@ -492,26 +536,32 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     links = _verified(table, written(with_signs(candidates), "pairs"), words, percent)
     labels = components(links)
 
-    # lists whose members are not yet in one component
-    members = lists.select("token", "hot", "mark", F.explode(F.arrays_zip("classes", "sizes")).alias("m")).select("token", "hot", "mark", F.col("m.classes").alias("class"), F.col("m.sizes").alias("size"))
-    members = members.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
-    members = written(members, "members")
-    open_ = (
-        members.groupBy("token", "hot")
-        .agg(F.min("label").alias("l"), F.max("label").alias("h"), F.count(F.lit(1)).alias("members"), F.sum(F.xxhash64("class").cast("decimal(38,0)")).alias("mark"))
-        .where("l <> h")
-        .withColumn("one", F.row_number().over(Window.partitionBy("mark", "members").orderBy("token")))
-        .where("one = 1")
-        .select("token", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
-    )
-    work = members.drop("hot", "mark").join(open_, "token").join(signs.select("class", "bits"), "class")
-    work = work.withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
-    work = work.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    work = work.select("token", "class", "size", "label", "bits", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    groups = int(max(4 * partitions(spark), 1))
-    second = work.withColumn("group", F.pmod(F.xxhash64("token", "i", "j"), F.lit(groups))).groupBy("group").applyInArrow(_traverse(percent), "a long, b long")
-    second = written(second.distinct(), "pairs")
-    links = written(links.unionByName(_verified(table, second, words, percent)).distinct(), "links")
+    groups = int(4 * partitions(spark))
+    # first the likeliest candidates of each member, which joins most components; then all that is left
+    for most in (1, None):
+        named = members.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
+        open_ = (
+            named.groupBy("token")
+            .agg(F.min("label").alias("l"), F.max("label").alias("h"), F.min("class").alias("lead"), F.count(F.lit(1)).alias("members"), F.sum(F.xxhash64("class").cast("decimal(38,0)")).alias("mark"))
+            .where("l <> h")
+            .withColumn("one", F.row_number().over(Window.partitionBy("mark", "members").orderBy("token")))
+            .where("one = 1")
+            .select("token", "lead", "members", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
+        )
+        work = named.join(open_, "token")
+        if most:  # in this round, the longest lists of each member
+            longest = Window.partitionBy("class").orderBy(F.desc("members"), "token")
+            work = work.withColumn("r", F.row_number().over(longest)).where("r <= 3")
+        work = work.join(signs.select("class", "bits"), "class")
+        work = work.withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+        work = work.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        work = work.select("token", "lead", "class", "size", "label", "bits", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+        # lists of like members have the same smallest one: in one group their pairs are told once
+        pairs = work.withColumn("group", F.pmod(F.xxhash64("lead", "i", "j"), F.lit(groups))).drop("lead").groupBy("group").applyInArrow(_traverse(percent, most), "a long, b long")
+        pairs = written(pairs.distinct(), "pairs")
+        links = written(links.unionByName(_verified(table, pairs, words, percent)).distinct(), "links")
+        if most:
+            labels = components(links)
 
     labels = components(links)
     degree = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))

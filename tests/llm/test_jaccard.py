@@ -70,7 +70,7 @@ def test_tree_loses_no_pair():
     bits = np.stack([jaccard._fold(jaccard.signature(s), 1) for s in sets])
     sizes = np.array([len(s) for s in sets])
     tree = jaccard.SignatureTree(bits, sizes, np.arange(len(sets)))
-    found = {(int(a), int(b)) for i, j in jaccard.tree_pairs(tree, tree, 75, True) for a, b in zip(i, j)}
+    found = {(int(a), int(b)) for i, j, _ in jaccard.tree_pairs(tree, tree, 75, True) for a, b in zip(i, j)}
     for a, b in combinations(range(len(sets)), 2):
         both = len(np.intersect1d(sets[a], sets[b]))
         if 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both):
