@@ -327,6 +327,61 @@ def sql() -> dict[str, str]:
         ", r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY support DESC, doc_id) AS rank FROM s WHERE support >= 0.5) SELECT item_id, rank, doc_id, shared, n_terms, support FROM r WHERE rank <= 3"
     )
     s["l6_exact_duplicates"] = "SELECT doc_id, first_id, copies FROM (SELECT doc_id, min(doc_id) OVER w AS first_id, count(*) OVER w AS copies FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))) WHERE copies > 1"
+    s["i10_regenerate"] = (
+        f"WITH {OUTPUTS} SELECT output_id, CASE WHEN g THEN 'new' ELSE 'title' END AS title, CASE WHEN g THEN upper(body) ELSE body END AS body, 1 + g::INT AS version, CASE WHEN g THEN sha256(upper(body)) ELSE output_hash END AS output_hash FROM (SELECT *, output_id % 4 = 1 AS g FROM outputs)"
+    )
+    item = "'{\"format\":\"' || format || '\",\"grounding_score\":' || grounding_score || ',\"hash\":\"' || output_hash || '\",\"review_state\":\"' || review_state || '\"}'"
+    manifest = (
+        "'{\"algorithm\":\"sha256\",\"created_at\":\"' || strftime(date_trunc('second', created_at), '%Y-%m-%dT%H:%M:%S') || '+00:00\",\"engine\":{\"model_version\":\"extractive-v1\",\"pipeline_version\":\"1\",\"prompt_version\":\"p1\"},\"outputs\":[' || coalesce(items, '')"
+        " || '],\"source\":{\"hash\":\"' || sha256(run_id::VARCHAR) || '\",\"kind\":\"text\",\"title\":\"' || requested_by || '\"},\"transformation_id\":\"' || run_id || '\"}'"
+    )
+    s["i7_manifests"] = f"WITH {RUNS}, {OUTPUTS}, i AS (SELECT run_id, string_agg({item}, ',' ORDER BY format) AS items FROM outputs GROUP BY ALL), m AS (SELECT run_id, {manifest} AS manifest FROM runs LEFT JOIN i USING (run_id)) SELECT run_id, manifest, sha256(manifest) AS manifest_hash FROM m"
+    snip = lambda n: f"CASE WHEN len(sentence) <= {n} THEN sentence ELSE rtrim(substr(sentence, 1, {n - 1})) || '…' END"  # noqa: E731  (sentences have single spaces)
+    s["f16_risk_markers"] = (
+        f"WITH {sentence_ctes()}, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY sent_no) AS r FROM sents WHERE regexp_matches(sentence, {_q(rules.RISK_WORD)})) SELECT doc_id, string_agg({snip(200)}, '|' ORDER BY sent_no) AS risk_markers FROM r WHERE r <= 6 GROUP BY doc_id"
+    )
+    families = " UNION ALL ".join(f"SELECT doc_id, sent_no, sentence, {_q(k)} AS signal FROM sents WHERE regexp_matches(sentence, {_q(v)})" for k, v in rules.SIGNALS.items())
+    s["f11_section_signals"] = (
+        f"WITH {TRANSCRIPTS}, {sentence_ctes('transcripts', 'conv_id')}, u AS ({families}), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, signal ORDER BY sent_no) AS r FROM u) SELECT doc_id, signal, string_agg({snip(260)}, '|' ORDER BY sent_no) AS sentences FROM r WHERE r <= 4 GROUP BY doc_id, signal"
+    )
+
+    def embedded(source: str, keys: str, x: str, mark: str) -> str:
+        """Vector tables of one source, their names marked."""
+        out = _features(source, keys, x) + EMBED.replace("{keys}", keys)
+        for name in ("w AS", "f0 AS", "feats AS", "parts AS", "sums AS", "vec AS"):
+            out = out.replace(name, f"{mark}{name}", 1) if out.startswith(name) else out.replace(f", {name}", f", {mark}{name}", 1)
+        for name in ("w", "f0", "feats", "parts", "sums"):
+            out = out.replace(f"FROM {name} ", f"FROM {mark}{name} ").replace(f"FROM {name})", f"FROM {mark}{name})")
+        return out
+
+    ids = "output_id, run_id, claim_no"
+    support = (
+        f"{claims}, {embedded('claims', ids, 'claim', 'c_')}, {embedded('e', 'run_id, ordinal', 'text', 'e_')}, cs AS (SELECT {ids}, ordinal, sum(c_vec.w * e_vec.w) AS cosine FROM c_vec JOIN e_vec USING (run_id, bucket) GROUP BY ALL)"
+        f", ct AS (SELECT {ids}, len(list_distinct({content('claim')})) AS n FROM claims), ctt AS (SELECT DISTINCT {ids}, unnest({content('claim')}) AS term FROM claims), et AS (SELECT run_id, ordinal, len({content('text')}) AS e_terms FROM e), ett AS (SELECT DISTINCT run_id, ordinal, unnest({content('text')}) AS term FROM e)"
+        f", sh AS (SELECT {ids}, ordinal, count(*) AS common FROM ctt JOIN ett USING (run_id, term) GROUP BY ALL)"
+        f", p AS (SELECT {ids}, ordinal, n, e_terms, coalesce(cosine, 0) AS cosine, coalesce(common, 0) AS common FROM ct JOIN et USING (run_id) LEFT JOIN cs USING ({ids}, ordinal) LEFT JOIN sh USING ({ids}, ordinal) WHERE cosine IS NOT NULL OR common IS NOT NULL)"
+        f", bs AS (SELECT output_id, claim_no, max(CASE WHEN n > 0 AND common = n THEN greatest(x, 1.0) ELSE x END) AS support, bool_or(n > 0 AND common = n) AS verbatim FROM (SELECT *, CASE WHEN n > 0 AND e_terms > 0 THEN 0.72::DOUBLE * cosine + 0.28::DOUBLE * common / n ELSE cosine END AS x FROM p) GROUP BY ALL)"
+        ", supported AS (SELECT output_id, claim_no, greatest(coalesce(support, 0), 0) AS support, coalesce(verbatim, false) AS verbatim FROM claims LEFT JOIN bs USING (output_id, claim_no))"
+    )
+    prose = (
+        f"{support}, {stats}, {known}, cn AS (SELECT output_id, run_id, claim_no, claim, {_numbers('claim')} AS numbers FROM claims), cx AS (SELECT output_id, claim_no, list(number ORDER BY pos) AS lost FROM (SELECT output_id, run_id, claim_no, unnest(numbers) AS number, generate_subscripts(numbers, 1) AS pos FROM cn) x WHERE NOT EXISTS (SELECT 1 FROM known k WHERE k.run_id = x.run_id AND k.number = x.number) GROUP BY ALL)"
+    )
+    gap = _q("(?i)" + rules.GAP)
+    judged = (
+        f"{prose}, ju AS (SELECT output_id, claim_no, regexp_matches(claim, {gap}) AS gap, lost IS NOT NULL AS drift, support, verbatim, lost FROM cn JOIN supported USING (output_id, claim_no) LEFT JOIN cx USING (output_id, claim_no))"
+        ", pr AS (SELECT output_id, claim_no, CASE WHEN gap THEN 1.0 ELSE support END AS support, gap OR (NOT drift AND support >= 0.55) AS supported, CASE WHEN gap THEN 'explicit gap marker' WHEN drift THEN 'numeric value not present in retrieved source evidence' WHEN support >= 0.55 AND verbatim THEN 'claim text appears verbatim in retrieved evidence' WHEN support >= 0.55 THEN 'semantic support above threshold' ELSE 'weak semantic support' END AS reason, CASE WHEN NOT gap AND drift THEN lost ELSE [] END AS lost FROM ju)"
+        f", st AS (SELECT output_id, line_no + 100000 AS claim_no, {_numbers('claim')} AS numbers, run_id FROM (SELECT output_id, run_id, line_no, {stat} AS claim FROM ol WHERE regexp_matches({strip('line')}, {_q(rules.STAT_LINE)})))"
+        ", kl AS (SELECT run_id, list(number) AS held FROM known GROUP BY run_id), sl AS (SELECT output_id, claim_no, numbers, list_filter(numbers, lambda m: NOT list_contains(coalesce(held, []), m)) AS lost FROM st LEFT JOIN kl USING (run_id))"
+        ", sj AS (SELECT output_id, claim_no, CASE WHEN len(numbers) > 0 AND len(lost) > 0 THEN 0.0 ELSE 1.0 END AS support, len(numbers) = 0 OR len(lost) = 0 AS supported, CASE WHEN len(numbers) = 0 THEN 'explicit gap marker' WHEN len(lost) > 0 THEN 'statistic not present in retrieved source evidence' ELSE 'statistic matches a figure in the source' END AS reason, lost FROM sl)"
+        ", judged AS (SELECT * FROM pr UNION ALL SELECT * FROM sj)"
+    )
+    s["g9_judged_claims"] = f"{judged} SELECT output_id, claim_no, round(support, 4) AS support, supported, reason, array_to_string(lost, '|') AS invented FROM judged"
+    s["g10_g11_report"] = (
+        f"{judged}, a AS (SELECT output_id, count(*) AS t, count(*) FILTER (supported) AS u, list_sort(list_distinct(flatten(list(lost))))[1:20] AS lost FROM judged GROUP BY ALL), v AS (SELECT output_id, t, u, lost, u / t::DOUBLE AS share FROM a)"
+        ", w AS (SELECT *, CASE WHEN share >= 0.85 AND len(lost) > 0 THEN 'numeric_drift' WHEN share >= 0.85 THEN 'grounded' WHEN share >= 0.6 THEN 'partially_grounded' WHEN share >= 0.35 THEN 'weakly_grounded' ELSE 'ungrounded' END AS verdict FROM v)"
+        " SELECT output_id, round(share, 4) AS grounding_score, verdict, t AS claims_total, u AS claims_supported, array_to_string(lost, '|') AS invented_numbers, u || '/' || t || ' claims supported by retrieved evidence (threshold 0.55).' AS coverage_note, verdict IN ('grounded', 'partially_grounded') AS source_grounded FROM w"
+    )
+    s["g6_g7_claim_support"] = f"{support} SELECT output_id, claim_no, round(support, 4) AS support, verbatim FROM supported"
     keyed = EMBED.replace("{keys}", "item_id")
     s["e3_hash_embed"] = f"WITH {_features('benchmark', 'item_id', 'text')}{keyed} SELECT item_id, bucket, w FROM vec"
     level_of = {"critical": 4, "high": 3, "medium": 2, "low": 1}
