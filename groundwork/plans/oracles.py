@@ -382,6 +382,7 @@ def sql() -> dict[str, str]:
         " SELECT output_id, round(share, 4) AS grounding_score, verdict, t AS claims_total, u AS claims_supported, array_to_string(lost, '|') AS invented_numbers, u || '/' || t || ' claims supported by retrieved evidence (threshold 0.55).' AS coverage_note, verdict IN ('grounded', 'partially_grounded') AS source_grounded FROM w"
     )
     s["g6_g7_claim_support"] = f"{support} SELECT output_id, claim_no, round(support, 4) AS support, verbatim FROM supported"
+    s["a10_write_tables"] = f"WITH {OUTPUTS} SELECT 'runs' AS name, count(*) AS n FROM orders UNION ALL SELECT 'outputs', count(*) FROM outputs UNION ALL SELECT 'audit_events', count(*) FROM events"
     keyed = EMBED.replace("{keys}", "item_id")
     s["e3_hash_embed"] = f"WITH {_features('benchmark', 'item_id', 'text')}{keyed} SELECT item_id, bucket, w FROM vec"
     level_of = {"critical": 4, "high": 3, "medium": 2, "low": 1}

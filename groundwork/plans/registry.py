@@ -3,6 +3,7 @@ Spark derives from them (runs from orders, outputs from lineitem, audit events f
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,7 +13,7 @@ from ..functions import rules
 from ..functions import text as T
 from ..operators import chunking, compose, corpus, grounding, knowledge, provenance, relational, retrieval, security, vectors
 from ..sources import files
-from ..sources.tables import written
+from ..sources.tables import shared_root, written
 from ..streaming import jobs
 from . import oracles
 
@@ -786,6 +787,40 @@ def l6_exact_duplicates(spark, sf_dir):
     return d.join(best.where("copies > 1"), "file_hash").select("doc_id", "first_id", "copies")
 
 
+def _own_folder(spark) -> str:
+    return f"{shared_root(spark)}/runs/{uuid.uuid4().hex}"
+
+
+@query
+def a10_write_tables(spark, sf_dir):
+    """Derived tables written (outputs by review state) and read back: rows of each."""
+    path = _own_folder(spark)
+    files.write_tables({"runs": runs(spark, sf_dir), "outputs": run_outputs(spark, sf_dir), "audit_events": audit_events(spark, sf_dir)}, path, {"outputs": ["review_state"]})
+    count = lambda name: spark.read.parquet(f"{path}/{name}.parquet").agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n")
+    return count("runs").unionByName(count("outputs")).unionByName(count("audit_events"))
+
+
+@query
+def l2_stream_ingest(spark, sf_dir):
+    """All documents through the streaming ingest: what its append tables hold."""
+    path = _own_folder(spark)
+    jobs.ingest(spark, f"{sf_dir}/documents.parquet*", f"{path}/tables", f"{path}/checkpoint").awaitTermination()
+    scans, parts = spark.read.parquet(f"{path}/tables/scans"), spark.read.parquet(f"{path}/tables/chunks")
+    return scans.select("doc_id", "risk_level", "pii_count").join(chunking.chunk_stats(parts), "doc_id", "left")
+
+
+@query
+def l3_stream_chain(spark, sf_dir):
+    """All events through the streaming audit chain; events after the last watermark are still held."""
+    path = _own_folder(spark)
+    schema = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
+    events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
+    events = events.selectExpr("user_id as chain_id", "event_id", "event_type as action", "props as detail", "ts as created_at")
+    out = jobs.chain_stream(events).writeStream.format("parquet").option("path", f"{path}/chain").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    out.awaitTermination()
+    return spark.read.parquet(f"{path}/chain").select("chain_id", "seq", "action", "prev_hash", "entry_hash")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
