@@ -141,10 +141,13 @@ def held_out(doc_id: Column) -> Column:
 def _sample(labelled: DataFrame, per_language: int) -> DataFrame:
     """At most ``per_language`` rows of each language, by a hash of the id: thinned
     first by the language's count, so that no language is sorted whole."""
-    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    share = F.least(F.lit(1.0), 2.0 * per_language / F.col("n"))
+    # one number per language; the texts themselves are not shuffled before they are thinned
+    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()
+    if not counts:
+        return labelled.select("lang", "doc_id", "text")
+    share = F.element_at(F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], min(1.0, 2.0 * per_language / r["n"])))), F.col("lang"))
     draw = F.pmod(F.xxhash64(F.lit(17), "doc_id"), F.lit(1 << 20)) / float(1 << 20)
-    thin = labelled.join(counts, "lang").where(draw < share)
+    thin = labelled.where(draw < share)
     order = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(17), "doc_id"), "doc_id")
     return thin.withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_language).select("lang", "doc_id", "text")
 
