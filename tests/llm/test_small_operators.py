@@ -278,3 +278,22 @@ def test_extract_keeps_articles_whole(spark, sf):
         article = re.search("<article>(.*?)(</article>|$)", r["html"], re.S)[1]
         blocks = [" ".join(unescape(re.sub("<[^>]*>", "", b)).split()) for b in re.split(r"</?(?:p|h1)>", article)]
         assert got[r["page_id"]] == "\n".join(b for b in blocks if b)
+
+
+def test_extract_keeps_copies(spark):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
+    page = lambda k, note="": f"<div>Home News Sport Weather today</div><p>{text(k)}</p><div>{note}</div>"
+    rows = [(0, "http://two.example/a", page(0)), (1, "http://two.example/b", page(0))]
+    # 4 exact and 4 near copies among 20 pages: the menu goes, the copied text stays
+    rows += [(10 + k, f"http://m.example/{k}", page(max(k, 7) if k < 12 else 50, f"seen {k}" if 16 <= k else "")) for k in range(20)]
+    got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(text(0) in got[i] for i in (0, 1))
+    for k in range(20):
+        assert got[10 + k].split("\n")[0] == text(max(k, 7) if k < 12 else 50)
+    marked = '<article><h2 id="search">How to search</h2><p class="search">one</p><section id="related-work"><p>two</p></section><div id="menu">three</div><div class="share">four</div><p hidden>five</p></article>'
+    assert html.page_blocks(marked)[0] == ["How to search", "one", "two", "three"]
+
+
+def test_extract_keeps_copied_articles(spark):
+    rows = [(k, f"http://c.example/{k}", "<article><p>" + " ".join(f"w{i}" for i in range(60)) + f"</p><p>{'one' if k % 2 else 'two'}</p></article>") for k in range(12)]
+    assert all("w59" in r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())
