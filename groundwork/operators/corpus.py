@@ -6,8 +6,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import content_tokens, normalise_ws
+from ..sources.tables import written
+from .chunking import chunks
+from .grounding import claim_support
 from .security import found_categories, injection_score, resolve_pii, risk_by_presence
 
+#: Parts into which the documents of one term are split.
+SALTS = 16
+
 
 def risk_summary(docs: DataFrame, group: str = "lang", text_col: str = "text") -> DataFrame:
     """L1. Documents and mean injection score by group and risk level, with subtotals (null keys)."""
@@ -22,20 +28,35 @@ def pii_type_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return rows.select(F.explode(found_categories(resolve_pii(F.col("body")))).alias("category")).groupBy("category").agg(F.count(F.lit(1)).alias("documents"))
 
 
-def ground_foreign(claims: DataFrame, docs: DataFrame, min_share: float = 0.5, max_df: float = 0.05, k: int = 3) -> DataFrame:
-    """L5. For each foreign text (``item_id, text``) its ``k`` best documents by the share of its rare
-    terms that they hold (at least ``min_share``).
+def ground_foreign(claims: DataFrame, docs: DataFrame, min_share: float = 0.5, k: int = 3) -> DataFrame:
+    """L5. For each foreign text (``item_id, text``) its ``k`` best documents by the share of all its terms
+    that they hold (at least ``min_share``), with G6 over the chunks of each: ``claim_support, verbatim``.
 
-    Terms in more than ``max_df`` of the documents are no evidence and are left out of the share; the join
-    runs over the rare terms of the claims only, pre-reduced by a semi join."""
+    A document with the share holds at least ``h`` of an item's ``n - need + h`` rarest terms; ``h`` is half of the
+    terms needed, so that the most frequent quarter is looked up for candidates only. Terms are joined by salted keys."""
+    pair = ["item_id", "doc_id"]
     terms = claims.select("item_id", F.explode(F.array_distinct(content_tokens("text"))).alias("term"))
-    wanted = terms.select("term").distinct()
-    held = docs.select("doc_id", F.explode(F.array_distinct(content_tokens("text"))).alias("term")).join(wanted, "term", "left_semi")
-    n = docs.agg(F.count(F.lit(1)).alias("n"))
-    common = held.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(n)).where(F.col("df") > F.greatest(F.lit(1.0), max_df * F.col("n"))).select("term")
-    rare = terms.join(common, "term", "left_anti")
-    size = rare.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_terms"))
-    both = rare.join(held, "term").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("shared"))
-    scored = both.join(size, "item_id").withColumn("support", F.round(F.col("shared") / F.col("n_terms"), 6)).where(F.col("support") >= min_share)
+    held = docs.select("doc_id", F.explode(F.array_distinct(content_tokens("text"))).alias("term")).join(terms.select("term").distinct(), "term", "left_semi")
+    held = written(held)
+    df = held.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    by = Window.partitionBy("item_id")
+    found = terms.join(df, "term", "left").withColumn("n", F.count(F.lit(1)).over(by)).withColumn("r", F.row_number().over(by.orderBy(F.coalesce("df", F.lit(0)), "term")))
+    found = found.withColumn("need", F.greatest(F.lit(1), F.ceil((min_share - 5e-7) * F.col("n")))).withColumn("h", F.ceil(F.col("need") / 2))
+    rare = found.where((F.col("r") <= F.col("n") - F.col("need") + F.col("h")) & F.col("df").isNotNull()).select("item_id", "h", "term", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    hits = rare.join(held.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")), ["term", "salt"])
+    near = hits.groupBy(*pair).agg(F.count(F.lit(1)).alias("hits"), F.first("h").alias("h")).where("hits >= h").select(*pair)
+    wanted = terms.groupBy("item_id").agg(F.collect_list("term").alias("item_terms"))
+    both = near.join(wanted, "item_id").join(held.groupBy("doc_id").agg(F.collect_list("term").alias("doc_terms")), "doc_id")
+    scored = both.select(*pair, F.size(F.array_intersect("item_terms", "doc_terms")).cast("long").alias("shared"), F.size("item_terms").cast("long").alias("n_terms"))
+    scored = scored.withColumn("support", F.round(F.col("shared") / F.col("n_terms"), 6)).where(F.col("support") >= min_share)
     order = Window.partitionBy("item_id").orderBy(F.desc("support"), "doc_id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("item_id", "rank", "doc_id", "shared", "n_terms", "support")
+    best = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    best = written(best.select("item_id", "rank", "doc_id", "shared", "n_terms", "support"))
+
+    run = F.concat_ws("-", "item_id", "doc_id").alias("run_id")
+    body = claims.select("item_id", normalise_ws("text").alias("claim"))
+    rows = best.join(body, "item_id").select(F.col("item_id").alias("output_id"), run, F.lit(0).alias("claim_no"), "claim")
+    parts = chunks(docs.select("doc_id", "text").join(best.select("doc_id").distinct(), "doc_id", "left_semi"))
+    evidence = best.select(*pair).join(parts, "doc_id").select(run, "ordinal", "text")
+    judged = claim_support(rows, evidence).select("run_id", F.col("support").alias("claim_support"), "verbatim")
+    return best.withColumn("run_id", run).join(judged, "run_id").drop("run_id")

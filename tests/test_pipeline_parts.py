@@ -1,8 +1,10 @@
+import random
 from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from groundwork.operators import chunking, compose, grounding, knowledge, provenance, relational, retrieval, vectors
+from groundwork.operators import chunking, compose, corpus, grounding, knowledge, provenance, relational, retrieval, vectors
+from groundwork.plans import registry
 from groundwork.sources import files
 
 TEXT = "Coastal Storm Report\n" + " ".join(f"Station {k} recorded {k}{k}1 millimetres of rain and was closed for {k} hours." for k in range(1, 60)) + "\nRecommended Actions\n- Operators should inspect the gauges.\nEnd."
@@ -120,3 +122,26 @@ def test_sources(spark, tmp_path):
     assert spark.range(1).select(files.html_to_text(F.lit(page))).first()[0] == "Fish & chips"
     js = spark.createDataFrame([('{ "b" : 1 }',), ("not json",)], "j string").select(files.normalise_json(F.col("j"))).collect()
     assert js[0][0] == '{"b":1}' and js[1][0] == "not json"
+
+
+def test_ground_foreign_counts_frequent_terms(spark):
+    claims = spark.createDataFrame([(1, "velvet harbour lantern whisper granite meadow"), (2, "copper thunder orchard pebble")], "item_id long, text string")
+    texts = ["The velvet harbour lantern whisper granite meadow stands."] * 8 + ["velvet harbour", "copper thunder orchard", "nothing here", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.item_id, r["rank"]): r for r in corpus.ground_foreign(claims, docs).collect()}
+    assert {k: (r.doc_id, r.shared, r.n_terms, r.support) for k, r in got.items()} == {(1, 1): (0, 6, 6, 1.0), (1, 2): (1, 6, 6, 1.0), (1, 3): (2, 6, 6, 1.0), (2, 1): (9, 3, 4, 0.75)}
+    assert got[1, 1].verbatim and got[1, 1].claim_support == 1.0 and not got[2, 1].verbatim and 0 < got[2, 1].claim_support < 1
+
+
+def test_ground_foreign_equals_brute_force(spark):
+    rng = random.Random(5)
+    word = lambda: f"term{int(rng.random() ** 2 * 40):02d}"
+    items = [(k, " ".join(word() for _ in range(rng.randint(1, 14)))) for k in range(20)]
+    texts = [(k, " ".join(word() for _ in range(rng.randint(0, 40)))) for k in range(120)]
+    got = corpus.ground_foreign(spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    want = set()
+    for i, t in items:
+        own = set(t.split())
+        best = sorted((-round(len(own & set(d.split())) / len(own), 6), k) for k, d in texts)[:3]
+        want |= {(i, r + 1, k, -s) for r, (s, k) in enumerate(best) if -s >= 0.5}
+    assert {(r.item_id, r["rank"], r.doc_id, r.support) for r in got} == want
