@@ -511,7 +511,7 @@ def _outputs_of_turns(spark, sf_dir):
 
 def _evidence_of_turns(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
-    return c.where("turn % 3 <> 1").select(F.col("conv_id").alias("run_id"), F.col("turn").alias("ordinal"), F.concat("text", F.lit(" "), F.length("text").cast("string")).alias("text"))
+    return c.where("coalesce(role, '') <> 'assistant'").select(F.col("conv_id").alias("run_id"), F.col("turn").alias("ordinal"), F.concat("text", F.lit(" "), F.length("text").cast("string")).alias("text"))
 
 
 @query

@@ -145,3 +145,9 @@ def test_ground_foreign_equals_brute_force(spark):
         best = sorted((-round(len(own & set(d.split())) / len(own), 6), k) for k, d in texts)[:3]
         want |= {(i, r + 1, k, -s) for r, (s, k) in enumerate(best) if -s >= 0.5}
     assert {(r.item_id, r["rank"], r.doc_id, r.support) for r in got} == want
+
+
+def test_evidence_is_every_turn_that_is_no_answer(spark, tmp_path):
+    rows = [(1, t, role, f"text {t}") for t, role in enumerate(["user", "user", "assistant", "assistant", "user", "system"])] + [(1, 6, None, "x")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    assert {r.ordinal for r in registry._evidence_of_turns(spark, str(tmp_path)).collect()} == {0, 1, 4, 5, 6}
