@@ -69,25 +69,28 @@ def knn(base: DataFrame, k: int, every: int = 50, id_col: str = "vec_id", vector
     """E14. Exact nearest rows by cosine of each row whose id is divisible by ``every``.
 
     All rows meet the queries in blocks: a task multiplies one block of rows with one chunk of
-    queries and keeps each query's best ``k``, so what leaves it is bounded.
+    queries and keeps each query's best ``k``, so what leaves it is bounded. Null or zero vectors, and those
+    with null or non-finite components, take no part; only vectors of the query's dimension are candidates.
     """
     import numpy as np
     import pyarrow as pa
 
     x = F.col("v")
-    rows = base.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where(x.isNotNull() & F.exists(x, lambda e: e != 0))
+    rows = base.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+    finite = F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) != float("inf")))
+    rows = rows.where(F.col("id").isNotNull() & x.isNotNull() & F.coalesce(finite, F.lit(False)) & F.exists(x, lambda e: e != 0)).withColumn("dims", F.size("v"))
     n, nq = rows.agg(F.count(F.lit(1)), F.count_if(F.col("id") % every == 0)).first()
     blocks, chunks = -(-n // block) or 1, -(-nq // block) or 1
     spread = lambda parts: F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")
-    own = rows.select("id", "v", spread(blocks).alias("b"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("c"), F.lit(False).alias("q"))
-    asked = rows.where(F.col("id") % every == 0).select("id", "v", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), spread(chunks).alias("c"), F.lit(True).alias("q"))
+    own = rows.select("id", "v", "dims", spread(blocks).alias("b"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("c"), F.lit(False).alias("q"))
+    asked = rows.where(F.col("id") % every == 0).select("id", "v", "dims", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), spread(chunks).alias("c"), F.lit(True).alias("q"))
 
     def meet(part: pa.Table) -> pa.Table:
         query, ids = part.column("q").to_numpy(), part.column("id").to_numpy()
         flat = part.column("v").combine_chunks()
         m = flat.flatten().to_numpy().reshape(len(ids), -1)
         m = m / np.sqrt((m * m).sum(axis=1))[:, None]
-        score = m[query] @ m[~query].T if query.any() and (~query).any() else np.empty((int(query.sum()), 0))
+        score = m[query] @ m[~query].T
         qid, bid = ids[query], ids[~query]
         score[qid[:, None] == bid[None, :]] = -np.inf
         out_q, out_b, out_s = [], [], []
@@ -103,7 +106,7 @@ def knn(base: DataFrame, k: int, every: int = 50, id_col: str = "vec_id", vector
         cat = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.empty(0, kind)
         return pa.table({"query_id": cat(out_q, "int64"), "neighbour_id": cat(out_b, "int64"), "score": cat(out_s, "float64")})
 
-    found = own.unionByName(asked).groupBy("b", "c").applyInArrow(meet, "query_id long, neighbour_id long, score double")
+    found = own.unionByName(asked).groupBy("b", "c", "dims").applyInArrow(meet, "query_id long, neighbour_id long, score double")
     found = found.withColumn("score", F.round("score", 6))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "neighbour_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "neighbour_id", "score")

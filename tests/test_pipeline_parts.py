@@ -151,3 +151,13 @@ def test_evidence_is_every_turn_that_is_no_answer(spark, tmp_path):
     rows = [(1, t, role, f"text {t}") for t, role in enumerate(["user", "user", "assistant", "assistant", "user", "system"])] + [(1, 6, None, "x")]
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     assert {r.ordinal for r in registry._evidence_of_turns(spark, str(tmp_path)).collect()} == {0, 1, 4, 5, 6}
+
+
+def test_knn_leaves_out_what_is_no_vector(spark):
+    nan, inf = float("nan"), float("inf")
+    good = [(k, [1.0, k / 10.0]) for k in range(8)]
+    bad = [(20 + k, v) for k, v in enumerate([[nan, 1.0], [nan, nan], [1.0, nan], [inf, 1.0], [-inf, 0.0], [None, 1.0], None, [], [0.0, 0.0]])] + [(100, [1.0, nan])]
+    other = [(40, [1.0, 0.0, 0.0]), (50, [1.0, 0.0, 0.5]), (41, [1.0])]
+    base = spark.createDataFrame(good + bad + other, "vec_id long, embedding array<double>")
+    got = [(r.query_id, r["rank"], r.neighbour_id) for r in vectors.knn(base, 3).orderBy("query_id", "rank").collect()]
+    assert got == [(0, 1, 1), (0, 2, 2), (0, 3, 3), (50, 1, 40)]
