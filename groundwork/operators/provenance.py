@@ -6,8 +6,13 @@ created_at, prev_hash, entry_hash``; chains are independent of each other.
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions import rules
 
@@ -63,18 +68,23 @@ def append_chain(events: DataFrame, heads: DataFrame | None = None, order: list[
     else:
         last = heads.select("chain_id", F.col("seq").alias("_at"), F.col("entry_hash").alias("_head"))
         rows = rows.join(last, "chain_id", "left").withColumn("seq", F.col("seq") + F.coalesce("_at", F.lit(0))).withColumn("_head", F.coalesce("_head", F.lit(GENESIS))).drop("_at")
-    keep = [c for c in rows.columns if c not in ("_head", "chain_id")]
-    rows = rows.withColumn("_payload", payload(rows))
-    lists = rows.groupBy("chain_id").agg(F.first("_head").alias("_head"), F.array_sort(F.collect_list(F.struct("seq", "_payload", F.struct(*keep).alias("row")))).alias("events"))
-    link = "array<struct<prev_hash:string,entry_hash:string>>"
-    start = F.struct(F.col("_head").alias("head"), F.array().cast(link).alias("links"))
-
-    def step(acc: Column, e: Column) -> Column:
-        entry = F.sha2(F.concat(acc["head"], F.lit("|"), e["_payload"]), 256)
-        return F.struct(entry.alias("head"), F.concat(acc["links"], F.array(F.struct(acc["head"].alias("prev_hash"), entry.alias("entry_hash")))).cast(link).alias("links"))
-
-    linked = lists.withColumn("links", F.aggregate("events", start, step)["links"])
-    return linked.select("chain_id", F.inline(F.arrays_zip("events", "links"))).select("chain_id", "events.row.*", "links.prev_hash", "links.entry_hash")
+    # a task reads its chains in order, batch by batch, and holds one head
+    rows = rows.withColumn("_payload", payload(rows)).repartition("chain_id").sortWithinPartitions("chain_id", "seq")
+    keep = ["chain_id", *(c for c in rows.columns if c not in ("_head", "_payload", "chain_id"))]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chain, head = object(), GENESIS
+        for b in batches:
+            before, after = [], []
+            for c, first, body in zip(*(b.column(k).to_pylist() for k in ("chain_id", "_head", "_payload")), strict=True):
+                if c != chain:
+                    chain, head = c, first
+                before.append(head)
+                head = hashlib.sha256(f"{head}|{body}".encode()).hexdigest()
+                after.append(head)
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), pa.array(before, pa.string()), pa.array(after, pa.string())], names=[*keep, "prev_hash", "entry_hash"])
+
+    return rows.mapInArrow(fold, StructType([*(rows.schema[k] for k in keep), StructField("prev_hash", StringType()), StructField("entry_hash", StringType())]))
 
 
 def verify_chain(events: DataFrame) -> DataFrame:

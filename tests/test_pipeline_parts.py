@@ -1,3 +1,4 @@
+import hashlib
 import random
 from datetime import datetime
 
@@ -161,3 +162,18 @@ def test_knn_leaves_out_what_is_no_vector(spark):
     base = spark.createDataFrame(good + bad + other, "vec_id long, embedding array<double>")
     got = [(r.query_id, r["rank"], r.neighbour_id) for r in vectors.knn(base, 3).orderBy("query_id", "rank").collect()]
     assert got == [(0, 1, 1), (0, 2, 2), (0, 3, 3), (50, 1, 40)]
+
+
+def test_long_chain_is_folded_without_a_list(spark):
+    n = 25_000
+    events = spark.range(n).selectExpr("if(id % 50 = 0, 2L, 1L) as chain_id", "id as event_id", "'a' as action", "timestamp_seconds(1700000000 + id) as created_at")
+    chain = provenance.append_chain(events)
+    assert "collect_list" not in chain._jdf.queryExecution().toString()
+    rows = chain.select("chain_id", "seq", "event_id", "prev_hash", "entry_hash", provenance.payload(chain).alias("p")).orderBy("chain_id", "seq").collect()
+    assert len(rows) == n and [r.event_id for r in rows if r.chain_id == 2] == list(range(0, n, 50))
+    chain_id, head = None, None
+    for r in rows:
+        head = head if r.chain_id == chain_id else provenance.GENESIS
+        assert r.prev_hash == head
+        chain_id, head = r.chain_id, hashlib.sha256(f"{head}|{r.p}".encode()).hexdigest()
+        assert r.entry_hash == head
