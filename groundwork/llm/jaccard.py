@@ -488,12 +488,14 @@ def _verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> Da
     return written(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), "links")
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """Per row ``doc_id, n_shingles, component_id, n_links``: near-duplicate groups.
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE, percent: int = PERCENT, links: bool = False) -> DataFrame:
+    """Per row ``doc_id, n_shingles, component_id``: near-duplicate groups; with ``links`` also ``n_links``.
 
     Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z. Two texts link when
     100 * |A & B| >= percent * |A | B|; ``component_id`` is the smallest id reachable
-    by links. ``n_links`` counts the links to other classes that the search verified.
+    by links. ``n_links`` counts the other rows that a row links with, equal texts included: for it the
+    lists are traversed once more without regard to components, and the linked pairs of different texts,
+    as many as the square of a group's size, are written and verified.
     Null, empty or blank texts have no shingles and stand alone; equal texts stand
     together. Rows with equal ids keep one row each. Other columns are not read.
     """
@@ -533,13 +535,16 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         y = signs.select(F.col("class").alias("b"), F.col("size").alias("nb"), F.col("bits").alias("xb"))
         return pairs.join(x, "a").join(y, "b").mapInArrow(_bound_pairs(percent), "a long, b long")
 
-    links = _verified(table, written(with_signs(candidates), "pairs"), words, percent)
-    labels = components(links)
+    edges = _verified(table, written(with_signs(candidates), "pairs"), words, percent)
+    labels = components(edges)
 
     groups = int(4 * partitions(spark))
-    # first the likeliest candidates of each member, which joins most components; then all that is left
-    for most in (1, None):
-        named = members.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
+
+    def searched(labels: DataFrame | None, most: int | None) -> DataFrame:
+        """Verified pairs of the lists' members between components, or of all members without ``labels``."""
+        named = members.withColumn("label", F.col("class"))
+        if labels is not None:
+            named = members.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
         open_ = (
             named.groupBy("token")
             .agg(F.min("label").alias("l"), F.max("label").alias("h"), F.min("class").alias("lead"), F.count(F.lit(1)).alias("members"), F.sum(F.xxhash64("class").cast("decimal(38,0)")).alias("mark"))
@@ -558,16 +563,26 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         work = work.select("token", "lead", "class", "size", "label", "bits", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
         # lists of like members have the same smallest one: in one group their pairs are told once
         pairs = work.withColumn("group", F.pmod(F.xxhash64("lead", "i", "j"), F.lit(groups))).drop("lead").groupBy("group").applyInArrow(_traverse(percent, most), "a long, b long")
-        pairs = written(pairs.distinct(), "pairs")
-        links = written(links.unionByName(_verified(table, pairs, words, percent)).distinct(), "links")
-        if most:
-            labels = components(links)
+        return _verified(table, written(pairs.distinct(), "pairs"), words, percent)
+
+    # first the likeliest candidates of each member, which joins most components; then all that is left
+    for most in (1, None):
+        edges = written(edges.unionByName(searched(labels, most)).distinct(), "links")
+        labels = components(edges)
 
-    labels = components(links)
-    degree = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     named = signs.select(F.col("class").alias("node"), "least").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     best = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    named = named.join(best, "label").join(degree, "node", "left").select(F.col("node").alias("class"), "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    alone = rows.where("class is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+    named = named.join(best, "label").select(F.col("node").alias("class"), "component_id")
+    out = ["doc_id", "n_shingles", "component_id"]
+    alone = rows.where("class is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    if links:
+        out.append("n_links")
+        times = written(rows.where("class is not null").groupBy("class").agg(F.count(F.lit(1)).alias("times")), "times")
+        pairs = written(searched(None, None), "links")
+        both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        other = both.join(times.withColumnRenamed("class", "b"), "b").groupBy(F.col("a").alias("class")).agg(F.sum("times").alias("other"))
+        degree = times.join(other, "class", "left").select("class", (F.col("times") - 1 + F.coalesce("other", F.lit(0))).alias("n_links"))
+        named = named.join(degree, "class")
+        alone = alone.withColumn("n_links", F.lit(0).cast("long"))
     joined = rows.where("class is not null").select("doc_id", "n_shingles", "class").join(named, "class")
-    return joined.select("doc_id", "n_shingles", "component_id", "n_links").unionByName(alone)
+    return joined.select(*out).unionByName(alone)

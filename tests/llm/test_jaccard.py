@@ -81,3 +81,17 @@ def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 160)] + [(500, 500), (7, 3)]
     got = dict(tuple(r) for r in components(spark.createDataFrame(edges, "a long, b long")).collect())
     assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 160)}
+
+
+def test_links_equal_brute_force(spark):
+    base = [f"w{i}" for i in range(60)]
+    group = [(5000 + k, " ".join([*base[: 60 - k % 7], *(f"own{k}x{i}" for i in range(k % 5))])) for k in range(40)]
+    rows = corpus(4) + group + [(6000, group[3][1]), (6001, group[3][1])]
+    sets = {i: shingles(t) for i, t in rows}
+    want = dict.fromkeys(sets, 0)
+    for a, b in combinations(sets, 2):
+        if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+            want[a] += 1
+            want[b] += 1
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), links=True).collect()
+    assert {r["doc_id"]: r["n_links"] for r in got} == want and max(want.values()) > 30
