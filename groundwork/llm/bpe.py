@@ -16,6 +16,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -318,6 +319,27 @@ class Encoder:
         out = take_runs(self.ids, begin[of], n)
         return out, np.concatenate([[0], np.cumsum(n)])[np.searchsorted(start, offsets)]
 
+    def encode_added(self, texts: list[str], added: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+        """As ``encode``, with the added tokens cut out of the texts before pre-tokenisation."""
+        if not any(a in t for a in added for t in texts):
+            return self.encode(texts)
+        cut = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")")
+        split = [cut.split(t) for t in texts]
+        ids, at = self.encode([x for parts in split for x in parts[::2]])
+        out, sizes, k = [], [], 0
+        for parts in split:
+            size = 0
+            for n, x in enumerate(parts):
+                if n % 2:
+                    own = np.array([added[x]], ids.dtype)
+                else:
+                    own = ids[at[k] : at[k + 1]]
+                    k += 1
+                out.append(own)
+                size += len(own)
+            sizes.append(size)
+        return np.concatenate(out), np.concatenate([[0], np.cumsum(sizes)])
+
     def decode(self, ids: np.ndarray) -> np.ndarray:
         """Bytes of the ids."""
         return take_runs(self.flat, self.first[ids], self.lengths[ids])

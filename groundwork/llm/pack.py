@@ -14,6 +14,7 @@ the longest piece that still fits, again and again.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -30,17 +31,32 @@ from .shared import ranked, slices, written
 CAPACITY = 1024
 
 
+def added_tokens(path: str) -> dict[str, int]:
+    """The added tokens of the ``.json`` tokenizer beside a rank file; they match anywhere in a text."""
+    whole = os.path.splitext(path)[0] + ".json"
+    if not os.path.exists(whole):
+        return {}
+    with open(whole, encoding="utf-8") as f:
+        found = json.load(f)["added_tokens"]
+    if any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in found):
+        raise ValueError("added tokens that strip or match whole words are not built")
+    return {t["content"]: t["id"] for t in found}
+
+
 def piece_table(docs: DataFrame, path: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
     """Encode every whole text, append ``end_id`` and cut documents longer than
     ``capacity`` into pieces; the first piece takes the remainder, so that all
     others are full. Columns ``doc_id, piece, start, length, ids_crc32`` and ``ids``
-    with ``keep_ids``. ``path`` holds the ranks of the vocabulary."""
+    with ``keep_ids``. ``path`` holds the ranks of the vocabulary; its added tokens are
+    read from the tokenizer of the same name beside it, if there is one."""
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if keep_ids else "")
 
+    added = added_tokens(path)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for batch in slices(batches, "text"):
-            ids, at = enc.encode(batch.column("text").fill_null("").to_pylist())
+            ids, at = enc.encode_added(batch.column("text").fill_null("").to_pylist(), added)
             doc = batch.column("doc_id").to_pylist()
             rows: list[tuple] = []
             for k in range(len(doc)):

@@ -116,6 +116,16 @@ def test_packing(spark):
     assert pack.pack_documents(empty(spark), pack.default_ranks()).collect() == []
 
 
+def test_packing_with_added_tokens(spark):
+    from tokenizers import Tokenizer
+
+    ref = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>\n it's", "no <|endoftext| here", None, "é 漢<|endoftext|>" * 3]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["ids"] for r in pack.pack_documents(docs, pack.default_ranks(), keep_ids=True).collect()}
+    assert got == {i: [*ref.encode(t or "", add_special_tokens=False).ids, 2] for i, t in enumerate(texts)}
+
+
 def test_patterns_use_up_the_counts():
     rng = random.Random(2)
     for _ in range(30):
