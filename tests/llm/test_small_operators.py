@@ -249,18 +249,87 @@ def test_page_blocks():
     assert html.page_blocks("<main><p>in</p></main><p>out")[0] == ["in"]
 
 
-def test_run_pages():
-    rng = np.random.default_rng(1)
+def test_marked_names():
+    for value in ("ad", "ad-slot-1", "cookie-notice", "site-footer", "share-buttons", "x comments", "related-posts", "top_ads"):
+        assert html.is_marked(value, True) and html.is_marked(value, False), value
+    for value in ("share-price", "search-results", "notice-period", "social-policy", "main-content", "article-list", "add", "comment-policy-text"):
+        assert not html.is_marked(value, True) and not html.is_marked(value, False), value
+    own = '<article><header><nav>menu</nav><h1>Title</h1><p>by line</p></header><div class="share-price">12</div><footer>f</footer></article>'
+    assert html.page_blocks(own)[0] == ["Title", "12"]
+
+
+@pytest.mark.parametrize("depth", [1, 3, 5, 8, 13])
+def test_suffix_order(depth):
+    rng = np.random.default_rng(depth)
     words, page = rng.integers(0, 3, 400).astype(np.uint32), np.sort(rng.integers(0, 9, 400))
-    for length in (1, 3, 4, 8):
-        got = html.run_pages(words, page, length)
-        runs = {}
-        for i in range(400 - length + 1):
-            if page[i] == page[i + length - 1]:
-                runs.setdefault(tuple(words[i : i + length]), set()).add(page[i])
-        for i in range(400):
-            whole = i + length <= 400 and page[i] == page[i + length - 1]
-            assert got[i] == (len(runs[tuple(words[i : i + length])]) if whole else 0)
+    order, common = html.suffix_order(words, page, depth)
+    suffix = lambda i: tuple(words[i : i + depth][page[i : i + depth] == page[i]])
+    assert sorted(order.tolist()) == list(range(400))
+    seen = [suffix(i) for i in order]
+    assert seen == sorted(seen)
+    for a, b, n in zip(seen, seen[1:], common[1:], strict=False):
+        assert n == next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    place, pages = html.repeats(words, page, depth)
+    runs = {}
+    for i in range(400):
+        if len(suffix(i)) == depth:
+            runs.setdefault(suffix(i), []).append(page[i])
+    assert {suffix(i): n for i, n in zip(place.tolist(), pages.tolist(), strict=True)} == {k: len(set(v)) for k, v in runs.items() if len(v) > 1}
+
+
+def brute_extract(pages):
+    """The rule of extract with plain dictionaries, for hosts of one lot or many."""
+    found = {i: [(t, c, z) for t, c, z in html.all_blocks(h or "")] for i, (_, h) in pages.items()}
+    stream = {i: tuple(w for t, _, _ in b for w in t.split()) for i, b in found.items()}
+    out = {}
+    for i, (host, _) in pages.items():
+        others = {stream[k] for k, (h, _) in pages.items() if h == host and stream[k]}
+        count = lambda run: sum(any(s[k : k + html.RUN] == run for k in range(len(s))) for s in others)
+        s, level = stream[i], []
+        for k in range(len(s)):
+            n = count(s[k : k + html.RUN]) if k + html.RUN <= len(s) else 0
+            level.append(sum(n >= least and n >= share * len(others) for share, least in html.LEVELS))
+        hit = lambda at, least: any(level[j] >= least for j in range(max(0, at - html.RUN + 1), at + 1))
+        best = max((z for _, c, z in found[i] if not c), default=0)
+        own, at = [], 0
+        for t, c, z in found[i]:
+            n = len(t.split())
+            own.append((t, not c and z >= best, range(at, at + n)))
+            at += n
+        kept, removed = [t for t, o, _ in own if o], sum(not o and sum(hit(j, 1) for j in r) >= html.COVER * len(r) for _, o, r in own)
+        for least in (3,) if best else (2, 3):
+            words = [j for _, o, r in own if o for j in r]
+            if sum(hit(j, least) for j in words) < html.COVER * len(words):
+                kept = [t for t, o, r in own if o and sum(hit(j, least) for j in r) < html.COVER * len(r)]
+                removed += sum(o for _, o, _ in own) - len(kept)
+                break
+        out[i] = ("\n".join(kept), removed)
+    return out
+
+
+@pytest.mark.parametrize("lot", [1024, 9])
+def test_extract_equals_brute_force_on_mixed_hosts(spark, monkeypatch, lot):
+    monkeypatch.setattr(html, "LOT_PAGES", lot)
+    rng = random.Random(5)
+    say = lambda n: " ".join(rng.choice("abcdefghijklmnopqrstuvwxyz") + str(rng.randint(0, 40)) for _ in range(n))
+    rows = []
+    for h in range(6):
+        menu, foot, quote = say(7), say(9), say(30)
+        for k in range((2, 3, 12, 40, 27, 1)[h]):
+            main = f"<p>{say(25)}</p><p>{quote if k % 4 == 0 else say(12)}</p><p>{say(3)}</p>"
+            body = f"<article>{main}</article>" if h == 4 else f"<div>{main}</div>"
+            rows.append((f"https://u@Host{h}.example:80/{k}", f"<div>{menu}</div><nav>{menu} x</nav>{body}<div class='ad'>{foot}</div><div>{foot}</div>"))
+        rows.append(rows[-1])  # a copy
+    rows += [("//host2.example/rel", rows[8][1]), ("http://[::1]/", rows[0][1]), (None, rows[0][1]), ("http://host0.example", None)]
+    data = [(i // 2, u, x, "clash", 1, 2) for i, (u, x) in enumerate(rows)]
+    got = html.extract(spark.createDataFrame(data, "page_id long, url string, html string, host string, lots int, salt int")).collect()
+    from urllib.parse import urlsplit
+
+    hosts = [(urlsplit(u or "").hostname or "").lower() if "[" not in (u or "") else "[::1]" for u, _ in rows]
+    want = brute_extract({i: (hosts[i], x) for i, (_, x) in enumerate(rows)})
+    key = lambda i: (i // 2, rows[i][0] or "", *want[i])
+    assert sorted((r["page_id"], r["url"] or "", r["text"], r["n_removed"]) for r in got) == sorted(map(key, want))
+    assert sum(r["n_removed"] for r in got) > 200
 
 
 def test_extract(spark):
