@@ -231,6 +231,57 @@ def test_neighbours_odd_rows(spark):
     assert ann.search(df.where("vec_id < 0")).collect() == []
 
 
+def test_forest_descends_and_ascends():
+    rng = np.random.default_rng(3)
+    unit = rng.standard_normal((700, 16))
+    unit /= np.sqrt((unit * unit).sum(axis=1))[:, None]
+    forest = ann.Forest(unit, 8)
+    queries = np.concatenate([unit[:5], rng.standard_normal((20, 16))])
+    code, own = ann.codes(queries, forest.normals), ann.codes(unit, forest.normals)
+    common = np.array([[[ann.BITS - int(int(a) ^ int(b)).bit_length() for b in own[t]] for a in code[t]] for t in range(8)])
+    assert (forest.descend(code) == common.max(axis=2)).all()
+    low, high = forest.search(queries, 0.05)
+    want = 8 * max(1, 0.05 * 700**ann.GROWTH)
+    for q in range(len(queries)):
+        level = next(x for x in range(ann.BITS, -1, -1) if x == 0 or (common[:, q] >= x).sum() >= want)
+        assert set(forest.candidates(low[:, q], high[:, q])) == set(np.flatnonzero((common[:, q] >= level).any(axis=0)))
+
+
+def test_share_of_candidates_falls_with_size():
+    """The work of a query grows slower than the block, at a recall of 0.9 or more."""
+    rng = np.random.default_rng(4)
+    shares = []
+    for n in (1000, 4000, 16000):
+        vectors = rng.standard_normal((n, 64))
+        unit = vectors / np.sqrt((vectors * vectors).sum(axis=1))[:, None]
+        block = ann.Block(np.arange(n), vectors, 5)
+        asked = np.arange(0, n, n // 60)
+        q, v, _ = block.nearest(asked, vectors[asked])
+        found = {(a, b) for a, b in zip(q.tolist(), v.tolist(), strict=True)}
+        near = np.argsort(-(unit[asked] @ unit.T), axis=1)[:, 1:6]
+        assert np.mean([(a, b) in found for a, row in zip(asked.tolist(), near.tolist(), strict=True) for b in row]) >= 0.9
+        shares.append(block.ranked / n / len(asked))
+    assert shares[0] > shares[1] > shares[2] and shares[2] < 0.3, shares
+
+
+def test_neighbours_over_blocks_and_repeats(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK", 40)
+    rng = random.Random(2)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(6)]) for i in range(200)] + [(300 + i, [1.0, 2.0, 3.0, 4.0, 5.0, 6.0]) for i in range(60)]
+    rows += [(7, [9.0] * 6), (None, [1.0] * 6)]  # an id twice: its smallest vector counts
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    own = {}
+    for i, v in rows[:-1]:
+        own[i] = min(v, own.get(i, v))
+    want = brute_neighbours(list(own.items()), 50, 5)
+    got = {}
+    for r in ann.search(df).collect():
+        got.setdefault(r["query_id"], set()).add((r["rank"], r["vec_id"]))
+    hits = [len(got[q] & {(k + 1, i) for k, (_, i) in enumerate(near)}) for q, near in want.items()]
+    assert got.keys() == want.keys() and sum(hits) >= 0.9 * 5 * len(want)
+    assert got[300] == {(k + 1, 301 + k) for k in range(5)}  # ties go to the smaller id
+
+
 # ---- pages
 
 
