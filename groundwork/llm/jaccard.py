@@ -16,9 +16,10 @@ fewer than k with any others leaves all lists.
    hashes that a bitmap can hide, reach the overlap that their sizes call for, and
    while they hold different components. What is left is verified on the whole sets.
 
-Lists longer than a block are cut into blocks that meet pairwise in tasks of their own.
-Only sets of candidates are shuffled; the filter that finds them is a bitmap of fixed
-size. Shingles are 64-bit hashes of word hashes.
+Lists longer than a block are cut into blocks, and pairs of blocks are dealt over the tasks. Texts are
+shingled once and their sets written; only sets of candidates are shuffled, and the filter that finds
+them is a bitmap of bounded size. Shingles are 64-bit hashes of word hashes. That the first round stops a
+list at 4 000 000 pairs and looks at three lists of each member loses no link: the second round has no bound.
 """
 
 from __future__ import annotations
@@ -39,8 +40,9 @@ SHINGLE, PERCENT = 5, 75
 FREQUENT = 1 << 15
 SALTS = 16
 BLOCK = 1024
-#: Bits of the filter that picks candidates' documents; when it fills up, more sets are shuffled.
-FILTER_BITS = 1 << 23
+#: Bits of the filter that picks candidates' sets: 16 for each candidate, between these bounds (32 MB at
+#: most); when it fills up, more sets are shuffled.
+FILTER_LEAST, FILTER_MOST = 1 << 16, 1 << 28
 _FOLD = [np.uint64(0x9FB21C651E98DF25), np.uint64(0xD1B54A32D192ED03), np.uint64(0xA24BAED4963EE407), np.uint64(0x9E6C63D0676A9A99), np.uint64(0xC2B2AE3D27D4EB4F)]
 
 
@@ -100,8 +102,11 @@ def _needed(a, b, percent: int):
 
 
 def _summaries(docs: DataFrame, words: int) -> DataFrame:
-    """Per document its set's size, class and signature; per task lot the frequent shingles (``heavy``)."""
-    schema = "doc_id long, n_shingles long, class long, bits binary, heavy binary, times binary"
+    """Per document its set's size and class, once for each class of a task also its signature and
+    shingles (``tokens``); per task lot the frequent shingles (``heavy``)."""
+    schema = "doc_id long, n_shingles long, class long, bits binary, heavy binary, times binary, tokens binary"
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+    names = ["doc_id", "n_shingles", "class", "bits", "heavy", "times", "tokens"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lot, size, known = [], 0, set()
@@ -112,26 +117,35 @@ def _summaries(docs: DataFrame, words: int) -> DataFrame:
             best = best[np.argsort(-times[best], kind="stable")[:4096]]
             if not len(best):
                 return None
-            cols = [pa.array([x], t) for x, t in zip((None, None, None, None, token[best].tobytes(), times[best].astype(np.int64).tobytes()), (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)]
-            return pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_shingles", "class", "bits", "heavy", "times"])
+            row = (None, None, None, None, token[best].tobytes(), times[best].astype(np.int64).tobytes(), None)
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], names=names)
 
         for part in slices(batches, "text"):
             sets = shingle_sets(part.column("text"), words)
-            names = [class_of(s) if len(s) else None for s in sets]
-            none = pa.nulls(len(sets), pa.binary())
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.int64()), pa.array([signature(s).tobytes() if len(s) else None for s in sets], pa.binary()), none, none],
-                names=["doc_id", "n_shingles", "class", "bits", "heavy", "times"],
-            )
-            for name, s in zip(names, sets, strict=True):
-                if name is not None and name not in known:
+            classes = [class_of(s) if len(s) else None for s in sets]
+            fresh = []
+            for name, s in zip(classes, sets, strict=True):
+                fresh.append(name is not None and name not in known)
+                if fresh[-1]:
                     known.add(name)
                     lot.append(s)
                     size += len(s)
+            cols = (
+                part.column("doc_id").cast(pa.int64()),
+                [len(s) for s in sets],
+                classes,
+                [signature(s).tobytes() if new else None for s, new in zip(sets, fresh, strict=True)],
+                [None] * len(sets),
+                [None] * len(sets),
+                [s.tobytes() if new else None for s, new in zip(sets, fresh, strict=True)],
+            )
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, kinds, strict=True)], names=names)
+            if len(known) > 1_000_000:  # beyond that a task may ship a set again
+                known.clear()
             if size > 2_000_000:
                 if (row := frequent()) is not None:
                     yield row
-                lot, size, known = [], 0, set()
+                lot, size = [], 0
         if lot and (row := frequent()) is not None:
             yield row
 
@@ -158,13 +172,13 @@ def _is_in(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
     return sorted_values[np.minimum(np.searchsorted(sorted_values, x), len(sorted_values) - 1)] == x
 
 
-def _prefix_lists(docs: DataFrame, heavy, buckets: int, words: int, percent: int) -> DataFrame:
+def _prefix_lists(sets: DataFrame, heavy, buckets: int, percent: int) -> DataFrame:
     """Prefix shingles by hash range: rows of (bucket, shingles, their classes, sizes)."""
     schema = "bucket int, t binary, c binary, n binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rare_last = heavy.value
-        token, owner, size, known, count = [], [], [], set(), 0
+        token, owner, size, count = [], [], [], 0
 
         def flush() -> pa.RecordBatch:
             n = np.array([len(t) for t in token])
@@ -179,11 +193,9 @@ def _prefix_lists(docs: DataFrame, heavy, buckets: int, words: int, percent: int
             cols = [[y.tobytes() for y in np.split(x, cut[1:])] for x in (t, c, s)]
             return pa.RecordBatch.from_arrays([pa.array(where[cut].tolist(), pa.int32()), *(pa.array(x, pa.binary()) for x in cols)], names=["bucket", "t", "c", "n"])
 
-        for part in slices(batches, "text"):
-            for s in shingle_sets(part.column("text"), words):
-                if not len(s) or (name := class_of(s)) in known:
-                    continue
-                known.add(name)
+        for part in slices(batches, "tokens"):
+            for name, tokens in zip(part.column("class").to_pylist(), part.column("tokens"), strict=True):
+                s = np.frombuffer(tokens.as_buffer(), np.uint64)
                 hot = _is_in(rare_last, s)
                 ordered = np.concatenate([s[~hot], s[hot]]) if hot.any() else s
                 ordered = ordered[: _prefix_size(len(s), percent)]
@@ -193,11 +205,11 @@ def _prefix_lists(docs: DataFrame, heavy, buckets: int, words: int, percent: int
                 count += len(ordered)
             if count > 1_000_000:
                 yield flush()
-                token, owner, size, known, count = [], [], [], set(), 0
+                token, owner, size, count = [], [], [], 0
         if token:
             yield flush()
 
-    return docs.mapInArrow(run, schema)
+    return sets.mapInArrow(run, schema)
 
 
 def _lists(heavy, ranges: int):
@@ -431,13 +443,16 @@ def _traverse(percent: int, most: int | None = None):
 
 
 def _filter_bits(names: DataFrame) -> np.ndarray:
-    """A bitmap of FILTER_BITS bits over the hashes of ``class``; its size is fixed."""
-    parts = partitions(names.sparkSession)
+    """A bitmap over the hashes of ``class``, packed; its size has a fixed bound."""
+    parts, width = partitions(names.sparkSession), FILTER_LEAST
+    count = names.count()
+    while width < min(16 * count, FILTER_MOST):
+        width *= 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(FILTER_BITS, bool)
+        bits = np.zeros(width, bool)
         for b in batches:
-            bits[(mix(b.column(0).to_numpy().view(np.uint64)) % np.uint64(FILTER_BITS)).astype(np.int64)] = True
+            bits[(mix(b.column(0).to_numpy().view(np.uint64)) % np.uint64(width)).astype(np.int64)] = True
         at = np.flatnonzero(bits.reshape(-1, 4096).any(axis=1))
         packed = np.packbits(bits.reshape(-1, 4096)[at], axis=1)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array([p.tobytes() for p in packed], pa.binary())], names=["k", "bits"])
@@ -447,30 +462,23 @@ def _filter_bits(names: DataFrame) -> np.ndarray:
         return pa.table({"k": table.column("k").slice(0, 1), "bits": pa.array([both.tobytes()], pa.binary())})
 
     rows = names.select("class").coalesce(max(1, min(parts, 64))).mapInArrow(run, "k int, bits binary").groupBy("k").applyInArrow(join, "k int, bits binary")
-    out = np.zeros((FILTER_BITS // 4096, 512), np.uint8)
+    out = np.zeros((width // 4096, 512), np.uint8)
     for r in rows.collect():
         out[r["k"]] = np.frombuffer(r["bits"], np.uint8)
     return out.ravel()
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
+def _verified(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of classes whose whole sets are similar enough."""
-    spark = docs.sparkSession
-    names = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
+    spark = sets.sparkSession
+    names = written(pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct(), "names")
     bits = spark.sparkContext.broadcast(_filter_bits(names))
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: set[int] = set()
-        wanted = np.unpackbits(bits.value).view(bool)
-        for part in slices(batches, "text"):
-            got = [(class_of(s), s) for s in shingle_sets(part.column("text"), words) if len(s)]
-            if not got:
-                continue
-            pick = wanted[(mix(np.array([c for c, _ in got], np.int64).view(np.uint64)) % np.uint64(FILTER_BITS)).astype(np.int64)]
-            out = {c: s for (c, s), p in zip(got, pick.tolist(), strict=True) if p and c not in known}
-            known.update(list(out)[: max(0, 100_000 - len(known))])
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64()), pa.array([s.tobytes() for s in out.values()], pa.binary())], names=["class", "tokens"])
+    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        width = np.uint64(8 * len(bits.value))
+        for b in batches:
+            at = (mix(b.column("class").to_numpy().view(np.uint64)) % width).astype(np.int64)
+            yield b.filter(pa.array(bits.value[at >> 3] >> (7 - (at & 7)) & 1 == 1))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -481,8 +489,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> Da
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    table = docs.mapInArrow(sets, "class long, tokens binary").dropDuplicates(["class"])
-    table = written(table, "sets")
+    table = written(sets.mapInArrow(wanted, "class long, tokens binary").dropDuplicates(["class"]), "sets")
     left = table.select(F.col("class").alias("a"), F.col("tokens").alias("x"))
     right = table.select(F.col("class").alias("b"), F.col("tokens").alias("y"))
     return written(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), "links")
@@ -503,13 +510,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     table = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     summaries = written(_summaries(table, words), "summaries")
     rows = summaries.where("heavy is null").select("doc_id", "n_shingles", "class", "bits")
+    sets = summaries.where("tokens is not null").select("class", "tokens")
     frequent = spark.sparkContext.broadcast(_frequent(summaries))
     sizes = rows.agg(F.sum("n_shingles")).first()[0] or 0
     buckets = int(max(4 * partitions(spark), sizes // 4_000_000))
 
     ranges = max(16, partitions(spark))
     found = written(
-        _prefix_lists(table, frequent, buckets, words, percent)
+        _prefix_lists(sets, frequent, buckets, percent)
         .groupBy("bucket")
         .applyInArrow(_lists(frequent, ranges), "token long, hot boolean, mark long, classes array<long>, range int, c binary, n binary"),
         "lists",
@@ -518,7 +526,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # lists with the same members are one list; of frequent shingles they are parts and stay
     lists = found.where("not hot").dropDuplicates(["mark"]).select("token", "classes").unionByName(found.where("hot").select("token", "classes"))
     members = written(lists.select("token", F.explode("classes").alias("class")).join(alive, "class"), "members")
-    signs = rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("size"), F.first("bits").alias("bits"))
+    signs = rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("size"), F.first("bits", True).alias("bits"))
     signs = written(signs, "classes")
 
     # each member with the smallest class of its token and size step, and those of neighbouring steps
@@ -535,35 +543,40 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         y = signs.select(F.col("class").alias("b"), F.col("size").alias("nb"), F.col("bits").alias("xb"))
         return pairs.join(x, "a").join(y, "b").mapInArrow(_bound_pairs(percent), "a long, b long")
 
-    edges = _verified(table, written(with_signs(candidates), "pairs"), words, percent)
+    edges = _verified(sets, written(with_signs(candidates), "pairs"), percent)
     labels = components(edges)
 
-    groups = int(4 * partitions(spark))
+    groups = int(max(4 * partitions(spark), members.count() // 20_000))
 
     def searched(labels: DataFrame | None, most: int | None) -> DataFrame:
-        """Verified pairs of the lists' members between components, or of all members without ``labels``."""
+        """Verified pairs of the lists' members between components, or of all members without ``labels``.
+
+        A list's largest component is told from its other members: only the latter need to meet
+        anyone. Both are cut into blocks, and each pair of blocks is a unit of its own."""
         named = members.withColumn("label", F.col("class"))
         if labels is not None:
             named = members.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
+        parts = named.groupBy("token", "label").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("class").cast("decimal(38,0)")).alias("mark"))
+        cut = lambda n: F.ceil(n / BLOCK).cast("int")
         open_ = (
-            named.groupBy("token")
-            .agg(F.min("label").alias("l"), F.max("label").alias("h"), F.min("class").alias("lead"), F.count(F.lit(1)).alias("members"), F.sum(F.xxhash64("class").cast("decimal(38,0)")).alias("mark"))
-            .where("l <> h")
+            parts.groupBy("token")
+            .agg(F.count(F.lit(1)).alias("labels"), F.max_by("label", F.struct("n", "label")).alias("major"), F.max("n").alias("most"), F.sum("n").alias("members"), F.sum("mark").alias("mark"))
+            .where("labels > 1")
             .withColumn("one", F.row_number().over(Window.partitionBy("mark", "members").orderBy("token")))
             .where("one = 1")
-            .select("token", "lead", "members", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
+            .select("token", "major", "members", cut(F.col("most")).alias("ma"), cut(F.col("members") - F.col("most")).alias("mi"))
         )
         work = named.join(open_, "token")
         if most:  # in this round, the longest lists of each member
             longest = Window.partitionBy("class").orderBy(F.desc("members"), "token")
             work = work.withColumn("r", F.row_number().over(longest)).where("r <= 3")
-        work = work.join(signs.select("class", "bits"), "class")
-        work = work.withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
-        work = work.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        work = work.select("token", "lead", "class", "size", "label", "bits", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-        # lists of like members have the same smallest one: in one group their pairs are told once
-        pairs = work.withColumn("group", F.pmod(F.xxhash64("lead", "i", "j"), F.lit(groups))).drop("lead").groupBy("group").applyInArrow(_traverse(percent, most), "a long, b long")
-        return _verified(table, written(pairs.distinct(), "pairs"), words, percent)
+        work = work.join(signs.select("class", "bits"), "class").withColumn("minor", F.col("label") != F.col("major"))
+        work = work.withColumn("block", F.when(F.col("minor"), F.col("ma") + F.pmod(F.xxhash64("class"), "mi")).otherwise(F.pmod(F.xxhash64("class"), "ma")).cast("int"))
+        first = F.when(F.col("minor"), F.lit(0)).otherwise(F.col("ma"))
+        work = work.withColumn("other", F.explode(F.sequence(first, F.col("ma") + F.col("mi") - 1)))
+        work = work.select("token", "class", "size", "label", "bits", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+        pairs = work.withColumn("group", F.pmod(F.xxhash64("token", "i", "j"), F.lit(groups))).groupBy("group").applyInArrow(_traverse(percent, most), "a long, b long")
+        return _verified(sets, written(pairs.distinct(), "pairs"), percent)
 
     # first the likeliest candidates of each member, which joins most components; then all that is left
     for most in (1, None):
