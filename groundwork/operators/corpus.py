@@ -28,9 +28,9 @@ def pii_type_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return rows.select(F.explode(found_categories(resolve_pii(F.col("body")))).alias("category")).groupBy("category").agg(F.count(F.lit(1)).alias("documents"))
 
 
-def ground_foreign(claims: DataFrame, docs: DataFrame, min_share: float = 0.5, k: int = 3) -> DataFrame:
+def foreign_candidates(claims: DataFrame, docs: DataFrame, min_share: float = 0.5, k: int = 3) -> DataFrame:
     """L5. For each foreign text (``item_id, text``) its ``k`` best documents by the share of all its terms
-    that they hold (at least ``min_share``), with G6 over the chunks of each: ``claim_support, verbatim``.
+    that they hold (at least ``min_share``): ``item_id, rank, doc_id, shared, n_terms, support``.
 
     A document with the share holds at least ``h`` of an item's ``n - need + h`` rarest terms; ``h`` is half of the
     terms needed, so that the most frequent quarter is looked up for candidates only. Terms are joined by salted keys."""
@@ -51,12 +51,16 @@ def ground_foreign(claims: DataFrame, docs: DataFrame, min_share: float = 0.5, k
     scored = scored.withColumn("support", F.round(F.col("shared") / F.col("n_terms"), 6)).where(F.col("support") >= min_share)
     order = Window.partitionBy("item_id").orderBy(F.desc("support"), "doc_id")
     best = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    best = written(best.select("item_id", "rank", "doc_id", "shared", "n_terms", "support"))
+    return best.select("item_id", "rank", "doc_id", "shared", "n_terms", "support")
+
 
+def ground_foreign(claims: DataFrame, docs: DataFrame, min_share: float = 0.5, k: int = 3) -> DataFrame:
+    """L5. ``foreign_candidates`` with G6 over the chunks of each document: ``claim_support, verbatim``."""
+    best = written(foreign_candidates(claims, docs, min_share, k))
     run = F.concat_ws("-", "item_id", "doc_id").alias("run_id")
     body = claims.select("item_id", normalise_ws("text").alias("claim"))
     rows = best.join(body, "item_id").select(F.col("item_id").alias("output_id"), run, F.lit(0).alias("claim_no"), "claim")
     parts = chunks(docs.select("doc_id", "text").join(best.select("doc_id").distinct(), "doc_id", "left_semi"))
-    evidence = best.select(*pair).join(parts, "doc_id").select(run, "ordinal", "text")
+    evidence = best.select("item_id", "doc_id").join(parts, "doc_id").select(run, "ordinal", "text")
     judged = claim_support(rows, evidence).select("run_id", F.col("support").alias("claim_support"), "verbatim")
     return best.withColumn("run_id", run).join(judged, "run_id").drop("run_id")

@@ -55,6 +55,13 @@ def payload(rows: DataFrame) -> Column:
     return canonical_json(have | {"timestamp": _timestamp(F.col("created_at"))})
 
 
+def payload_ends(rows: DataFrame) -> tuple[Column, Column]:
+    """The payload before and after the value of ``seq``, for folds that number events themselves."""
+    have = {k: (F.col(k) if k in rows.columns else F.lit(None).cast("string")) for k in PAYLOAD if k not in ("seq", "timestamp")} | {"timestamp": _timestamp(F.col("created_at"))}
+    front, back = (canonical_json({k: c for k, c in have.items() if (k < "seq") == early}) for early in (True, False))
+    return F.concat(F.regexp_replace(front, r"\}$", ""), F.lit(',"seq":')), F.concat(F.lit(","), F.regexp_replace(back, r"^\{", ""))
+
+
 def append_chain(events: DataFrame, heads: DataFrame | None = None, order: list[str] | None = None) -> DataFrame:
     """I4. Give events of each chain ``seq, prev_hash, entry_hash``: entry = sha256(prev | payload),
     after the chain's head in ``heads`` (``chain_id, seq, entry_hash``) or from the genesis hash.
@@ -113,6 +120,15 @@ def chain_heads(events: DataFrame) -> DataFrame:
     return events.groupBy("chain_id").agg(F.max("seq").alias("seq"), F.max_by("entry_hash", "seq").alias("entry_hash"), (F.max("seq") + 1).alias("next_seq"))
 
 
+def root_hash(heads: DataFrame, digits: int = 3) -> DataFrame:
+    """``chains, root_hash``: one hash over the heads of all chains (``chain_id, entry_hash``), as the order of
+    chains is no part of it: sha256 over the sorted hashes of ranges (16 ** ``digits``, by the md5 of the
+    chain), each the sha256 over its sorted heads."""
+    leaf = heads.select(F.substring(F.md5(F.col("chain_id").cast("string").cast("binary")), 1, digits).alias("part"), F.concat_ws(":", F.col("chain_id").cast("string"), "entry_hash").alias("leaf"))
+    parts = leaf.groupBy("part").agg(F.count(F.lit(1)).alias("n"), sha256(F.array_join(F.array_sort(F.collect_list("leaf")), "|")).alias("h"))
+    return parts.agg(F.sum("n").alias("chains"), sha256(F.array_join(F.array_sort(F.collect_list("h")), "|")).alias("root_hash"))
+
+
 def manifests(runs: DataFrame, outputs: DataFrame, model: str = "extractive-v1", prompt: str = "p1", pipeline: str = "1") -> DataFrame:
     """I7. ``run_id, manifest, manifest_hash``: source, engine and the run's outputs by format.
     ``runs`` has ``run_id, title, source_kind, source_hash, created_at``."""

@@ -81,7 +81,7 @@ AUDIT = "audit AS (SELECT user_id AS chain_id, event_id, event_type AS action, '
 TRANSCRIPTS = "transcripts AS (SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id)"
 TURNS = (
     "o AS (SELECT conv_id * 1000 + turn AS output_id, conv_id AS run_id, text || chr(10) || 'Stat: ' || len(text) || chr(10) || '[Panel 1]' || chr(10) || 'Source: x' AS body FROM conversations WHERE role = 'assistant'),"
-    " e AS (SELECT conv_id AS run_id, turn AS ordinal, text || ' ' || len(text) AS text FROM conversations WHERE turn % 3 <> 1)"
+    " e AS (SELECT conv_id AS run_id, turn AS ordinal, text || ' ' || len(text) AS text FROM conversations WHERE coalesce(role, '') <> 'assistant')"
 )
 GRANTS = "grants AS (SELECT * FROM (VALUES " + ",".join(f"({_q(r)},{_q(p)})" for r, ps in rules.GRANTS.items() for p in ps) + ") t(actor_role, permission))"
 
@@ -280,9 +280,15 @@ def sql() -> dict[str, str]:
     payload = (
         "'{\"action\":\"' || event_type || '\",\"actor\":\"user' || user_id || '\",\"actor_role\":\"' || ['viewer','analyst','approver','admin','guest'][event_id % 5 + 1] || '\",\"detail\":' || to_json(props)::VARCHAR || ',\"doc_id\":null,\"run_id\":null,\"seq\":' || seq || ',\"summary\":\"' || event_type || ' by ' || user_id || '\",\"timestamp\":\"' || strftime(date_trunc('second', ts), '%Y-%m-%dT%H:%M:%S') || '+00:00\"}'"
     )
-    s["i4_append_chain"] = (
-        f"WITH RECURSIVE r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq FROM events), p AS (SELECT user_id AS chain_id, event_id, seq, {payload} AS payload FROM r),"
-        " chain AS (SELECT chain_id, seq, event_id, repeat('0', 64) AS prev_hash, sha256(repeat('0', 64) || '|' || payload) AS entry_hash FROM p WHERE seq = 1 UNION ALL SELECT p.chain_id, p.seq, p.event_id, c.entry_hash, sha256(c.entry_hash || '|' || p.payload) FROM chain c JOIN p ON p.chain_id = c.chain_id AND p.seq = c.seq + 1) SELECT * FROM chain"
+    chain = (
+        f"WITH RECURSIVE r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq FROM events), p AS (SELECT user_id AS chain_id, event_id, event_type AS action, seq, {payload} AS payload FROM r),"
+        " chain AS (SELECT chain_id, seq, event_id, action, repeat('0', 64) AS prev_hash, sha256(repeat('0', 64) || '|' || payload) AS entry_hash FROM p WHERE seq = 1 UNION ALL SELECT p.chain_id, p.seq, p.event_id, p.action, c.entry_hash, sha256(c.entry_hash || '|' || p.payload) FROM chain c JOIN p ON p.chain_id = c.chain_id AND p.seq = c.seq + 1)"
+    )
+    s["i4_append_chain"] = f"{chain} SELECT chain_id, seq, event_id, prev_hash, entry_hash FROM chain"
+    s["l3_stream_chain"] = f"{chain} SELECT chain_id, seq, action, prev_hash, entry_hash FROM chain"
+    s["i6_root_hash"] = (
+        f"{chain}, heads AS (SELECT chain_id, chain_id || ':' || arg_max(entry_hash, seq) AS leaf FROM chain GROUP BY 1), parts AS (SELECT count(*) AS n, sha256(string_agg(leaf, '|' ORDER BY leaf)) AS h FROM heads GROUP BY substr(md5(chain_id::VARCHAR), 1, 3))"
+        " SELECT sum(n)::BIGINT AS chains, sha256(string_agg(h, '|' ORDER BY h)) AS root_hash FROM parts"
     )
     s["i5_verify_chain"] = (
         "WITH c AS (SELECT user_id AS chain_id, count(*) AS n FROM events GROUP BY 1), x AS (SELECT chain_id, n, CASE WHEN chain_id % 10 = 1 AND n >= 4 THEN 4 END AS cut, CASE WHEN chain_id % 10 = 3 THEN 1 END AS head, CASE WHEN chain_id % 10 = 2 AND n >= 3 THEN 3 END AS alt FROM c)"
@@ -321,9 +327,9 @@ def sql() -> dict[str, str]:
         "WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), h AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM g)"
         " SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, count(*) AS n FROM h GROUP BY user_id, sid"
     )
-    s["l5_ground_foreign"] = (
-        f"WITH t AS (SELECT DISTINCT item_id, unnest({content('text')}) AS term FROM benchmark), h AS (SELECT DISTINCT doc_id, unnest({content('text')}) AS term FROM documents), df AS (SELECT term, count(*) AS df FROM h WHERE term IN (SELECT term FROM t) GROUP BY ALL), rare AS (SELECT * FROM t WHERE term NOT IN (SELECT term FROM df WHERE df > greatest(1, 0.05 * (SELECT count(*) FROM documents))))"
-        ", n AS (SELECT item_id, count(*) AS n_terms FROM rare GROUP BY ALL), b AS (SELECT item_id, doc_id, count(*) AS shared FROM rare JOIN h USING (term) GROUP BY ALL), s AS (SELECT item_id, doc_id, shared, n_terms, round(shared / n_terms::DOUBLE, 6) AS support FROM b JOIN n USING (item_id))"
+    s["l5_foreign_candidates"] = (
+        f"WITH t AS (SELECT DISTINCT item_id, unnest({content('text')}) AS term FROM benchmark), h AS (SELECT DISTINCT doc_id, unnest({content('text')}) AS term FROM documents)"
+        ", n AS (SELECT item_id, count(*) AS n_terms FROM t GROUP BY ALL), b AS (SELECT item_id, doc_id, count(*) AS shared FROM t JOIN h USING (term) GROUP BY ALL), s AS (SELECT item_id, doc_id, shared, n_terms, round(shared / n_terms::DOUBLE, 6) AS support FROM b JOIN n USING (item_id))"
         ", r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY support DESC, doc_id) AS rank FROM s WHERE support >= 0.5) SELECT item_id, rank, doc_id, shared, n_terms, support FROM r WHERE rank <= 3"
     )
     s["l6_exact_duplicates"] = "SELECT doc_id, first_id, copies FROM (SELECT doc_id, min(doc_id) OVER w AS first_id, count(*) OVER w AS copies FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))) WHERE copies > 1"

@@ -653,6 +653,11 @@ def i6_chain_heads(spark, sf_dir):
     return provenance.chain_heads(provenance.append_chain(audit_events(spark, sf_dir))).select("chain_id", "seq", "next_seq")
 
 
+@query
+def i6_root_hash(spark, sf_dir):
+    return provenance.root_hash(provenance.chain_heads(provenance.append_chain(audit_events(spark, sf_dir))))
+
+
 @query
 def i7_manifests(spark, sf_dir):
     r = runs(spark, sf_dir).select("run_id", F.col("requested_by").alias("title"), F.lit("text").alias("source_kind"), provenance.sha256(F.col("run_id").cast("string")).alias("source_hash"), "created_at")
@@ -775,6 +780,11 @@ def l4_sessions(spark, sf_dir):
     return jobs.sessions(table(spark, sf_dir, "events"))
 
 
+@query
+def l5_foreign_candidates(spark, sf_dir):
+    return corpus.foreign_candidates(table(spark, sf_dir, "benchmark"), docs(spark, sf_dir))
+
+
 @query
 def l5_ground_foreign(spark, sf_dir):
     return corpus.ground_foreign(table(spark, sf_dir, "benchmark"), docs(spark, sf_dir))
@@ -811,13 +821,13 @@ def l2_stream_ingest(spark, sf_dir):
 
 @query
 def l3_stream_chain(spark, sf_dir):
-    """All events through the streaming audit chain; events after the last watermark are still held."""
+    """All events through the streaming audit chain, to the last one."""
     path = _own_folder(spark)
-    schema = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
-    events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
-    events = events.selectExpr("user_id as chain_id", "event_id", "event_type as action", "props as detail", "ts as created_at")
-    out = jobs.chain_stream(events).writeStream.format("parquet").option("path", f"{path}/chain").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
-    out.awaitTermination()
+    columns = "chain_id long, event_id long, action string, actor string, actor_role string, summary string, detail string, created_at timestamp"
+    audit_events(spark, sf_dir).write.parquet(f"{path}/in")
+    jobs.end_of_run(spark, f"{path}/in")
+    out = jobs.chain_stream(spark.readStream.schema(columns).parquet(f"{path}/in")).writeStream.format("parquet").option("path", f"{path}/chain")
+    out.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{path}/chain").select("chain_id", "seq", "action", "prev_hash", "entry_hash")
 
 
