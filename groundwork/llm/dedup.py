@@ -1,39 +1,43 @@
 """Exact deduplication with a heavy-hitter split; DataFrame functions only.
 
-A Misra-Gries summary of the digests names the few that may be frequent. Their
-exact counts and winners are verified in one map-side aggregate and broadcast,
-so no row of a frequent text is shuffled; the other digests use an ordinary
+Each text is hashed once and the digests are written. A Misra-Gries summary with a
+fixed number of counters in each map task names the few digests that may be frequent; no digest
+is shuffled for it. Their exact counts and winners are verified in one map-side aggregate and
+broadcast, so no row of a frequent text is shuffled; the other digests use an ordinary
 aggregate and join.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import partitions
+from .shared import partitions, written
 
-#: Counters of the summary. A digest with more than rows / COUNTERS rows is always found.
-COUNTERS = 1024
+#: Frequent digests kept, and counters of a summary. Spark's ``approx_top_k`` is the mergeable Misra-Gries
+#: summary of frequent items: with T counters it misses at most 3.5 rows / T of a digest.
+HEAVY, COUNTERS = 1024, 8192
 
 
-def frequent_digests(digests: DataFrame, column: str = "digest", counters: int = COUNTERS) -> DataFrame:
-    """Misra-Gries over ``column``: at most ``counters`` digests, every one with more
-    than rows / counters occurrences among them.
+def digest_of(text: Column) -> Column:
+    """32 bytes of the text; null counts as empty."""
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256))
 
-    The rows are counted in blocks (``block``, dealt by input partition, so a frequent
-    digest is spread), each block keeps its ``counters`` largest counts less the next
-    one (the Misra-Gries reduction), and the sums of the blocks are reduced
-    once more. Reductions take at most rows / (counters + 1) from any digest.
-    """
-    per_block = digests.groupBy("block", column).agg(F.count(F.lit(1)).alias("n"))
-    order = Window.partitionBy("block").orderBy(F.desc("n"), column)
-    cut = Window.partitionBy("block")
-    ranked = per_block.withColumn("r", F.row_number().over(order)).where(F.col("r") <= counters + 1)
-    reduced = ranked.withColumn("n", F.col("n") - F.coalesce(F.max(F.when(F.col("r") > counters, F.col("n"))).over(cut), F.lit(0)))
-    return (
-        reduced.where("n > 0").groupBy(column).agg(F.sum("n").alias("n")).orderBy(F.desc("n"), column).limit(counters).select(column)
-    )
+
+def short_name(digest: Column) -> Column:
+    """64 bits of a digest, for counting only."""
+    return F.conv(F.substring(F.hex(digest), 1, 15), 16, 10).cast("long")
+
+
+def frequent_digests(rows: DataFrame, column: str = "digest", heavy: int = HEAVY, counters: int = COUNTERS) -> DataFrame:
+    """``name``: 64-bit names of at most ``heavy`` digests; every digest with more than rows / (heavy / 2)
+    rows is among them. Counters are merged by blocks of tasks, then once more."""
+    blocks = F.pmod(F.spark_partition_id(), F.lit(max(16, partitions(rows.sparkSession))))
+    named = rows.select(short_name(F.col(column)).alias("name"), blocks.alias("block"))
+    summaries = named.groupBy("block").agg(F.expr(f"approx_top_k_accumulate(name, {counters})").alias("s"))
+    # grouped, as the combining aggregate has no state for an empty partition
+    top = summaries.groupBy(F.lit(0).alias("all")).agg(F.expr(f"approx_top_k_combine(s, {counters})").alias("s")).select(F.explode(F.expr(f"approx_top_k_estimate(s, {heavy})")).alias("x"))
+    return top.select(F.col("x.item").alias("name")).where("name is not null")
 
 
 def exact_dedup(
@@ -42,28 +46,27 @@ def exact_dedup(
     text_col: str = "text",
     normalise=lambda text: text,
     keep: str = "max",
+    heavy: int = HEAVY,
     counters: int = COUNTERS,
 ) -> DataFrame:
     """One row per input row: id, ``keep_id``, ``group_size``, ``kept``, ``text_sha256``.
 
-    Texts are equal when ``normalise(text)`` is; null counts as empty. Of equal texts
-    the row with the largest id stays (``keep='min'``: the smallest). Repeated ids
-    count as rows of their own and share one ``keep_id``. Empty in, empty out. Other
+    Texts are equal when ``normalise(text)`` is; null counts as empty, very long texts are hashed
+    whole. Of equal texts the row with the largest id stays (``keep='min'``: the smallest; null
+    ids lose, and have ``kept`` null). Rows with equal ids count each, share one ``keep_id`` and are
+    kept together: see ``distinct_texts`` for one row of each text. Empty in, empty out. Other
     columns are not read.
     """
     best = F.max if keep == "max" else F.min
-    text: Column = normalise(F.coalesce(F.col(text_col), F.lit("")))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest"))
-
-    blocks = F.pmod(F.spark_partition_id(), F.lit(max(64, partitions(docs.sparkSession))))
-    found = frequent_digests(rows.withColumn("block", blocks), counters=counters)
-    # at most ``counters`` rows of 48 bytes: a proven bound for the two broadcasts
-    heavy = (
-        rows.join(F.broadcast(found), "digest", "left_semi")
+    rows = written(docs.select(F.col(id_col).alias("doc_id"), digest_of(normalise(F.coalesce(F.col(text_col), F.lit("")))).alias("digest")), "digests")
+    found = frequent_digests(rows, heavy=heavy, counters=counters)
+    # at most ``heavy`` rows of 56 bytes: a proven bound for the two broadcasts
+    winners = (
+        rows.join(F.broadcast(found), short_name(F.col("digest")) == found["name"], "left_semi")
         .groupBy("digest")
         .agg(best("doc_id").alias("h_keep"), F.count(F.lit(1)).alias("h_size"))
     )
-    marked = rows.join(F.broadcast(heavy), "digest", "left")
+    marked = rows.join(F.broadcast(winners), "digest", "left")
     frequent = marked.where(F.col("h_size").isNotNull()).select("doc_id", "digest", F.col("h_keep").alias("keep_id"), F.col("h_size").alias("group_size"))
     rest = marked.where(F.col("h_size").isNull()).select("doc_id", "digest")
     sizes = rest.groupBy("digest").agg(best("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))

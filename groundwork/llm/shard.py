@@ -1,15 +1,11 @@
 """Sharding by longest-processing-time scheduling; groups of equal texts stay together.
 
 The ``bytes`` law: shard sizes as near equal as the groups allow. LPT hands the groups,
-largest first, to the least-loaded shard (a heap). Three steps keep the driver's part bounded:
-
-1. the ``TOP`` largest groups, one by one through the heap;
-2. the other large groups in classes of nearly equal size (1/32 of an octave): the heap
-   deals each class in turns, one group per shard and turn;
-3. after the true loads of steps 1 and 2 are summed, the small groups, whose classes
-   hold one exact size each: the heap levels the shards with them, largest first.
-
-The driver sees at most ``TOP`` groups, one row per size class, and one per shard.
+largest first, to the least-loaded shard (a heap). Groups of one size are alike, so Spark counts
+the groups of each size and the heap deals the counts; sizes are told to ``SIGNIFICANT`` bits
+(sizes below 4096 are exact, larger ones to 1 in 4096 or better), which bounds what the driver sees
+for any input: 2048 classes to an octave. Since larger classes stand for their mean, the true
+loads are summed once all inexact classes are dealt, and the exact ones level them.
 """
 
 from __future__ import annotations
@@ -18,14 +14,14 @@ import heapq
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .dedup import digest_of, frequent_digests, short_name
 from .shared import ranked, written
 
-TOP = 4096
-#: Groups of at most so many bytes are levelled by exact size.
-SMALL = 4096
+#: Bits of a group's size that count.
+SIGNIFICANT = 12
 OVERHEAD = 16
 
 
@@ -60,9 +56,10 @@ def deal(loads: list[int], size: int, count: int, heap: list[tuple[int, int]]) -
     return [(s, n) for s, n in enumerate(given) if n]
 
 
-def _large_class(size):
-    """1/32 octaves from SMALL on, negative so that they differ from exact sizes."""
-    return -F.floor(F.log2(size / float(SMALL)) * 32).cast("long") - 1
+def size_class(size: str) -> Column:
+    """The column ``size`` to ``SIGNIFICANT`` bits, as a number that orders like sizes; exact where no bit is lost."""
+    lost = f"cast(greatest(length(bin({size})) - {SIGNIFICANT}, 0) as int)"
+    return F.expr(f"cast({lost} as bigint) * {1 << SIGNIFICANT} + shiftright({size}, {lost})")
 
 
 def shard_documents(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -70,8 +67,9 @@ def shard_documents(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", t
 
     ``size`` is the UTF-8 bytes of the text (null: none) plus 16; rows with equal texts
     (null and empty count as equal) share a shard. ``slot`` numbers a shard's rows from 0
-    by a hash of the ids. ``law`` is always ``bytes``, so ``grown_shard`` is null. Ids must be
-    unique. Ties between groups go by digest. An empty table gives an empty result.
+    by a hash of the ids. ``law`` is always ``bytes``, so ``grown_shard`` is null. Rows with equal
+    or null ids are rows of their own, with a slot each. Ties between groups go by digest. Other columns are not
+    read. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -79,34 +77,19 @@ def shard_documents(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", t
         F.col(id_col).cast("long").alias("doc_id"),
         (F.octet_length(text) + OVERHEAD).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest"),
+        digest_of(text).alias("digest"),
     )
     rows = written(rows, "sizes")
-    groups = written(rows.groupBy("digest").agg(F.sum("size").alias("total")), "groups")
-
-    # 1. the largest groups, one by one
-    loads, heap = [0] * shards, [(0, s) for s in range(shards)]
-    largest = groups.where(F.col("total") > SMALL).orderBy(F.desc("total"), "digest").limit(TOP).collect()
-    heapq.heapify(heap)
-    first = []
-    for g in largest:
-        load, s = heapq.heappop(heap)
-        loads[s] = load + g["total"]
-        heapq.heappush(heap, (loads[s], s))
-        first.append((bytes(g["digest"]), s))
-    top = spark.createDataFrame(first, "digest binary, top_shard int")  # TOP rows of 40 bytes
-    classed = groups.join(F.broadcast(top), "digest", "left")
-    placed = classed.where("top_shard is not null").select("digest", "total", F.col("top_shard").alias("shard"))
-    rest = classed.where("top_shard is null").withColumn(
-        "class", F.when(F.col("total") > SMALL, _large_class(F.col("total"))).otherwise(F.col("total"))
-    )
-    counts = rest.groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.max("total").alias("most")).collect()
-    numbered = ranked(rest.select("digest", "total", "class"), ["class"], "digest", "number")
+    groups = written(rows.groupBy("digest").agg(F.sum("size").alias("total")).withColumn("class", size_class("total")), "groups")
+    # bound by the number of classes, whatever the input
+    counts = groups.groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.sum("total").alias("sum")).collect()
+    numbered = ranked(groups, ["class"], "digest", "number")
+    exact = 1 << SIGNIFICANT  # classes below hold one size each
 
     def dealt(part: DataFrame, shares: dict[int, list[tuple[int, int]]]) -> DataFrame:
         """Groups of each class by number: so many to the first shard, so many to the next."""
-        bounds = {c: (np.cumsum([n for _, n in g]), np.array([s for s, _ in g])) for c, g in shares.items()}
-        table = spark.sparkContext.broadcast(bounds)  # size classes x shards numbers
+        bounds = {c: (np.cumsum([n for _, n in g]), np.array([s for s, _ in g], np.int16)) for c, g in shares.items()}
+        table = spark.sparkContext.broadcast(bounds)  # size classes x shards numbers at most
 
         def place(kind: pd.Series, number: pd.Series) -> pd.Series:
             out = np.zeros(len(kind), np.int32)
@@ -119,23 +102,25 @@ def shard_documents(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", t
 
         return part.withColumn("shard", F.pandas_udf(place, "int")("class", "number")).select("digest", "total", "shard")
 
-    # 2. large classes, largest first, as if each group had its class's largest size
-    shares = {}
-    for c in sorted((r for r in counts if r["class"] < 0), key=lambda r: r["class"]):
-        shares[c["class"]] = deal(loads, c["most"], c["n"], heap)
-    if shares:
-        placed = written(placed.unionByName(dealt(numbered.where("class < 0"), shares)), "large")
-    loads = [0] * shards
+    loads, heap, shares = [0] * shards, [], {}
+    for r in sorted((r for r in counts if r["class"] >= exact), key=lambda r: -r["class"]):
+        shares[r["class"]] = deal(loads, round(r["sum"] / r["n"]), r["n"], heap)
+    placed = written(dealt(numbered.where(F.col("class") >= exact), shares), "large")
+    loads, shares = [0] * shards, {}
     for r in placed.groupBy("shard").agg(F.sum("total").alias("load")).collect():
         loads[r["shard"]] = int(r["load"])
-    # 3. exact sizes level the true loads
-    shares = {}
-    for c in sorted((r for r in counts if r["class"] >= 0), key=lambda r: -r["class"]):
-        shares[c["class"]] = deal(loads, c["class"], c["n"], heap)
-    if shares:
-        placed = placed.unionByName(dealt(numbered.where("class >= 0"), shares))
-    assigned = written(rows.join(placed.select("digest", "shard"), "digest"), "assigned")
-    return ranked(assigned.drop("digest"), ["shard"], "doc_id", "slot").select(
+    for r in sorted((r for r in counts if r["class"] < exact), key=lambda r: -r["class"]):
+        shares[r["class"]] = deal(loads, r["class"], r["n"], heap)
+    placed = written(placed.unionByName(dealt(numbered.where(F.col("class") < exact), shares)).select("digest", "shard"), "placed")
+    # the shards of frequent texts are broadcast (HEAVY rows at most), so that no join key is hot
+    found = frequent_digests(rows)
+    hot = placed.join(F.broadcast(found), short_name(F.col("digest")) == found["name"], "left_semi").withColumnRenamed("shard", "h_shard")
+    marked = rows.join(F.broadcast(hot), "digest", "left")
+    few = marked.where("h_shard is not null").withColumn("shard", F.col("h_shard"))
+    rest = marked.where("h_shard is null").join(placed, "digest")
+    columns = ["doc_id", "size", "text_crc32", "shard"]
+    assigned = written(few.select(*columns).unionByName(rest.select(*columns)), "assigned")
+    return ranked(assigned, ["shard"], "doc_id", "slot").select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard")
     )
 

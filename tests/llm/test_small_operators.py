@@ -7,6 +7,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 from groundwork.llm import ann, bpe, dedup, html, langid, pack, shard
 
@@ -36,8 +37,8 @@ def library(name):
 def test_exact_dedup(spark):
     rows = odd_docs(spark, ["rare"] * 40 + ["hot"] * 300)
     texts = {r["doc_id"]: r["text"] or "" for r in rows.collect()}
-    for counters in (4, 1024):
-        got = {r["doc_id"]: r for r in dedup.exact_dedup(rows, counters=counters).collect()}
+    for heavy in (4, 1024):
+        got = {r["doc_id"]: r for r in dedup.exact_dedup(rows, heavy=heavy, counters=2 * heavy).collect()}
         assert got.keys() == texts.keys()
         for i, t in texts.items():
             same = [k for k, x in texts.items() if x == t]
@@ -46,9 +47,21 @@ def test_exact_dedup(spark):
     assert dedup.exact_dedup(empty(spark)).collect() == []
 
 
-def test_frequent_digests_holds_every_heavy_hitter(spark):
-    rows = spark.createDataFrame([(k % 7, f"d{k % 50}" if k % 3 else "hot") for k in range(3000)], "block int, digest string")
-    assert "hot" in {r["digest"] for r in dedup.frequent_digests(rows, counters=2).collect()}
+def test_exact_dedup_of_repeated_and_null_ids(spark):
+    rows = spark.createDataFrame([(1, "a"), (1, "a"), (None, "a"), (None, "b"), (2, None), (3, ""), (4, "x" * 3_000_000)], "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in dedup.exact_dedup(rows).collect()), key=str)
+    want = [(1, 1, 3, True), (1, 1, 3, True), (None, 1, 3, None), (None, None, 1, None), (2, 3, 2, False), (3, 3, 2, True), (4, 4, 1, True)]
+    assert got == sorted(want, key=str)
+
+
+def test_frequent_digests_hold_every_heavy_hitter(spark):
+    """Bounded counters over a stream with far more digests than counters."""
+    names = [f"hot{k % 3}" if k % 5 else f"d{k}" for k in range(20000)]
+    rows = spark.createDataFrame([(n,) for n in names], "text string").select(dedup.digest_of(F.col("text")).alias("digest")).repartition(7)
+    hot = {r["n"] for r in spark.createDataFrame([(f"hot{k}",) for k in range(3)], "text string").select(dedup.short_name(dedup.digest_of(F.col("text"))).alias("n")).collect()}
+    found = [r["name"] for r in dedup.frequent_digests(rows, heavy=8, counters=64).collect()]
+    assert hot <= set(found) and len(found) <= 8
+    assert dedup.frequent_digests(rows.limit(0)).collect() == []
 
 
 # ---- byte-level BPE
@@ -184,15 +197,27 @@ def test_sharding(spark):
     assert shard.shard_documents(empty(spark)).collect() == []
 
 
-def test_sharding_classes(spark, monkeypatch):
-    monkeypatch.setattr(shard, "TOP", 5)
-    monkeypatch.setattr(shard, "SMALL", 100)
+@pytest.mark.parametrize("bits", [12, 5])
+def test_sharding_in_classes(spark, monkeypatch, bits):
+    """With few bits most sizes are inexact: the loads are as near as the small groups allow."""
+    monkeypatch.setattr(shard, "SIGNIFICANT", bits)
     rng = random.Random(1)
-    docs = spark.createDataFrame([(i, f"{i}:" + "z" * int(rng.paretovariate(1) * 30)) for i in range(2000)], "doc_id long, text string")
-    load = [0] * 7
-    for r in shard.shard_documents(docs, 7).collect():
+    rows = [(i, f"{i}:" + "z" * int(rng.paretovariate(1) * 30)) for i in range(2000)]
+    rows += [(5000 + k // 2, "copied " * 50) for k in range(40)] + [(None, "no id"), (None, None)]
+    load, home, slots = [0] * 7, {}, {}
+    for r in shard.shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), 7).collect():
         load[r["shard"]] += r["size"]
-    assert max(load) - min(load) <= 60
+        slots.setdefault(r["shard"], []).append(r["slot"])
+        home.setdefault(r["text_crc32"], set()).add(r["shard"])
+    assert max(load) - min(load) <= (60 if bits == 12 else 150)
+    assert sum(map(len, slots.values())) == len(rows) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert all(len(h) == 1 for h in home.values())
+
+
+def test_size_classes_order_like_sizes(spark):
+    sizes = [*range(1, 9000, 7), 2**20 + 1, 2**20 + 255, 2**20 + 256, 2**40, 2**40 + 2**28]
+    got = [r["c"] for r in spark.createDataFrame([(k, s) for k, s in enumerate(sizes)], "k long, total long").select("k", shard.size_class("total").alias("c")).orderBy("k").collect()]
+    assert got == sorted(got) and got[:100] == sizes[:100] and got[-5] == got[-4] < got[-3] < got[-2] < got[-1]
 
 
 # ---- nearest neighbours
