@@ -478,21 +478,19 @@ def _verified(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
         width = np.uint64(8 * len(bits.value))
         for b in batches:
             at = (mix(b.column("class").to_numpy().view(np.uint64)) % width).astype(np.int64)
-            yield b.filter(pa.array(bits.value[at >> 3] >> (7 - (at & 7)) & 1 == 1))
+            found = b.filter(pa.array(bits.value[at >> 3] >> (7 - (at & 7)) & 1 == 1))
+            for part in slices(iter([found]), "tokens", 4 << 20):
+                raw, offsets = text_bytes(part.column("tokens"))
+                tokens = pa.ListArray.from_arrays(pa.array((offsets // 8).astype(np.int32)), pa.array(np.frombuffer(raw.tobytes(), np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column("class"), tokens], names=["class", "tokens"])
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = []
-            for x, y in zip(b.column("x"), b.column("y"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    table = written(sets.mapInArrow(wanted, "class long, tokens binary").dropDuplicates(["class"]), "sets")
+    table = written(sets.mapInArrow(wanted, "class long, tokens array<long>").dropDuplicates(["class"]), "sets")
     left = table.select(F.col("class").alias("a"), F.col("tokens").alias("x"))
     right = table.select(F.col("class").alias("b"), F.col("tokens").alias("y"))
-    return written(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), "links")
+    # the larger class brings its set along: of a group's pairs that is mostly the member, not the one that all meet
+    both = F.size(F.array_intersect("x", "y"))
+    similar = 100 * both.cast("long") >= percent * (F.size("x") + F.size("y") - both).cast("long")
+    return written(pairs.join(right, "b").join(left, "a").where(similar).select("a", "b"), "links")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE, percent: int = PERCENT, links: bool = False) -> DataFrame:
