@@ -6,6 +6,7 @@ Null counts as empty everywhere, unless a docstring says otherwise.
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -25,6 +26,34 @@ def _text(col: Column | str) -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 
 
+def let(col: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(col)`` with ``col`` computed once, however often it is used: inside lambdas nothing shares
+    common parts."""
+    return F.element_at(F.transform(F.array(col), use), 1)
+
+
+def folded(items: Column, start: Column, step: Callable[[Column, Column], tuple[Column, Column]], state: str, out: str) -> Column:
+    """A fold over an array that appends: ``step(state, item)`` gives the next state and an array of
+    outputs, and all outputs are joined. ``state`` and ``out`` (an array) are the types.
+
+    The items are cut into about sqrt(n) pieces, so that appending copies n ** 1.5 references, not n ** 2."""
+    both = f"struct<state:{state},out:{out}>"
+    none = F.array().cast(out)
+
+    def one(acc: Column, x: Column) -> Column:
+        after, more = step(acc["state"], x)
+        return F.struct(after.alias("state"), F.concat(acc["out"], more.cast(out)).alias("out")).cast(both)
+
+    def run(its: Column) -> Column:
+        root = F.ceil(F.sqrt(F.size(its).cast("double"))).cast("int")
+        cuts = F.transform(F.sequence(F.lit(0), F.ceil(F.size(its) / root).cast("int") - 1), lambda k: F.slice(its, k * root + 1, root))
+        piece = lambda acc, part: F.aggregate(part, F.struct(F.element_at(acc, -1)["state"].alias("state"), none.alias("out")).cast(both), one)
+        parts = F.aggregate(cuts, F.array(F.struct(start.alias("state"), none.alias("out"))).cast(f"array<{both}>"), lambda acc, part: F.concat(acc, F.array(piece(acc, part))).cast(f"array<{both}>"))
+        return F.when(F.size(its) > 0, F.flatten(F.transform(parts, lambda p: p["out"]))).otherwise(none)
+
+    return let(items, run)
+
+
 def strip(col: Column) -> Column:
     """White space off both ends."""
     return F.regexp_replace(col, r"^\s+|\s+$", "")
@@ -89,19 +118,24 @@ def estimate_tokens(col: Column | str) -> Column:
 
 def heading_of(col: Column) -> Column:
     """B7. The heading that a line is, or null."""
-    line = strip(col)
-    bare = F.regexp_replace(F.regexp_replace(line, r"^#+\s*", ""), r"^[ .:\-]+|[ .:\-]+$", "")
-    name = F.regexp_replace(bare, r"(?i)^\[?(?:\d+|[IVXLC]+)[.)]\s+", "")
-    plain = (F.length(line) <= 70) & (F.size(F.split(line, r"\s+")) <= 7) & ~line.rlike(r"[.,;:!?]$")
-    found = F.lit(False)
-    for k, pattern in enumerate(rules.HEADINGS):
-        here = line.rlike(pattern)
-        if k in (1, 5, 6):
-            here &= plain
-        if k == 1:
-            here &= name.rlike(rules.HEADINGS[6])
-        found |= here
-    return F.when((F.length(line) > 0) & (F.length(line) <= 120) & (F.length(name) >= 2) & found, name)
+
+    def named(line: Column) -> Column:
+        bare = F.regexp_replace(F.regexp_replace(line, r"^#+\s*", ""), r"^[ .:\-]+|[ .:\-]+$", "")
+        return F.when((F.length(line) > 0) & (F.length(line) <= 120), let(F.regexp_replace(bare, r"(?i)^\[?(?:\d+|[IVXLC]+)[.)]\s+", ""), lambda name: judged(line, name)))
+
+    def judged(line: Column, name: Column) -> Column:
+        plain = (F.length(line) <= 70) & (F.size(F.split(line, r"\s+")) <= 7) & ~line.rlike(r"[.,;:!?]$")
+        found = F.lit(False)
+        for k, pattern in enumerate(rules.HEADINGS):
+            here = line.rlike(pattern)
+            if k == 1:
+                here &= name.rlike(rules.HEADINGS[6])
+            if k in (1, 5, 6):
+                here &= plain
+            found |= here
+        return F.when((F.length(name) >= 2) & found, name)
+
+    return let(strip(col), named)
 
 
 def is_boilerplate(col: Column) -> Column:
@@ -206,13 +240,11 @@ def find_all(col: Column, pattern: str) -> Column:
     """All matches of a pattern with their places (code points from 0): a match starts after
     the lengths of the gaps and matches before it. The pattern runs once on texts without one."""
     found = F.regexp_extract_all(col, F.lit(pattern), F.lit(0))
-    gaps = F.slice(F.split(col, pattern, -1), F.lit(1), F.size(found))
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast(MATCH).alias("out"))
+    gaps = F.split(col, pattern, -1)
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        one = F.struct(start.alias("start"), x["value"].alias("value"))
-        return F.struct((start + F.length(x["value"])).alias("at"), F.concat(acc["out"], F.array(one)).cast(MATCH).alias("out"))
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        start = at + x["gap"]
+        return start + F.length(x["value"]), F.array(F.struct(start.alias("start"), x["value"].alias("value")))
 
-    pairs = F.zip_with(gaps, found, lambda g, m: F.struct(F.length(g).alias("gap"), m.alias("value")))
-    return F.when(col.rlike(pattern), F.aggregate(pairs, begin, step)["out"]).otherwise(F.array().cast(MATCH))
+    pairs = let(found, lambda f: F.zip_with(F.slice(gaps, F.lit(1), F.size(f)), f, lambda g, m: F.struct(F.length(g).alias("gap"), m.alias("value"))))
+    return F.when(col.rlike(pattern), folded(pairs, F.lit(0), step, "int", MATCH)).otherwise(F.array().cast(MATCH))
