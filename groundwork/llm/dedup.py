@@ -9,6 +9,9 @@ aggregate and join.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,7 +57,7 @@ def exact_dedup(
     Texts are equal when ``normalise(text)`` is; null counts as empty, very long texts are hashed
     whole. Of equal texts the row with the largest id stays (``keep='min'``: the smallest; null
     ids lose, and have ``kept`` null). Rows with equal ids count each, share one ``keep_id`` and are
-    kept together: see ``distinct_texts`` for one row of each text. Empty in, empty out. Other
+    kept together: ``distinct_texts`` keeps one row of each text. Empty in, empty out. Other
     columns are not read.
     """
     best = F.max if keep == "max" else F.min
@@ -78,3 +81,22 @@ def exact_dedup(
         (F.col("doc_id") == F.col("keep_id")).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
     )
+
+
+def one_of_each(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Of rows that agree in ``keys`` (null counts as a value) the one that comes first by all its columns. Only
+    rows whose keys repeat are shuffled whole, and they are reduced before the shuffle."""
+    columns = rows.columns
+    again = written(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*(F.col(k).alias(f"_{k}") for k in keys)), "again")
+    same = reduce(and_, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys))
+    many = rows.join(again, same, "left_semi").groupBy(*keys).agg(F.min(F.struct(*columns)).alias("_row")).select("_row.*")
+    return rows.join(again, same, "left_anti").unionByName(many.select(*columns))
+
+
+def distinct_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs``, all columns, that ``exact_dedup`` keeps: one for each text, also where ids repeat or are null."""
+    best = exact_dedup(docs, id_col, text_col, **options).where("kept or keep_id is null").select(F.col("doc_id").alias("_keep"), "text_sha256").distinct()
+    digest = F.lower(F.hex(digest_of(options.get("normalise", lambda t: t)(F.coalesce(F.col(text_col), F.lit(""))))))
+    rows = docs.withColumn("_sha", digest)
+    kept = rows.join(best, (F.col("_sha") == F.col("text_sha256")) & F.col(id_col).eqNullSafe(F.col("_keep")), "left_semi")
+    return one_of_each(kept, ["_sha"]).select(*docs.columns)

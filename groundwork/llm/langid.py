@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .bpe import LETTER, classes, code_points
 from .shared import mix, slices
@@ -26,6 +27,8 @@ ORDERS = (1, 2, 3)
 BITS = 18
 #: Bound of the sample that the model is fitted on: rows per language, and landmarks among them.
 PER_LANGUAGE, LANDMARKS = 300, 50
+#: Languages that are learned at most: the most frequent labels, ties by name.
+LANGUAGES = 200
 RIDGE = 1e-2
 UNDETERMINED = "und"
 
@@ -141,13 +144,11 @@ def held_out(doc_id: Column) -> Column:
 def _sample(labelled: DataFrame, per_language: int) -> DataFrame:
     """At most ``per_language`` rows of each language, by a hash of the id: thinned
     first by the language's count, so that no language is sorted whole."""
-    # one number per language; the texts themselves are not shuffled before they are thinned
-    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()
-    if not counts:
-        return labelled.select("lang", "doc_id", "text")
-    share = F.element_at(F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], min(1.0, 2.0 * per_language / r["n"])))), F.col("lang"))
+    # one number per language, ``LANGUAGES`` at most; the texts themselves are not shuffled before they are thinned
+    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    share = counts.select(F.col("lang"), F.least(F.lit(1.0), 2.0 * per_language / F.col("n")).alias("share"))
     draw = F.pmod(F.xxhash64(F.lit(17), "doc_id"), F.lit(1 << 20)) / float(1 << 20)
-    thin = labelled.where(draw < share)
+    thin = labelled.join(F.broadcast(share), "lang").where(draw < F.col("share"))
     order = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(17), "doc_id"), "doc_id")
     return thin.withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_language).select("lang", "doc_id", "text")
 
@@ -177,12 +178,21 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     ``und`` with score 0 where the text is null or has no letter, or nothing was learned; else the language
     with the highest regression value, ties to the first name; the score maps -1..1 to 0..1.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return with_language(rows, model).select("doc_id", "lang_pred", "score")
+
+
+def with_language(rows: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """``rows`` with ``lang_pred`` and ``score`` beside all their columns (columns of these names are
+    replaced), so that no join brings them back."""
+    sent = rows.sparkSession.sparkContext.broadcast(model)
+    keep = [c for c in rows.columns if c not in ("lang_pred", "score")]
+    rows = rows.select(*(F.col(f"`{c}`") for c in keep))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        for part in slices(batches, "text"):
-            sets, letters = gram_sets(part.column("text").fill_null("").to_pylist())
+        for part in slices(batches, text_col):
+            sets, letters = gram_sets(part.column(text_col).fill_null("").to_pylist())
             if m.languages:
                 value = m.scores(sets)
                 best = value.argmax(axis=1)
@@ -191,15 +201,21 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                 score = np.where(known, np.clip((value.max(axis=1) + 1) / 2, 0, 1), 0.0)
             else:
                 names, score = [UNDETERMINED] * len(sets), np.zeros(len(sets))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(names, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(score, pa.float64())], names=[*keep, "lang_pred", "score"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
+
+
+def learned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+    """The model of the labelled rows that are not held out; rows without id, text or label teach nothing."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    return train(rows.where(~held_out(F.col("doc_id")) & F.col("text").isNotNull() & F.col("lang").isNotNull()))
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Learn from the labelled rows that are not held out and predict every row:
-    ``doc_id, held_out, lang_pred, score``. Repeated rows are predicted each; an empty
-    table gives an empty result."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    model = train(rows.where(~held_out(F.col("doc_id")) & F.col("text").isNotNull() & F.col("lang").isNotNull()))
-    return predict(rows, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+    ``doc_id, held_out, lang_pred, score``. Texts are read whole, however long. Repeated rows and
+    ids are predicted each; a null id is not held out and teaches nothing. Other columns are not read. An
+    empty table gives an empty result."""
+    found = predict(docs, learned(docs, id_col, text_col, lang_col), id_col, text_col)
+    return found.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "lang_pred", "score")

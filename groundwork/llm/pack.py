@@ -6,10 +6,10 @@ bound by the capacity, whatever the corpus holds) and returns patterns: a list o
 lengths and how many sequences use it. Spark then numbers the pieces of each length
 and looks up each number's sequence and offset in the patterns.
 
-Planner: for a piece of length L the gap is capacity - L. An index holds the sums of
-one, two and three available lengths; a combination that fills the gap exactly is
-consumed as often as the counts allow. What has no exact complement goes best-fit:
-the longest piece that still fits, again and again.
+Planner: for a piece of length L the gap is capacity - L. An index of the sums of one, two
+and three available lengths is looked up at the gap; a combination that fills it exactly is
+consumed as often as the counts allow, and lengths that are used up leave the index. What
+has no exact complement goes best-fit: the longest piece that still fits, again and again.
 """
 
 from __future__ import annotations
@@ -78,6 +78,54 @@ def piece_table(docs: DataFrame, path: str, end_id: int, capacity: int, id_col:
     return docs.selectExpr(f"cast(`{id_col}` as bigint) as doc_id", f"`{text_col}` as text").mapInArrow(run, schema)
 
 
+class SumIndex:
+    """Which of the lengths in ``left`` (length: count) add up to a sum, in ones, twos and threes.
+
+    ``pairs[s]`` holds the larger lengths a of pairs (a, s - a); ``triples[s]`` the largest lengths
+    a that some pair of sum s - a completes. Entries whose lengths are used up are dropped when met."""
+
+    def __init__(self, left: dict[int, int], capacity: int):
+        self.left, self.lengths = left, sorted(left, reverse=True)
+        self.pairs: dict[int, list[int]] = {}
+        for i, a in enumerate(self.lengths):
+            for b in self.lengths[i:]:
+                if a + b <= capacity:
+                    self.pairs.setdefault(a + b, []).append(a)
+        self.triples: dict[int, list[int]] = {}
+
+    def _pairs(self, total: int) -> list[int]:
+        found = self.pairs.get(total)
+        if not found:
+            return []
+        if any(a not in self.left or total - a not in self.left for a in found):
+            found = self.pairs[total] = [a for a in found if a in self.left and total - a in self.left]
+        return found
+
+    def _triples(self, total: int) -> list[int]:
+        found = self.triples.get(total)
+        if found is None:
+            found = [a for a in self.lengths if 3 * a >= total > a]
+        found = self.triples[total] = [a for a in found if a in self.left and self._pairs(total - a)]
+        return found
+
+    def find(self, total: int, used: list[int]) -> list[int] | None:
+        """One to three lengths of sum ``total`` that the counts allow beside ``used``, fewest and longest first."""
+
+        def enough(more: tuple[int, ...]) -> bool:
+            return all(self.left.get(n, 0) >= more.count(n) + used.count(n) for n in more)
+
+        if enough((total,)):
+            return [total]
+        for a in self._pairs(total):
+            if enough((a, total - a)):
+                return [a, total - a]
+        for a in self._triples(total):
+            for b in self._pairs(total - a):
+                if b <= a and enough((a, b, total - a - b)):
+                    return [a, b, total - a - b]
+        return None
+
+
 def plan_patterns(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[int], int]]:
     """(lengths, times) patterns that use up ``counts``; each fits into ``capacity``.
 
@@ -87,9 +135,21 @@ def plan_patterns(counts: dict[int, int], capacity: int = CAPACITY) -> list[tupl
     left = {n: c for n, c in counts.items() if c > 0}
     if any(n > capacity or n < 1 for n in left):
         raise ValueError("lengths must lie between 1 and the capacity")
+    index = SumIndex(left, capacity)
     out: list[tuple[list[int], int]] = []
-
-    def take(lengths: list[int]) -> None:
+    while left:
+        longest = max(left)
+        lengths, room = [longest], capacity - longest
+        while room:
+            # an exact complement of the gap, else the longest piece that fits
+            found = index.find(room, lengths)
+            if found is None:
+                best = max((n for n in left if n <= room and left[n] > lengths.count(n)), default=None)
+                if best is None:
+                    break
+                found = [best]
+            lengths += found
+            room -= sum(found)
         need = {n: lengths.count(n) for n in lengths}
         times = min(left[n] // k for n, k in need.items())
         out.append((sorted(lengths, reverse=True), times))
@@ -97,66 +157,15 @@ def plan_patterns(counts: dict[int, int], capacity: int = CAPACITY) -> list[tupl
             left[n] -= k * times
             if not left[n]:
                 del left[n]
-
-    def enough(lengths: list[int]) -> bool:
-        return all(left.get(n, 0) >= lengths.count(n) for n in set(lengths))
-
-    while left:
-        longest = max(left)
-        gap = capacity - longest
-        found = _complement(left, longest, gap, enough)
-        if found is not None:
-            take(found)
-            continue
-        # no single, pair or triple fills the gap exactly: best fit
-        lengths, room = [longest], gap
-        while room:
-            fits = [n for n in left if n <= room and left[n] > lengths.count(n)]
-            if not fits:
-                break
-            best = max(fits)
-            rest = room - best
-            # a pair or triple that fills the room wholly beats the longest single
-            inner = _complement(left, best, rest, lambda more, have=tuple(lengths): enough([*have, *more]))
-            lengths += inner if inner is not None else [best]
-            room = capacity - sum(lengths)
-        take(lengths)
     return out
 
 
-def _complement(left: dict[int, int], longest: int, gap: int, enough) -> list[int] | None:
-    """The lengths that fill ``gap`` exactly beside ``longest``: none, one, two or three of them."""
-    if not gap:
-        return [longest] if enough([longest]) else None
-    if gap in left and enough([longest, gap]):
-        return [longest, gap]
-    sizes = sorted((n for n in left if n < gap), reverse=True)
-    for a in sizes:
-        b = gap - a
-        if b > a:
-            break
-        if b in left and enough([longest, a, b]):
-            return [longest, a, b]
-    for i, a in enumerate(sizes):
-        if 3 * a < gap:
-            break
-        for b in sizes[i:]:
-            c = gap - a - b
-            if c > b:
-                continue
-            if 2 * b < gap - a:
-                break
-            if c in left and enough([longest, a, b, c]):
-                return [longest, a, b, c]
-    return None
-
-
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Add ``sequence_id`` (from 0) and ``offset`` to ``pieces`` (unique ``doc_id, piece``
     with ``length``); offsets in a sequence are gapless from 0.
 
     ``pieces`` is read twice and should be a written table. Ties between equal lengths
-    go by a hash of (doc_id, piece). An empty table gives an empty result.
+    go by a hash of (doc_id, piece); equal rows take places of their own. An empty table gives an empty result.
     """
     spark = pieces.sparkSession
     # at most ``capacity`` rows reach the driver
@@ -197,8 +206,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 def pack_documents(docs: DataFrame, path: str, end_id: int = 2, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
     """Encode, cut and pack ``docs``: one row per piece with its place.
 
-    Null text counts as empty (one piece: the end id). Repeated rows are documents of
-    their own only if their ids differ; ids must be unique. Other columns are not read.
+    Null text counts as empty (one piece: the end id). Every row is a document of its own, also where
+    ids repeat or are null; texts are encoded whole, however long. Other columns are not read. Empty in, empty out.
     """
     pieces = written(piece_table(docs, path, end_id, capacity, id_col, text_col, keep_ids), "pieces")
     return pack(pieces, capacity)

@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -60,3 +61,30 @@ def test_stages_keep_the_columns(spark):
         docs = stage(spark, docs, "")
         assert docs.columns == corpus_pipeline.COLUMNS, name
         assert docs.collect() == []
+
+
+def test_stages_with_repeats_nulls_and_clashing_columns(spark):
+    """Repeated rows, equal and null ids with other texts, long texts, and columns that the stages use themselves."""
+    near = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, "one text here", "en"), (1, "one text here", "en"), (1, "another text", "fr"), (None, "one text here", "en"), (None, "no id", None), (None, "no id", "de")]
+    rows += [(2, near, "en"), (2, near + " x", "en"), (3, near + " y", "en"), (4, None, "en"), (5, "", "en"), (6, "123", "en"), (7, "é long " * 40000, "fr"), (8, "mail a@b.cd now", "en"), (8, "mail a@b.cd now", "de")]
+    docs = spark.createDataFrame([(i, t, x, "s", 1, "zz", 0.5, 7, "k") for i, t, x in rows], "doc_id long, text string, lang string, source string, n_chars long, lang_pred string, score double, _key long, spans string")
+    texts = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=str)
+    stages = dict(corpus_pipeline.STAGES)
+    kept = [(i, t) for i, t, _ in rows if t and re.search(r"[^\W\d_]", t)]
+    after = stages["language_id"](spark, docs, "")
+    assert after.columns == corpus_pipeline.COLUMNS and texts(after) == sorted(kept, key=str)
+    after = stages["exact_dedup"](spark, docs, "")
+    by = {}
+    for i, t, _ in rows:
+        by.setdefault(t or "", []).append(i)
+    want = sorted(((max((x for x in ids if x is not None), default=None), t) for t, ids in by.items()), key=str)
+    assert [(i, t or "") for i, t in texts(after)] == want
+    after = stages["near_dedup"](spark, after.withColumn("_key", F.lit(1)), "")
+    assert [t for _, t in texts(after) if t and t.startswith("w0")] in ([near], [near + " x"], [near + " y"])
+    assert len(texts(after)) == len(want) - 2
+    after = stages["mask_pii"](spark, docs, "")
+    assert after.count() == len(rows) and texts(after.where("doc_id = 8")) == [(8, "mail [EMAIL] now")] * 2
+    packed = stages["packing"](spark, docs, "").collect()
+    assert Counter(r["doc_id"] for r in packed if r["piece"] == 0) == Counter(i for i, _, _ in rows)
+    assert len({(r["sequence_id"], r["offset"]) for r in packed}) == len(packed)

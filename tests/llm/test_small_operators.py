@@ -2,6 +2,7 @@ import base64
 import hashlib
 import random
 import zlib
+from itertools import combinations_with_replacement
 
 import numpy as np
 import public_tokenizers
@@ -139,6 +140,44 @@ def test_packing_with_added_tokens(spark):
     assert got == {i: [*ref.encode(t or "", add_special_tokens=False).ids, 2] for i, t in enumerate(texts)}
 
 
+def test_vocabulary_of_the_json_equals_the_ranks():
+    """``byte_bpe_50k.json`` holds the same tokens, ids and order of merges as the rank file that is read."""
+    import json
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    with open(pack.default_ranks(), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in plain)}
+    read = lambda token: bytes(byte[c] for c in token)
+    assert {read(t): i for t, i in model["vocab"].items() if i in set(ranks.values())} == ranks
+    merged = [read("".join(m if isinstance(m, list) else m.split(" "))) for m in model["merges"]]
+    assert [ranks[m] for m in merged] == sorted(ranks[m] for m in merged)
+
+
+def test_index_of_sums():
+    rng = random.Random(2)
+    for _ in range(30):
+        left = {n: rng.randint(1, 3) for n in rng.sample(range(1, 60), rng.randint(1, 12))}
+        index = pack.SumIndex(left, 80)
+        for _ in range(30):
+            total, used = rng.randint(1, 80), [rng.choice(list(left))] if left and rng.random() < 0.5 else []
+            have = lambda more: all(left.get(n, 0) >= more.count(n) + used.count(n) for n in more)
+            size = next((k for k in (1, 2, 3) for m in combinations_with_replacement(sorted(left), k) if sum(m) == total and have(m)), None)
+            got = index.find(total, used)
+            assert (size is None and got is None) or (len(got) == size and sum(got) == total and have(tuple(got)))
+            if left and rng.random() < 0.3:
+                del left[rng.choice(list(left))]
+
+
+def test_packing_of_repeated_rows(spark):
+    rows = [(1, "a b"), (1, "a b"), (None, "c"), (None, None), (1, "other")]
+    got = pack.pack_documents(spark.createDataFrame(rows, "doc_id long, text string"), pack.default_ranks()).collect()
+    assert len(got) == 5 and sorted(r["offset"] for r in got)[0] == 0
+    assert len({(r["sequence_id"], r["offset"]) for r in got}) == 5 and sum(r["length"] for r in got) == max(r["offset"] + r["length"] for r in got)
+
+
 def test_patterns_use_up_the_counts():
     rng = random.Random(2)
     for _ in range(30):
@@ -164,6 +203,39 @@ def test_language_held_out(spark):
     assert {r["doc_id"] for r in test} == {r["doc_id"] for r in got if zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2}
 
 
+def test_language_scores_equal_an_unfolded_kernel(spark):
+    """The folded matrix gives what kernels, whitening and regression give one by one."""
+    rows = [r for r in spark.read.parquet(DOCS).where("text is not null and lang is not null").orderBy("doc_id").limit(60).collect()]
+    sets, _ = langid.gram_sets([r["text"][:3000] for r in rows])
+    samples = [(r["lang"], s) for r, s in zip(rows[:40], sets[:40], strict=True)]
+    model = langid.fit(samples, landmarks=6)
+
+    def kernel(x, z):
+        return sum(len(set(a.tolist()) & set(b.tolist())) / np.sqrt(max(len(a), 1) * max(len(b), 1)) for a, b in zip(x, z, strict=True)) / len(langid.ORDERS)
+
+    names = sorted({n for n, _ in samples})
+    marks = [s for n in names for s in [x for m, x in samples if m == n][:6]]
+    values, vectors = np.linalg.eigh(np.array([[kernel(a, b) for b in marks] for a in marks]))
+    good = values > 1e-6 * values.max()
+    features = lambda xs: np.array([[kernel(x, z) for z in marks] for x in xs]) @ vectors[:, good] / np.sqrt(values[good])
+    phi = features([s for _, s in samples])
+    share = np.array([1 / sum(n == m for m, _ in samples) for n, _ in samples])
+    target = np.array([[1.0 if n == name else -1.0 for name in names] for n, _ in samples])
+    center, bias = phi.mean(axis=0), target.mean(axis=0)
+    x, y = (phi - center) * np.sqrt(share)[:, None], (target - bias) * np.sqrt(share)[:, None]
+    weights = np.linalg.solve(x.T @ x + langid.RIDGE * np.eye(x.shape[1]) / x.shape[1], x.T @ y)
+    want = bias + (features(sets[40:]) - center) @ weights
+    assert model.languages == names
+    assert np.abs(model.scores(sets[40:]) - want).max() < 1e-3
+
+
+def test_language_sample_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(langid, "LANGUAGES", 3)
+    rows = [(k * 4, "wort " * 9 if k % 2 else "mot " * 9, "de" if k % 2 else "fr") for k in range(40)] + [(1000 + k * 4, "dirty", f"x{k}") for k in range(50)]
+    model = langid.learned(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.languages) <= 3 and {"de", "fr"} <= set(model.languages)
+
+
 def test_language_odd_rows(spark):
     rows = odd_docs(spark).selectExpr("doc_id", "text", "case when text = 'same' then 'en' end as lang", "digest", "size")
     got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(rows).collect()}
