@@ -9,17 +9,17 @@ fewer than k with any others leaves all lists.
 1. Each list links its members to its smallest class of about their size. These few
    candidates are bounded by their signatures and verified on the whole sets. Lists whose
    members then stand in one component need no further work.
-2. The other lists go twice (first for the likeliest partners of each member, which joins
+2. The other lists go (twice for the likeliest partner of each member in its block, which joins
    most components, then for everything that is left) through signature trees: a leaf holds the bitmap of a set's
    hashes and its size, a node the OR of its children's bitmaps and their size
    range. Two nodes are traversed together only while the common bits, plus the
    hashes that a bitmap can hide, reach the overlap that their sizes call for, and
    while they hold different components. What is left is verified on the whole sets.
 
-Lists longer than a block are cut into blocks, and pairs of blocks are dealt over the tasks. Texts are
-shingled once and their sets written; only sets of candidates are shuffled, and the filter that finds
-them is a bitmap of bounded size. Shingles are 64-bit hashes of word hashes. That the first round stops a
-list at 4 000 000 pairs and looks at three lists of each member loses no link: the second round has no bound.
+Lists longer than a block are cut into blocks, and pairs of blocks are dealt over the tasks. Only sets of
+candidates are shuffled, and the filter that finds their documents is a bitmap of bounded size. Shingles
+are 64-bit hashes of word hashes. That the first rounds stop a list at 4 000 000 pairs and look at three
+lists of each member, inside its block, loses no link: the last round has no bound.
 """
 
 from __future__ import annotations
@@ -78,9 +78,9 @@ def class_of(tokens: np.ndarray) -> int:
 
 
 def signature(tokens: np.ndarray) -> np.ndarray:
-    """Bitmap of a set: the next power of two of four times its size, 64 bits at least."""
+    """Bitmap of a set: the next power of two of twice its size, 64 bits at least."""
     width = 64
-    while width < 4 * len(tokens):
+    while width < 2 * len(tokens):
         width *= 2
     bits = np.zeros(width, np.uint8)
     bits[(tokens >> np.uint64(20)) & np.uint64(width - 1)] = 1
@@ -102,11 +102,11 @@ def _needed(a, b, percent: int):
 
 
 def _summaries(docs: DataFrame, words: int) -> DataFrame:
-    """Per document its set's size and class, once for each class of a task also its signature and
-    shingles (``tokens``); per task lot the frequent shingles (``heavy``)."""
-    schema = "doc_id long, n_shingles long, class long, bits binary, heavy binary, times binary, tokens binary"
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
-    names = ["doc_id", "n_shingles", "class", "bits", "heavy", "times", "tokens"]
+    """Per document its set's size and class, once for each class of a task also its signature;
+    per task lot the frequent shingles (``heavy``)."""
+    schema = "doc_id long, n_shingles long, class long, bits binary, heavy binary, times binary"
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+    names = ["doc_id", "n_shingles", "class", "bits", "heavy", "times"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lot, size, known = [], 0, set()
@@ -117,7 +117,7 @@ def _summaries(docs: DataFrame, words: int) -> DataFrame:
             best = best[np.argsort(-times[best], kind="stable")[:4096]]
             if not len(best):
                 return None
-            row = (None, None, None, None, token[best].tobytes(), times[best].astype(np.int64).tobytes(), None)
+            row = (None, None, None, None, token[best].tobytes(), times[best].astype(np.int64).tobytes())
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], names=names)
 
         for part in slices(batches, "text"):
@@ -137,7 +137,6 @@ def _summaries(docs: DataFrame, words: int) -> DataFrame:
                 [signature(s).tobytes() if new else None for s, new in zip(sets, fresh, strict=True)],
                 [None] * len(sets),
                 [None] * len(sets),
-                [s.tobytes() if new else None for s, new in zip(sets, fresh, strict=True)],
             )
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, kinds, strict=True)], names=names)
             if len(known) > 1_000_000:  # beyond that a task may ship a set again
@@ -172,7 +171,7 @@ def _is_in(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
     return sorted_values[np.minimum(np.searchsorted(sorted_values, x), len(sorted_values) - 1)] == x
 
 
-def _prefix_lists(sets: DataFrame, heavy, buckets: int, percent: int) -> DataFrame:
+def _prefix_lists(docs: DataFrame, heavy, buckets: int, words: int, percent: int) -> DataFrame:
     """Prefix shingles by hash range: rows of (bucket, shingles, their classes, sizes)."""
     schema = "bucket int, t binary, c binary, n binary"
 
@@ -193,9 +192,13 @@ def _prefix_lists(sets: DataFrame, heavy, buckets: int, percent: int) -> DataFra
             cols = [[y.tobytes() for y in np.split(x, cut[1:])] for x in (t, c, s)]
             return pa.RecordBatch.from_arrays([pa.array(where[cut].tolist(), pa.int32()), *(pa.array(x, pa.binary()) for x in cols)], names=["bucket", "t", "c", "n"])
 
-        for part in slices(batches, "tokens"):
-            for name, tokens in zip(part.column("class").to_pylist(), part.column("tokens"), strict=True):
-                s = np.frombuffer(tokens.as_buffer(), np.uint64)
+        known: set[int] = set()
+        for part in slices(batches, "text"):
+            for s in shingle_sets(part.column("text"), words):
+                if not len(s) or (name := class_of(s)) in known:
+                    continue
+                if len(known) < 1_000_000:  # beyond that a task may ship a set again
+                    known.add(name)
                 hot = _is_in(rare_last, s)
                 ordered = np.concatenate([s[~hot], s[hot]]) if hot.any() else s
                 ordered = ordered[: _prefix_size(len(s), percent)]
@@ -209,7 +212,7 @@ def _prefix_lists(sets: DataFrame, heavy, buckets: int, percent: int) -> DataFra
         if token:
             yield flush()
 
-    return sets.mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
 def _lists(heavy, ranges: int):
@@ -443,7 +446,7 @@ def _traverse(percent: int, most: int | None = None):
 
 
 def _filter_bits(names: DataFrame) -> np.ndarray:
-    """A bitmap over the hashes of ``class``, packed; its size has a fixed bound."""
+    """A bitmap over the hashes of the column ``key``, packed; its size has a fixed bound."""
     parts, width = partitions(names.sparkSession), FILTER_LEAST
     count = names.count()
     while width < min(16 * count, FILTER_MOST):
@@ -461,30 +464,34 @@ def _filter_bits(names: DataFrame) -> np.ndarray:
         both = np.bitwise_or.reduce(np.stack([np.frombuffer(x, np.uint8) for x in table.column("bits").to_pylist()]))
         return pa.table({"k": table.column("k").slice(0, 1), "bits": pa.array([both.tobytes()], pa.binary())})
 
-    rows = names.select("class").coalesce(max(1, min(parts, 64))).mapInArrow(run, "k int, bits binary").groupBy("k").applyInArrow(join, "k int, bits binary")
+    rows = names.select("key").coalesce(max(1, min(parts, 64))).mapInArrow(run, "k int, bits binary").groupBy("k").applyInArrow(join, "k int, bits binary")
     out = np.zeros((width // 4096, 512), np.uint8)
     for r in rows.collect():
         out[r["k"]] = np.frombuffer(r["bits"], np.uint8)
     return out.ravel()
 
 
-def _verified(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose whole sets are similar enough."""
-    spark = sets.sparkSession
-    names = written(pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct(), "names")
-    bits = spark.sparkContext.broadcast(_filter_bits(names))
+def _verified(docs: DataFrame, signs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes whose whole sets are similar enough. Of each class the document with the
+    smallest id (``signs.least``) is shingled again; no other text is."""
+    spark = docs.sparkSession
+    names = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
+    keys = written(names.join(signs, "class").select(F.col("least").alias("key")).where("key is not null"), "names")
+    bits = spark.sparkContext.broadcast(_filter_bits(keys))
 
-    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width = np.uint64(8 * len(bits.value))
         for b in batches:
-            at = (mix(b.column("class").to_numpy().view(np.uint64)) % width).astype(np.int64)
-            found = b.filter(pa.array(bits.value[at >> 3] >> (7 - (at & 7)) & 1 == 1))
-            for part in slices(iter([found]), "tokens", 4 << 20):
-                raw, offsets = text_bytes(part.column("tokens"))
-                tokens = pa.ListArray.from_arrays(pa.array((offsets // 8).astype(np.int32)), pa.array(np.frombuffer(raw.tobytes(), np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column("class"), tokens], names=["class", "tokens"])
-
-    table = written(sets.mapInArrow(wanted, "class long, tokens array<long>").dropDuplicates(["class"]), "sets")
+            key = b.column("doc_id")
+            at = (mix(key.fill_null(0).to_numpy().view(np.uint64)) % width).astype(np.int64)
+            wanted = (bits.value[at >> 3] >> (7 - (at & 7)) & 1 == 1) | key.is_null().to_numpy(zero_copy_only=False)
+            for part in slices(iter([b.filter(pa.array(wanted))]), "text"):
+                got = {class_of(s): s for s in shingle_sets(part.column("text"), words) if len(s)}
+                offsets = np.concatenate([[0], np.cumsum([len(s) for s in got.values()])]).astype(np.int32)
+                flat = np.concatenate([*got.values(), np.empty(0, np.uint64)]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(got, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["class", "tokens"])
+
+    table = written(docs.mapInArrow(sets, "class long, tokens array<long>").join(names, "class", "left_semi").dropDuplicates(["class"]), "sets")
     left = table.select(F.col("class").alias("a"), F.col("tokens").alias("x"))
     right = table.select(F.col("class").alias("b"), F.col("tokens").alias("y"))
     # the larger class brings its set along: of a group's pairs that is mostly the member, not the one that all meet
@@ -508,14 +515,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     table = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     summaries = written(_summaries(table, words), "summaries")
     rows = summaries.where("heavy is null").select("doc_id", "n_shingles", "class", "bits")
-    sets = summaries.where("tokens is not null").select("class", "tokens")
     frequent = spark.sparkContext.broadcast(_frequent(summaries))
     sizes = rows.agg(F.sum("n_shingles")).first()[0] or 0
     buckets = int(max(4 * partitions(spark), sizes // 4_000_000))
 
     ranges = max(16, partitions(spark))
     found = written(
-        _prefix_lists(sets, frequent, buckets, percent)
+        _prefix_lists(table, frequent, buckets, words, percent)
         .groupBy("bucket")
         .applyInArrow(_lists(frequent, ranges), "token long, hot boolean, mark long, classes array<long>, range int, c binary, n binary"),
         "lists",
@@ -541,13 +547,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         y = signs.select(F.col("class").alias("b"), F.col("size").alias("nb"), F.col("bits").alias("xb"))
         return pairs.join(x, "a").join(y, "b").mapInArrow(_bound_pairs(percent), "a long, b long")
 
-    edges = _verified(sets, written(with_signs(candidates), "pairs"), percent)
+    edges = _verified(table, signs, written(with_signs(candidates), "pairs"), words, percent)
     labels = components(edges)
 
     groups = int(max(4 * partitions(spark), members.count() // 20_000))
 
-    def searched(labels: DataFrame | None, most: int | None) -> DataFrame:
-        """Verified pairs of the lists' members between components, or of all members without ``labels``.
+    def searched(labels: DataFrame | None, most: int | None, salt: int = 0) -> DataFrame:
+        """Verified pairs of the lists' members between components, or of all members without ``labels``. With
+        ``most``, members meet those of their own block only (dealt by ``salt``).
 
         A list's largest component is told from its other members: only the latter need to meet
         anyone. Both are cut into blocks, and each pair of blocks is a unit of its own."""
@@ -568,17 +575,20 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         if most:  # in this round, the longest lists of each member
             longest = Window.partitionBy("class").orderBy(F.desc("members"), "token")
             work = work.withColumn("r", F.row_number().over(longest)).where("r <= 3")
-        work = work.join(signs.select("class", "bits"), "class").withColumn("minor", F.col("label") != F.col("major"))
-        work = work.withColumn("block", F.when(F.col("minor"), F.col("ma") + F.pmod(F.xxhash64("class"), "mi")).otherwise(F.pmod(F.xxhash64("class"), "ma")).cast("int"))
-        first = F.when(F.col("minor"), F.lit(0)).otherwise(F.col("ma"))
-        work = work.withColumn("other", F.explode(F.sequence(first, F.col("ma") + F.col("mi") - 1)))
+            block = F.pmod(F.xxhash64("class", "token", F.lit(salt)), F.col("ma") + F.col("mi")).cast("int")
+            work = work.withColumn("block", block).withColumn("other", block)
+        else:
+            minor, spread = F.col("label") != F.col("major"), F.xxhash64("class")
+            work = work.withColumn("block", F.when(minor, F.col("ma") + F.pmod(spread, "mi")).otherwise(F.pmod(spread, "ma")).cast("int"))
+            work = work.withColumn("other", F.explode(F.sequence(F.when(minor, F.lit(0)).otherwise(F.col("ma")), F.col("ma") + F.col("mi") - 1)))
+        work = work.join(signs.select("class", "bits"), "class")
         work = work.select("token", "class", "size", "label", "bits", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
         pairs = work.withColumn("group", F.pmod(F.xxhash64("token", "i", "j"), F.lit(groups))).groupBy("group").applyInArrow(_traverse(percent, most), "a long, b long")
-        return _verified(sets, written(pairs.distinct(), "pairs"), percent)
+        return _verified(table, signs, written(pairs.distinct(), "pairs"), words, percent)
 
-    # first the likeliest candidates of each member, which joins most components; then all that is left
-    for most in (1, None):
-        edges = written(edges.unionByName(searched(labels, most)).distinct(), "links")
+    # first the likeliest candidates of each member in its block, which joins most components; then all that is left
+    for most, salt in ((1, 1), (1, 2), (None, 0)):
+        edges = written(edges.unionByName(searched(labels, most, salt)).distinct(), "links")
         labels = components(edges)
 
     named = signs.select(F.col("class").alias("node"), "least").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
