@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import estimate_tokens, heading_of, is_boilerplate, normalise_ws, sentence_array, strip
+from ..functions.text import estimate_tokens, folded, heading_of, is_boilerplate, let, normalise_ws, sentence_array, strip
 
 TARGET, OVERLAP, TINY = 1100, 180, 40
 _SECTION = "array<struct<heading:string,body:string>>"
@@ -43,28 +43,28 @@ def pack_sentences(sentences: Column, target: int = TARGET, overlap: int = OVERL
     """D2. Greedy packing up to ``target`` characters; a new chunk starts with the last sentences
     of the one before it, as far as they fit ``overlap`` (a third of the target at most)."""
     overlap = min(overlap, target // 3)
-    length = lambda a: F.aggregate(a, F.lit(0), lambda n, s: n + F.length(s) + 1)
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.array().cast("array<string>").alias("now"))
+    now = "struct<parts:array<string>,size:int>"
+    state = lambda parts, size: F.struct(parts.alias("parts"), size.alias("size")).cast(now)
 
-    def tail(now: Column) -> Column:
-        begin = F.struct(F.array().cast("array<string>").alias("keep"), F.lit(0).alias("n"), F.lit(True).alias("open"))
+    def tail(parts: Column) -> Column:
+        begin = F.struct(F.array().cast("array<string>").alias("parts"), F.lit(0).alias("size"), F.lit(True).alias("open"))
 
         def step(acc: Column, s: Column) -> Column:
-            fits = acc["open"] & (acc["n"] + F.length(s) <= overlap)
+            fits = acc["open"] & (acc["size"] + F.length(s) <= overlap)
             return F.struct(
-                F.when(fits, F.concat(F.array(s), acc["keep"])).otherwise(acc["keep"]).alias("keep"), F.when(fits, acc["n"] + F.length(s) + 1).otherwise(acc["n"]).alias("n"), fits.alias("open")
+                F.when(fits, F.concat(F.array(s), acc["parts"])).otherwise(acc["parts"]).alias("parts"), F.when(fits, acc["size"] + F.length(s) + 1).otherwise(acc["size"]).alias("size"), fits.alias("open")
             )
 
-        return F.aggregate(F.reverse(now), begin, step)["keep"]
+        return F.aggregate(F.reverse(parts), begin, step, lambda acc: state(acc["parts"], acc["size"]))
 
-    def step(acc: Column, s: Column) -> Column:
-        full = (F.size(acc["now"]) > 0) & (length(acc["now"]) + F.length(s) > target)
-        return F.struct(
-            F.when(full, F.concat(acc["out"], F.array(F.array_join(acc["now"], " ")))).otherwise(acc["out"]).alias("out"),
-            F.when(full, F.concat(tail(acc["now"]), F.array(s))).otherwise(F.concat(acc["now"], F.array(s))).alias("now"),
-        )
+    def step(acc: Column, s: Column) -> tuple[Column, Column]:
+        """A null ends the section."""
+        full = (F.size(acc["parts"]) > 0) & (s.isNull() | (acc["size"] + F.length(s) > target))
+        after = F.when(full & s.isNotNull(), let(tail(acc["parts"]), lambda t: state(F.concat(t["parts"], F.array(s)), t["size"] + F.length(s) + 1)))
+        return after.otherwise(state(F.concat(acc["parts"], F.array(s)), acc["size"] + F.length(s) + 1)), F.when(full, F.array(F.array_join(acc["parts"], " "))).otherwise(F.array().cast("array<string>"))
 
-    return F.aggregate(sentences, start, step, lambda acc: F.when(F.size(acc["now"]) > 0, F.concat(acc["out"], F.array(F.array_join(acc["now"], " ")))).otherwise(acc["out"]))
+    start = state(F.array().cast("array<string>"), F.lit(0))
+    return folded(F.concat(sentences, F.array(F.lit(None).cast("string"))), start, step, now, "array<string>")
 
 
 def hard_split(piece: Column, target: int = TARGET, overlap: int = OVERLAP) -> Column:
@@ -78,13 +78,16 @@ def fold_tiny(chunks: Column, target: int = TARGET) -> Column:
     """D4. Pieces of fewer than 40 characters join the chunk before them if it stays within
     1.3 targets."""
 
-    def step(acc: Column, c: Column) -> Column:
-        last = F.element_at(acc, -1)
-        joins = (F.size(acc) > 0) & (F.length(c["text"]) < TINY) & (F.length(last["text"]) + F.length(c["text"]) + 1 <= int(target * 1.3))
-        glued = F.struct(last["heading"].alias("heading"), F.concat_ws(" ", last["text"], c["text"]).alias("text"))
-        return F.when(joins, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(glued))).otherwise(F.concat(acc, F.array(c))).cast(_CHUNK)
+    one = "struct<heading:string,text:string>"
 
-    return F.aggregate(chunks, F.array().cast(_CHUNK), step)
+    def step(last: Column, c: Column) -> tuple[Column, Column]:
+        """``last`` is the open chunk (null before the first); a null ends the text."""
+        joins = last.isNotNull() & (F.length(c["text"]) < TINY) & (F.length(last["text"]) + F.length(c["text"]) + 1 <= int(target * 1.3))
+        glued = F.struct(last["heading"].alias("heading"), F.concat_ws(" ", last["text"], c["text"]).alias("text")).cast(one)
+        joins = F.coalesce(joins, F.lit(False))
+        return F.when(joins, glued).otherwise(c), F.when(last.isNotNull() & ~joins, F.array(last)).otherwise(F.array().cast(_CHUNK))
+
+    return folded(F.concat(chunks, F.array(F.lit(None).cast(one))), F.lit(None).cast(one), step, one, _CHUNK)
 
 
 def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", target: int = TARGET, overlap: int = OVERLAP) -> DataFrame:
@@ -103,14 +106,12 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", targ
     step = step.withColumn("pieces", F.flatten(F.transform(section_array(F.col("source")), cut)).cast(_CHUNK)).withColumn("pieces", fold_tiny(F.col("pieces"), target))
     flat = F.regexp_replace("source", "\n", " ")
 
-    begin = F.struct(F.lit(0).alias("cursor"), F.array().cast("array<int>").alias("starts"))
-
-    def search(acc: Column, c: Column) -> Column:
-        at = F.call_function("locate", F.substring(c["text"], 1, 80), flat, acc["cursor"] + 1) - 1
-        start = F.when(at >= 0, at).otherwise(acc["cursor"])
-        return F.struct(start.alias("cursor"), F.concat(acc["starts"], F.array(start)).alias("starts"))
+    def search(cursor: Column, c: Column) -> tuple[Column, Column]:
+        at = F.call_function("locate", F.substring(c["text"], 1, 80), F.col("flat"), cursor + 1) - 1
+        start = F.when(at >= 0, at).otherwise(cursor)
+        return start, F.array(start)
 
-    step = step.withColumn("starts", F.aggregate("pieces", begin, search)["starts"])
+    step = step.withColumn("flat", flat).withColumn("starts", folded(F.col("pieces"), F.lit(0), search, "int", "array<int>"))
     rows = step.select(id_col, F.posexplode(F.arrays_zip("pieces", "starts")).alias("ordinal", "z"))
     return rows.select(
         id_col,

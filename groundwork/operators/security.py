@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..functions.text import find_all, normalise_ws, strip
+from ..functions.text import find_all, folded, let, normalise_ws, strip
 
 FINDING = "array<struct<category:string,label:string,severity:string,position:int,ending:int,evidence:string,token:string>>"
 _RANK = {s: k for k, s in enumerate(rules.SEVERITIES)}
@@ -22,6 +22,32 @@ def _any(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions)
 
 
+# ---- gates: words or signs of which a text with a match has at least one, looked for before any
+# pattern runs. Most texts have none, and a search for a word costs a small part of a pattern.
+
+#: By rule of INJECTION, in order; lower case.
+INJECTION_MARKS = (
+    ("ignore",), ("disregard",), ("prompt", "instruction", "rule"), ("you",), ("restriction", "unfiltered", "unrestricted"),
+    ("safety", "guard", "filter", "restriction", "moderation", "alignment"), ("mode", "jailbreak"), ("api", "secret", "token", "credential", "env", "system"),
+    ("shell", "terminal", "bash", "eval", "exec"), ("base64", "rot13", "hex", "\\x"), ("<", "["), ("system", "assistant", "human"),
+    ("tell", "inform", "mention", "reveal"), ("include",),
+)
+#: By name of PII: lower-case words; ``0`` stands for any digit.
+PII_MARKS = {
+    "email": ("@",), "phone_international": ("+",), "aws_key": ("akia", "asia"), "private_key": ("private key",), "api_token": ("sk-", "pk-", "ghp-", "gho-", "xox", "glpat-"),
+    "bearer": ("bearer",), "password_assignment": ("password", "passwd", "pwd", "secret"), "employee_id": ("emp", "staff"),
+}
+
+
+def gated(text: Column, use) -> Column:
+    """``use(gate)``, where ``gate(marks)`` tells whether the text has one of the marks (``0``: a digit)."""
+
+    def run(g: Column) -> Column:
+        return use(lambda marks: _any([g["digit"] if m == "0" else g["low"].contains(m) for m in marks]))
+
+    return let(F.struct(F.lower(text).alias("low"), text.rlike("[0-9]").alias("digit")), run)
+
+
 # ---- injection
 
 
@@ -38,14 +64,13 @@ def injection_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         return F.transform(find_all(text, _rule_pattern(pattern)), row)
 
     found = [of_rule(k, *rule) for k, rule in enumerate(rules.INJECTION)]
-    hit = _any([text.rlike(_rule_pattern(p)) for _, p, _ in rules.INJECTION])
-    return docs.where(hit).select(F.col(id_col), F.inline(F.concat(*found)))
+    return docs.where(gated(text, lambda gate: _any(list(_name_hits(text, gate).values())))).select(F.col(id_col), F.inline(F.concat(*found)))
 
 
-def _name_hits(text: Column) -> dict[str, Column]:
+def _name_hits(text: Column, gate) -> dict[str, Column]:
     hits: dict[str, Column] = {}
-    for name, pattern, _ in rules.INJECTION:
-        here = text.rlike(_rule_pattern(pattern))
+    for marks, (name, pattern, _) in zip(INJECTION_MARKS, rules.INJECTION, strict=True):
+        here = gate(marks) & text.rlike(_rule_pattern(pattern))
         hits[name] = hits[name] | here if name in hits else here
     return hits
 
@@ -53,14 +78,18 @@ def _name_hits(text: Column) -> dict[str, Column]:
 def injection_score(text: Column) -> Column:
     """C2. Weights of all rules whose name matched, over 1.6, at most 1. A name of two
     rules counts both."""
-    hits = _name_hits(text)
-    total = sum((F.when(hits[name], w).otherwise(0.0) for name, _, w in rules.INJECTION), F.lit(0.0))
-    return F.least(F.lit(1.0), F.round(total / rules.INJECTION_SCALE, 4))
+
+    def run(gate) -> Column:
+        hits = _name_hits(text, gate)
+        total = sum((F.when(hits[name], w).otherwise(0.0) for name, _, w in rules.INJECTION), F.lit(0.0))
+        return F.least(F.lit(1.0), F.round(total / rules.INJECTION_SCALE, 4))
+
+    return gated(text, run)
 
 
 def injection_names(text: Column) -> Column:
-    names = [F.when(hit, F.lit(name)) for name, hit in _name_hits(text).items()]
-    return F.array_sort(F.filter(F.array(*names), lambda n: n.isNotNull()))
+    names = lambda gate: F.array(*(F.when(hit, F.lit(name)) for name, hit in _name_hits(text, gate).items()))
+    return F.array_sort(F.filter(gated(text, names), lambda n: n.isNotNull()))
 
 
 def injection_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -91,19 +120,21 @@ def mask_value(value: Column, category: str) -> Column:
     return F.when(n <= 4, F.repeat(F.lit("*"), n)).otherwise(F.concat(head, F.repeat(F.lit("*"), n - 4), tail))
 
 
-def _candidates(text: Column, rule: tuple) -> Column:
+def _candidates(text: Column, rule: tuple, gate) -> Column:
     name, label, pattern, severity, token = rule
+    none = F.array().cast(FINDING)
     found = find_all(text, pattern)
     if name == "credit_card":
         found = F.filter(found, lambda m: luhn(m["value"]))
     found = F.filter(found, lambda m: F.length(strip(m["value"])) >= 4)
-    return F.transform(
+    rows = F.transform(
         found,
         lambda m: F.struct(
             F.lit(name).alias("category"), F.lit(label).alias("label"), F.lit(severity).alias("severity"), m["start"].alias("position"),
             (m["start"] + F.length(m["value"])).alias("ending"), mask_value(m["value"], name).alias("evidence"), F.lit(token).alias("token"),
         ),
     ).cast(FINDING)
+    return F.when(gate(PII_MARKS.get(name, ("0",))), rows).otherwise(none)
 
 
 def _by_severity() -> list[tuple]:
@@ -113,16 +144,38 @@ def _by_severity() -> list[tuple]:
 def pii_candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """C3. A row per candidate of every rule, overlaps included."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col), F.inline(F.concat(*(_candidates(text, r) for r in rules.PII))))
+    return docs.select(F.col(id_col), F.inline(gated(text, lambda gate: F.concat(*(_candidates(text, r, gate) for r in rules.PII)))))
 
 
 def resolve_pii(text: Column) -> Column:
     """C4. Candidates by severity, then rule, then place; one that overlaps an accepted span is
-    left out. The result is ordered by position."""
-    ordered = F.concat(*(_candidates(text, r) for r in _by_severity()))
-    taken = lambda acc, c: F.exists(acc, lambda a: (c["position"] < a["ending"]) & (a["position"] < c["ending"]))
-    kept = F.aggregate(ordered, F.array().cast(FINDING), lambda acc, c: F.when(taken(acc, c), acc).otherwise(F.concat(acc, F.array(c))).cast(FINDING))
-    return F.array_sort(kept, lambda a, b: a["position"] - b["position"])
+    left out. Only candidates of one chain of overlaps are compared. The result is ordered by position."""
+    found = gated(text, lambda gate: F.concat(*(_candidates(text, r, gate) for r in _by_severity())))
+    one, many = FINDING.removeprefix("array<").removesuffix(">"), f"array<{FINDING}>"
+    rank = F.array(*(F.lit(r[0]) for r in _by_severity()))
+    order = lambda c: F.array_position(rank, c["category"]) * 4_294_967_296 + c["position"]
+    state = f"struct<reach:int,open:{FINDING}>"
+
+    def step(acc: Column, c: Column) -> tuple[Column, Column]:
+        """Chains of overlapping candidates, in order of place; a null ends the text."""
+        apart = (F.size(acc["open"]) > 0) & (c.isNull() | (c["position"] >= acc["reach"]))
+        after = F.struct(
+            F.when(apart, c["ending"]).otherwise(F.greatest(acc["reach"], c["ending"])).alias("reach"), F.when(apart, F.array(c)).otherwise(F.concat(acc["open"], F.array(c))).cast(FINDING).alias("open")
+        )
+        return after.cast(state), F.when(apart, F.array(acc["open"])).otherwise(F.array().cast(many))
+
+    def chosen(chain: Column) -> Column:
+        taken = lambda acc, c: F.exists(acc, lambda a: (c["position"] < a["ending"]) & (a["position"] < c["ending"]))
+        best = F.array_sort(chain, lambda a, b: F.when(order(a) < order(b), -1).when(order(a) > order(b), 1).otherwise(0))
+        kept = F.aggregate(best, F.array().cast(FINDING), lambda acc, c: F.when(taken(acc, c), acc).otherwise(F.concat(acc, F.array(c))).cast(FINDING))
+        return F.when(F.size(chain) == 1, chain).otherwise(F.array_sort(kept, lambda a, b: a["position"] - b["position"]))
+
+    def run(rows: Column) -> Column:
+        placed = F.array_sort(rows, lambda a, b: a["position"] - b["position"])
+        chains = folded(F.concat(placed, F.array(F.lit(None).cast(one))), F.struct(F.lit(0).alias("reach"), F.array().cast(FINDING).alias("open")).cast(state), step, state, many)
+        return F.when(F.size(rows) == 0, rows).otherwise(F.flatten(F.transform(chains, chosen)))
+
+    return let(found, run)
 
 
 def found_categories(findings: Column) -> Column:
@@ -188,13 +241,16 @@ def risk_level(score: Column, findings: Column) -> Column:
 def risk_by_presence(text: Column) -> Column:
     """C10 without spans: a blocked span is never more severe than what blocks it, so the
     highest severity with any valid match decides."""
-    rank = F.lit(0)
-    for name, _, pattern, severity, _ in reversed(_by_severity()):
-        here = text.rlike(pattern)
-        if name == "credit_card":
-            here &= F.exists(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), luhn)
-        rank = F.greatest(rank, F.when(here, 4 - _RANK[severity]).otherwise(0))
-    return _level(F.greatest(rank, injection_rank(injection_score(text))))
+    def run(gate) -> Column:
+        rank = F.lit(0)
+        for name, _, pattern, severity, _ in reversed(_by_severity()):
+            here = gate(PII_MARKS.get(name, ("0",))) & text.rlike(pattern)
+            if name == "credit_card":
+                here &= F.exists(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), luhn)
+            rank = F.greatest(rank, F.when(here, 4 - _RANK[severity]).otherwise(0))
+        return rank
+
+    return _level(F.greatest(gated(text, run), injection_rank(injection_score(text))))
 
 
 def recommendations(score: Column, findings: Column) -> Column:

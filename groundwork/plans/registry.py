@@ -13,7 +13,7 @@ from ..functions import rules
 from ..functions import text as T
 from ..operators import chunking, compose, corpus, grounding, knowledge, provenance, relational, retrieval, security, vectors
 from ..sources import files
-from ..sources.tables import shared_root, written
+from ..sources.tables import shared_root, spread, written
 from ..streaming import jobs
 from . import oracles
 
@@ -31,7 +31,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    return spread(table(spark, sf_dir, "documents"))
 
 
 def joined(col: Column | str, sep: str = "|") -> Column:
@@ -505,7 +505,7 @@ def f17_knowledge(spark, sf_dir):
 
 
 def _outputs_of_turns(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations")
+    c = spread(table(spark, sf_dir, "conversations"))
     return c.where("role = 'assistant'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("output_id"), F.col("conv_id").alias("run_id"), F.concat("text", F.lit("\nStat: "), F.length("text").cast("string"), F.lit("\n[Panel 1]\nSource: x")).alias("body"))
 
 
