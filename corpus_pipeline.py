@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from groundwork.llm import dedup, jaccard, langid, pack, pii
 from groundwork.llm.shared import written
+from groundwork.sources.tables import spread
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -77,7 +78,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -7,7 +7,6 @@ need first, so extra columns with clashing names never reach a join.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -17,19 +16,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import shared_root
+
 # --------------------------------------------------------------------------
 # tables in the folder that the whole cluster sees
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a temp folder only where it is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = getattr(spark, "_groundwork_shared", None) or tempfile.mkdtemp(prefix="groundwork-")
-        spark._groundwork_shared = root
-    return root
-
-
 def written(df: DataFrame, name: str = "t") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts the
     lineage so that a lost executor never repeats what stands above."""
