@@ -236,15 +236,31 @@ def extract_all(col: Column | str, pattern: str) -> Column:
 MATCH = "array<struct<start:int,value:string>>"
 
 
-def find_all(col: Column, pattern: str) -> Column:
-    """All matches of a pattern with their places (code points from 0): a match starts after
-    the lengths of the gaps and matches before it. The pattern runs once on texts without one."""
-    found = F.regexp_extract_all(col, F.lit(pattern), F.lit(0))
-    gaps = F.split(col, pattern, -1)
+def _placed(raw: Column) -> Column:
+    """Of a struct of matches (``found``) and the gaps around them, the matches with their places: a match
+    starts after the lengths of the gaps and matches before it."""
 
     def step(at: Column, x: Column) -> tuple[Column, Column]:
         start = at + x["gap"]
         return start + F.length(x["value"]), F.array(F.struct(start.alias("start"), x["value"].alias("value")))
 
-    pairs = let(found, lambda f: F.zip_with(F.slice(gaps, F.lit(1), F.size(f)), f, lambda g, m: F.struct(F.length(g).alias("gap"), m.alias("value"))))
-    return F.when(col.rlike(pattern), folded(pairs, F.lit(0), step, "int", MATCH)).otherwise(F.array().cast(MATCH))
+    pairs = F.zip_with(F.slice(raw["gaps"], F.lit(1), F.size(raw["found"])), raw["found"], lambda g, m: F.struct(F.length(g).alias("gap"), m.alias("value")))
+    return folded(pairs, F.lit(0), step, "int", MATCH)
+
+
+def _raw(col: Column, pattern: str) -> Column:
+    return F.struct(F.regexp_extract_all(col, F.lit(pattern), F.lit(0)).alias("found"), F.split(col, pattern, -1).alias("gaps"))
+
+
+def find_all(col: Column, pattern: str) -> Column:
+    """All matches of a pattern with their places (code points from 0). The pattern runs once on texts
+    without one."""
+    return F.when(col.rlike(pattern), let(_raw(col, pattern), _placed)).otherwise(F.array().cast(MATCH))
+
+
+def find_rules(col: Column, patterns: list[str], gates: list[Column]) -> Column:
+    """``find_all`` of many patterns: an array of structs ``rule`` (from 0), ``start``, ``value``, by rule and place.
+    A pattern runs only where its gate holds."""
+    hits = [F.when(gate & col.rlike(p), F.struct(F.lit(k).alias("rule"), _raw(col, p).alias("raw"))) for k, (p, gate) in enumerate(zip(patterns, gates, strict=True))]
+    one = lambda r: F.transform(_placed(r["raw"]), lambda m: F.struct(r["rule"].alias("rule"), m["start"].alias("start"), m["value"].alias("value")))
+    return F.flatten(F.transform(F.filter(F.array(*hits), lambda r: r.isNotNull()), one))

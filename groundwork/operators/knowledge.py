@@ -38,12 +38,13 @@ def sentence_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def sentence_terms(sentences: DataFrame) -> DataFrame:
     """``doc_id, sent_no, term, idf, max_idf`` for the distinct content terms of each sentence."""
-    terms = sentences.select("doc_id", "sent_no", F.explode(F.array_distinct(content_tokens("sentence"))).alias("term"))
-    df = terms.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("df"))
-    n = sentences.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    idf = df.join(n, "doc_id").select("doc_id", "term", (1 + F.col("n") / (1 + F.col("df"))).alias("idf"))
-    idf = idf.withColumn("max_idf", F.max("idf").over(Window.partitionBy("doc_id")))
-    return terms.join(idf, ["doc_id", "term"])
+    by = Window.partitionBy("doc_id")
+    # all keys begin with the document: its sentences are dealt once, and windows do the rest
+    rows = sentences.repartition("doc_id").withColumn("n", F.count(F.lit(1)).over(by))
+    terms = rows.select("doc_id", "sent_no", "n", F.explode(F.array_distinct(content_tokens("sentence"))).alias("term"))
+    df = F.count(F.lit(1)).over(Window.partitionBy("doc_id", "term"))
+    terms = terms.withColumn("idf", 1 + F.col("n") / (1 + df)).withColumn("max_idf", F.max("idf").over(by))
+    return terms.select("doc_id", "term", "sent_no", "idf", "max_idf")
 
 
 def score_sentences(sentences: DataFrame, terms: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..functions.text import find_all, folded, let, normalise_ws, strip
+from ..functions.text import find_rules, folded, let, normalise_ws, strip
 
 FINDING = "array<struct<category:string,label:string,severity:string,position:int,ending:int,evidence:string,token:string>>"
 _RANK = {s: k for k, s in enumerate(rules.SEVERITIES)}
@@ -59,12 +59,10 @@ def injection_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """C1. A row per match: ``id, rule_no, pattern, weight, evidence, position``."""
     text = F.coalesce(F.col(text_col), F.lit(""))
 
-    def of_rule(k: int, name: str, pattern: str, weight: float) -> Column:
-        row = lambda m: F.struct(F.lit(k).alias("rule_no"), F.lit(name).alias("pattern"), F.lit(weight).alias("weight"), F.substring(m["value"], 1, 160).alias("evidence"), m["start"].alias("position"))
-        return F.transform(find_all(text, _rule_pattern(pattern)), row)
-
-    found = [of_rule(k, *rule) for k, rule in enumerate(rules.INJECTION)]
-    return docs.where(gated(text, lambda gate: _any(list(_name_hits(text, gate).values())))).select(F.col(id_col), F.inline(F.concat(*found)))
+    weight = F.array(*(F.struct(F.lit(name).alias("name"), F.lit(w).alias("weight")) for name, _, w in rules.INJECTION))
+    found = gated(text, lambda gate: find_rules(text, [_rule_pattern(p) for _, p, _ in rules.INJECTION], [gate(m) for m in INJECTION_MARKS]))
+    rows = docs.select(F.col(id_col), F.explode(found).alias("m")).withColumn("rule", F.element_at(weight, F.col("m.rule") + 1))
+    return rows.select(id_col, F.col("m.rule").alias("rule_no"), F.col("rule.name").alias("pattern"), F.col("rule.weight").alias("weight"), F.substring("m.value", 1, 160).alias("evidence"), F.col("m.start").alias("position"))
 
 
 def _name_hits(text: Column, gate) -> dict[str, Column]:
@@ -110,31 +108,35 @@ def luhn(value: Column) -> Column:
     return (F.length(digits) >= 13) & F.coalesce(F.call_function("luhn_check", digits), F.lit(False))
 
 
-def mask_value(value: Column, category: str) -> Column:
+def mask_value(value: Column, category: str | Column) -> Column:
     """C6."""
-    v = strip(value)
-    n = F.length(v)
-    head, tail = F.substring(v, 1, 2), F.right(v, F.lit(2))
-    if category in rules.SHORT_MASKED:
-        return F.concat(head, F.lit("***"), tail)
-    return F.when(n <= 4, F.repeat(F.lit("*"), n)).otherwise(F.concat(head, F.repeat(F.lit("*"), n - 4), tail))
-
-
-def _candidates(text: Column, rule: tuple, gate) -> Column:
-    name, label, pattern, severity, token = rule
-    none = F.array().cast(FINDING)
-    found = find_all(text, pattern)
-    if name == "credit_card":
-        found = F.filter(found, lambda m: luhn(m["value"]))
-    found = F.filter(found, lambda m: F.length(strip(m["value"])) >= 4)
-    rows = F.transform(
-        found,
-        lambda m: F.struct(
-            F.lit(name).alias("category"), F.lit(label).alias("label"), F.lit(severity).alias("severity"), m["start"].alias("position"),
-            (m["start"] + F.length(m["value"])).alias("ending"), mask_value(m["value"], name).alias("evidence"), F.lit(token).alias("token"),
-        ),
-    ).cast(FINDING)
-    return F.when(gate(PII_MARKS.get(name, ("0",))), rows).otherwise(none)
+    short = F.lit(category in rules.SHORT_MASKED) if isinstance(category, str) else category.isin(*rules.SHORT_MASKED)
+
+    def run(v: Column) -> Column:
+        n = F.length(v)
+        head, tail = F.substring(v, 1, 2), F.right(v, F.lit(2))
+        return F.when(short, F.concat(head, F.lit("***"), tail)).when(n <= 4, F.repeat(F.lit("*"), n)).otherwise(F.concat(head, F.repeat(F.lit("*"), n - 4), tail))
+
+    return let(strip(value), run)
+
+
+def _candidates(text: Column, chosen: list[tuple]) -> Column:
+    """Findings of all rules, by rule and place."""
+    meta = F.array(*(F.struct(F.lit(n).alias("name"), F.lit(label).alias("label"), F.lit(s).alias("severity"), F.lit(t).alias("token")) for n, label, _, s, t in chosen))
+    card = [r[0] for r in chosen].index("credit_card")
+    found = gated(text, lambda gate: find_rules(text, [r[2] for r in chosen], [gate(PII_MARKS.get(r[0], ("0",))) for r in chosen]))
+    kept = F.filter(found, lambda m: (F.length(strip(m["value"])) >= 4) & ((m["rule"] != card) | luhn(m["value"])))
+
+    def finding(m: Column) -> Column:
+        return let(
+            F.element_at(meta, m["rule"] + 1),
+            lambda r: F.struct(
+                r["name"].alias("category"), r["label"].alias("label"), r["severity"].alias("severity"), m["start"].alias("position"),
+                (m["start"] + F.length(m["value"])).alias("ending"), mask_value(m["value"], r["name"]).alias("evidence"), r["token"].alias("token"),
+            ),
+        )
+
+    return F.transform(kept, finding).cast(FINDING)
 
 
 def _by_severity() -> list[tuple]:
@@ -144,13 +146,13 @@ def _by_severity() -> list[tuple]:
 def pii_candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """C3. A row per candidate of every rule, overlaps included."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col), F.inline(gated(text, lambda gate: F.concat(*(_candidates(text, r, gate) for r in rules.PII)))))
+    return docs.select(F.col(id_col), F.inline(_candidates(text, list(rules.PII))))
 
 
 def resolve_pii(text: Column) -> Column:
     """C4. Candidates by severity, then rule, then place; one that overlaps an accepted span is
     left out. Only candidates of one chain of overlaps are compared. The result is ordered by position."""
-    found = gated(text, lambda gate: F.concat(*(_candidates(text, r, gate) for r in _by_severity())))
+    found = _candidates(text, _by_severity())
     one, many = FINDING.removeprefix("array<").removesuffix(">"), f"array<{FINDING}>"
     rank = F.array(*(F.lit(r[0]) for r in _by_severity()))
     order = lambda c: F.array_position(rank, c["category"]) * 4_294_967_296 + c["position"]
@@ -186,16 +188,16 @@ def redact(text: Column, findings: Column) -> Column:
     """C7. Struct of ``text`` and ``applied``: from the last finding to the first, the rule's
     token replaces all its matches in the whole text (Luhn and overlaps are not asked again)."""
     ordered = F.array_distinct(F.transform(F.reverse(findings), lambda f: f["category"]))
+    rule = F.array(*(F.struct(F.lit(n).alias("name"), F.lit(p).alias("pattern"), F.lit(t).alias("token")) for n, _, p, _, t in rules.PII))
+    names = F.array(*(F.lit(r[0]) for r in rules.PII))
 
     def step(acc: Column, category: Column) -> Column:
-        out, count = acc["text"], F.lit(0)
-        for name, _, pattern, _, token in rules.PII:
-            here = category == name
-            out = F.when(here, F.regexp_replace(acc["text"], pattern, token)).otherwise(out)
-            count = F.when(here, F.regexp_count(acc["text"], F.lit(pattern))).otherwise(count)
-        return F.struct(out.alias("text"), (acc["applied"] + count).alias("applied"))
-
-    return F.aggregate(ordered, F.struct(text.alias("text"), F.lit(0).alias("applied")), step)
+        def run(r: Column) -> Column:
+            return F.struct(F.regexp_replace(acc["text"], r["pattern"], r["token"]).alias("text"), (acc["applied"] + F.regexp_count(acc["text"], r["pattern"])).alias("applied"))
+
+        return let(F.element_at(rule, F.array_position(names, category).cast("int")), run)
+
+    return F.when(F.size(findings) > 0, F.aggregate(ordered, F.struct(text.alias("text"), F.lit(0).alias("applied")), step)).otherwise(F.struct(text.alias("text"), F.lit(0).alias("applied")))
 
 
 def redact_spans(text: Column, findings: Column) -> Column:
