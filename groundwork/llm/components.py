@@ -43,3 +43,17 @@ def components(edges: DataFrame) -> DataFrame:
             break
         mark = tuple(sums)
     return now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
+
+
+def joined_labels(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """``labels`` (node, label) after further ``edges`` (a, b): components of the labels that the edges
+    join, a graph of labels only. Nodes without a label are their own."""
+    ends = edges
+    for side in ("a", "b"):
+        own = labels.select(F.col("node").alias(side), F.col("label").alias(f"l{side}"))
+        ends = ends.join(own, side, "left").withColumn(f"l{side}", F.coalesce(f"l{side}", side))
+    ends = written(ends, "ends")
+    over = components(ends.select(F.col("la").alias("a"), F.col("lb").alias("b"))).select(F.col("node").alias("label"), F.col("label").alias("over"))
+    new = ends.select(F.col("a").alias("node"), F.col("la").alias("label")).unionByName(ends.select(F.col("b").alias("node"), F.col("lb").alias("label"))).where("node = label")
+    nodes = labels.unionByName(new).distinct()
+    return written(nodes.join(over, "label", "left").select("node", F.coalesce("over", "label").alias("label")), "labels")

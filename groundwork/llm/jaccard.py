@@ -10,7 +10,8 @@ fewer than k with any others leaves all lists.
    candidates are bounded by their signatures and verified on the whole sets. Lists whose
    members then stand in one component need no further work.
 2. The other lists go (twice for the likeliest partner of each member in its block, which joins
-   most components, then for everything that is left) through signature trees: a leaf holds the bitmap of a set's
+   most components, then for more and more partners of the members outside a list's largest
+   component, until no possible pair between components is left) through signature trees: a leaf holds the bitmap of a set's
    hashes and its size, a node the OR of its children's bitmaps and their size
    range. Two nodes are traversed together only while the common bits, plus the
    hashes that a bitmap can hide, reach the overlap that their sizes call for, and
@@ -18,8 +19,9 @@ fewer than k with any others leaves all lists.
 
 Lists longer than a block are cut into blocks, and pairs of blocks are dealt over the tasks. Only sets of
 candidates are shuffled, and the filter that finds their documents is a bitmap of bounded size. Shingles
-are 64-bit hashes of word hashes. That the first rounds stop a list at 4 000 000 pairs and look at three
-lists of each member, inside its block, loses no link: the last round has no bound.
+are 64-bit hashes of word hashes. The bounds of a round (partners of a member, three lists and one block in
+the first two, 4 000 000 pairs of a list) lose no link: rounds go on, the last without any bound, until
+one leaves out nothing.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .components import components
+from .components import components, joined_labels
 from .shared import LOWER, mix, partitions, slices, text_bytes, word_hashes, word_runs, written
 
 SHINGLE, PERCENT = 5, 75
@@ -373,20 +375,22 @@ def tree_pairs(x: SignatureTree, y: SignatureTree, percent: int, same: bool) ->
         stack += [(lx, ly, i[k : k + step], j[k : k + step]) for k in range(0, len(i), step)]
 
 
-def _best(pairs: np.ndarray, ratio: np.ndarray, most: int) -> np.ndarray:
-    """The pairs that are among the ``most`` likeliest of one of their two members."""
+def _best(pairs: np.ndarray, ratio: np.ndarray, most: int, asks: set[int]) -> tuple[np.ndarray, bool]:
+    """The pairs that are among the ``most`` likeliest of one of their two members, of those in ``asks``; and
+    whether a pair was left out."""
     keep = np.zeros(len(pairs), bool)
     for side in (0, 1):
-        order = np.lexsort((-ratio, pairs[:, side]))
-        start = np.flatnonzero(np.concatenate([[True], np.diff(pairs[order, side]) != 0]))
-        number = np.arange(len(pairs)) - np.repeat(start, np.diff(np.append(start, len(pairs))))
+        own = np.flatnonzero(np.isin(pairs[:, side], list(asks)))
+        order = own[np.lexsort((-ratio[own], pairs[own, side]))]
+        start = np.flatnonzero(np.concatenate([[True], np.diff(pairs[order, side]) != 0]))[: len(order)]
+        number = np.arange(len(order)) - np.repeat(start, np.diff(np.append(start, len(order))))
         keep[order[number < most]] = True
-    return pairs[keep]
+    return pairs[keep], not keep.all()
 
 
 def _traverse(percent: int, most: int | None = None):
-    """Dual traversals of the lists in one group: candidate pairs between components; with
-    ``most`` only the likeliest of each member, in a round that another one follows."""
+    """Dual traversals of the lists in one group: candidate pairs between components; with ``most`` only
+    the likeliest of each member that is ``minor``, and a row of nulls where that leaves out pairs."""
 
     def one(c, n, label, block, bits, crossing) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         words = np.array([len(b) // 8 for b in bits])
@@ -422,10 +426,11 @@ def _traverse(percent: int, most: int | None = None):
     def reduce(table: pa.Table) -> pa.Table:
         token, i, j = (table.column(k).to_numpy() for k in ("token", "i", "j"))
         c, n, label, block = (table.column(k).to_numpy() for k in ("class", "size", "label", "block"))
+        minor = table.column("minor").to_numpy(zero_copy_only=False)
         bits = table.column("bits").to_pylist()
         order = np.lexsort((c, j, i, token))
         cut = np.flatnonzero(np.concatenate([[True], (np.diff(token[order]) != 0) | (np.diff(i[order]) != 0) | (np.diff(j[order]) != 0)]))
-        found = []
+        found, open_ = [], False
         for own in np.split(order, cut[1:]):
             cross = (i[own[0]], j[own[0]])
             pairs, ratio = [], []
@@ -433,14 +438,19 @@ def _traverse(percent: int, most: int | None = None):
                 pairs.append(x)
                 ratio.append(y)
                 if most and sum(map(len, pairs)) > 4_000_000:
+                    open_ = True
                     break
             if pairs:
                 pairs = np.concatenate(pairs)
-                found.append(_best(pairs, np.concatenate(ratio), most) if most else pairs)
+                if most:
+                    pairs, cut_short = _best(pairs, np.concatenate(ratio), most, set(c[own[minor[own]]].tolist()))
+                    open_ |= cut_short
+                found.append(pairs)
             if len(found) > 1000:
                 found = [np.unique(np.concatenate(found), axis=0)]
         pairs = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
-        return pa.table({"a": pa.array(pairs[:, 0].copy(), pa.int64()), "b": pa.array(pairs[:, 1].copy(), pa.int64())})
+        tail = [None] if open_ else []
+        return pa.table({"a": pa.array([*pairs[:, 0].tolist(), *tail], pa.int64()), "b": pa.array([*pairs[:, 1].tolist(), *tail], pa.int64())})
 
     return reduce
 
@@ -552,9 +562,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     groups = int(max(4 * partitions(spark), members.count() // 20_000))
 
-    def searched(labels: DataFrame | None, most: int | None, salt: int = 0) -> DataFrame:
-        """Verified pairs of the lists' members between components, or of all members without ``labels``. With
-        ``most``, members meet those of their own block only (dealt by ``salt``).
+    def searched(labels: DataFrame | None, most: int | None, salt: int = 0) -> tuple[DataFrame, bool]:
+        """Verified pairs of the lists' members between components, or of all members without ``labels``, and whether
+        pairs were left out. With a ``salt``, members meet those of their own block only, in three lists at most.
 
         A list's largest component is told from its other members: only the latter need to meet
         anyone. Both are cut into blocks, and each pair of blocks is a unit of its own."""
@@ -572,24 +582,28 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             .select("token", "major", "members", cut(F.col("most")).alias("ma"), cut(F.col("members") - F.col("most")).alias("mi"))
         )
         work = named.join(open_, "token")
-        if most:  # in this round, the longest lists of each member
+        if salt:  # in this round, the longest lists of each member
             longest = Window.partitionBy("class").orderBy(F.desc("members"), "token")
             work = work.withColumn("r", F.row_number().over(longest)).where("r <= 3")
             block = F.pmod(F.xxhash64("class", "token", F.lit(salt)), F.col("ma") + F.col("mi")).cast("int")
-            work = work.withColumn("block", block).withColumn("other", block)
+            work = work.withColumn("minor", F.lit(True)).withColumn("block", block).withColumn("other", block)
         else:
-            minor, spread = F.col("label") != F.col("major"), F.xxhash64("class")
-            work = work.withColumn("block", F.when(minor, F.col("ma") + F.pmod(spread, "mi")).otherwise(F.pmod(spread, "ma")).cast("int"))
-            work = work.withColumn("other", F.explode(F.sequence(F.when(minor, F.lit(0)).otherwise(F.col("ma")), F.col("ma") + F.col("mi") - 1)))
+            work, spread = work.withColumn("minor", F.col("label") != F.col("major")), F.xxhash64("class")
+            work = work.withColumn("block", F.when(F.col("minor"), F.col("ma") + F.pmod(spread, "mi")).otherwise(F.pmod(spread, "ma")).cast("int"))
+            work = work.withColumn("other", F.explode(F.sequence(F.when(F.col("minor"), F.lit(0)).otherwise(F.col("ma")), F.col("ma") + F.col("mi") - 1)))
         work = work.join(signs.select("class", "bits"), "class")
-        work = work.select("token", "class", "size", "label", "bits", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+        work = work.select("token", "class", "size", "label", "minor", "bits", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
         pairs = work.withColumn("group", F.pmod(F.xxhash64("token", "i", "j"), F.lit(groups))).groupBy("group").applyInArrow(_traverse(percent, most), "a long, b long")
-        return _verified(table, signs, written(pairs.distinct(), "pairs"), words, percent)
+        pairs = written(pairs.distinct(), "pairs")
+        return _verified(table, signs, pairs.where("a is not null"), words, percent), not pairs.where("a is null").isEmpty()
 
-    # first the likeliest candidates of each member in its block, which joins most components; then all that is left
-    for most, salt in ((1, 1), (1, 2), (None, 0)):
-        edges = written(edges.unionByName(searched(labels, most, salt)).distinct(), "links")
-        labels = components(edges)
+    # first the likeliest candidates of each member in its block, which joins most components; then of the members outside
+    # a list's largest component, more and more of them until none is left out
+    for most, salt in ((1, 1), (1, 2), (2, 0), (16, 0), (128, 0), (None, 0)):
+        found, more = searched(labels, most, salt)
+        labels = joined_labels(labels, found)
+        if not (more or salt):
+            break
 
     named = signs.select(F.col("class").alias("node"), "least").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     best = named.groupBy("label").agg(F.min("least").alias("component_id"))
@@ -599,7 +613,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     if links:
         out.append("n_links")
         times = written(rows.where("class is not null").groupBy("class").agg(F.count(F.lit(1)).alias("times")), "times")
-        pairs = written(searched(None, None), "links")
+        pairs = written(searched(None, None)[0], "links")
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         other = both.join(times.withColumnRenamed("class", "b"), "b").groupBy(F.col("a").alias("class")).agg(F.sum("times").alias("other"))
         degree = times.join(other, "class", "left").select("class", (F.col("times") - 1 + F.coalesce("other", F.lit(0))).alias("n_links"))
