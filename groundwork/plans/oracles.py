@@ -143,8 +143,84 @@ EMBED = (
 )
 
 
+def key_of(x: str) -> str:
+    return f"trim(regexp_replace(lower({x}), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g'))"
+
+
+def unique(x: str) -> str:
+    """The first of equal items, in order."""
+    return f"list_filter({x}, lambda v, i: list_position({x}, v) = i)"
+
+
+def snippet(x: str, n: int) -> str:
+    flat = f"array_to_string(list_filter(regexp_split_to_array({x}, '\\s+'), lambda w: w <> ''), ' ')"
+    return f"CASE WHEN len({flat}) <= {n} THEN {flat} ELSE rtrim(substr({flat}, 1, {n - 1})) || '…' END"
+
+
+def classified(x: str) -> str:
+    """F10; a per cent sign ends a word of its own."""
+    percent = rules.PERCENT.replace("percent)", "percent\\b)")
+    m = lambda p: f"regexp_matches({x}, {_q(p)})"
+    return (
+        f"CASE WHEN {m(rules.ACTION)} THEN 'recommendation' WHEN {m(percent)} THEN 'impact' WHEN {m(rules.COPULA)} AND {m('(?i)' + rules.NUMBER)} THEN 'finding'"
+        f" WHEN {m(rules.REPORTED)} THEN 'finding' WHEN {m('(?i)' + rules.DATE)} THEN 'timeline' WHEN {m(rules.SELF)} THEN 'finding' ELSE 'context' END"
+    )
+
+
+#: Bodies with their headings, first lines and subject (F6).
+_BARE = strip(f"regexp_replace(x, {_q(rules.BULLET_STRIP)}, '')")
+SUBJECT = (
+    f"heads AS (SELECT doc_id, list(DISTINCT h) AS headings FROM (SELECT doc_id, lower({heading('x')}) AS h FROM (SELECT doc_id, unnest(string_split(body, chr(10))) AS x FROM n)) WHERE h IS NOT NULL GROUP BY doc_id)"
+    f", firsts AS (SELECT doc_id, body, list_transform(string_split(body, chr(10))[1:12], lambda x: {_BARE}) AS f FROM n)"
+    f", subj AS (SELECT doc_id, body, coalesce(list_filter(f, lambda x: regexp_matches(x, {_q(rules.TITLE_SIGNAL)}) AND len(x) BETWEEN 12 AND 220)[1], list_filter(f, lambda x: {words('x')} BETWEEN 3 AND 18 AND NOT ends_with(x, '.'))[1], nullif({snippet('body', 120)}, ''), 'Untitled source') AS subject FROM firsts)"
+)
+USABLE = (
+    f", usable AS (SELECT doc_id, sent_no, sentence, score FROM (SELECT s.*, coalesce(h.headings, []) AS headings, {key_of('subject')} AS title, {key_of('sentence')} AS k FROM scored s JOIN subj USING (doc_id) LEFT JOIN heads h USING (doc_id) WHERE score > 0)"
+    f" WHERE NOT (sentence = {_q(rules.SUPPRESSED)} OR list_contains(headings, k) OR (len(sentence) < 25 AND NOT regexp_matches(sentence, '[0-9]'))) AND NOT (title <> '' AND (starts_with(k, title) OR starts_with(title, k))))"
+)
+
+
 def sql() -> dict[str, str]:
     s: dict[str, str] = {}
+    s["a4_normalise_json"] = "SELECT event_id, CASE WHEN json_valid(props) THEN json(props)::VARCHAR ELSE props END AS json FROM events"
+    s["b2_strip_repeats"] = (
+        "WITH c AS (SELECT doc_id, unnest(string_split(text, '')) AS ch, generate_subscripts(string_split(text, ''), 1) AS i FROM documents WHERE text IS NOT NULL AND text <> ''),"
+        " g AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, ch ORDER BY i) AS run FROM c), r AS (SELECT doc_id, ch, min(i) AS at, count(*) AS n FROM g GROUP BY doc_id, ch, run),"
+        " t AS (SELECT doc_id, string_agg(repeat(ch, (CASE WHEN n >= 5 AND ch NOT IN (chr(10), chr(13), chr(133), chr(8232), chr(8233)) THEN 3 ELSE n END)::BIGINT), '' ORDER BY at) AS body FROM r GROUP BY doc_id) SELECT doc_id, coalesce(body, '') AS body FROM documents LEFT JOIN t USING (doc_id)"
+    )
+    rule = " UNION ALL ".join(f"SELECT conv_id, {k} AS rule_no, {_q(name)} AS pattern, {w}::DOUBLE AS weight, regexp_extract_all(text, {_rule(p)}) AS found, regexp_split_to_array(text, {_rule(p)}) AS gaps FROM transcripts WHERE regexp_matches(text, {_rule(p)})" for k, (name, p, w) in enumerate(rules.INJECTION))
+    s["c1_injection_matches"] = (
+        f"WITH {TRANSCRIPTS}, m AS ({rule}), u AS (SELECT *, unnest(range(1, len(found) + 1)) AS i FROM m) SELECT conv_id, rule_no, pattern, weight, substr(found[i], 1, 160) AS evidence, (list_sum(list_transform(gaps[1:i], lambda g: len(g))) + coalesce(list_sum(list_transform(found[1:i - 1], lambda g: len(g))), 0))::INT AS position FROM u"
+    )
+    s["d1_sections"] = (
+        f"WITH {LINES}, k AS (SELECT doc_id, line_no, line, {heading('line')} AS h FROM l WHERE line <> '' AND NOT regexp_matches({strip('line')}, {_q(rules.BOILERPLATE)})), g AS (SELECT *, count(h) OVER (PARTITION BY doc_id ORDER BY line_no) AS sec FROM k),"
+        f" p AS (SELECT doc_id, sec, max(h) AS heading, {strip('coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (h IS NULL), chr(32))')} AS body FROM g GROUP BY doc_id, sec), f AS (SELECT doc_id, sec, heading, body FROM p WHERE body <> '' UNION ALL SELECT doc_id, 0, NULL, body FROM n WHERE body <> '' AND doc_id NOT IN (SELECT doc_id FROM p WHERE body <> ''))"
+        " SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY sec) - 1 AS sec_no, heading, body FROM f"
+    )
+    s["e4_e5_embed_table"] = f"WITH {_features('documents', 'doc_id', 'text')}{EMBED.replace('{keys}', 'doc_id')} SELECT doc_id, count(*) AS buckets, round(sum(w * w), 3) AS norm FROM vec GROUP BY doc_id"
+    found = " || ".join(f"regexp_extract_all(body, {_q(p)})" for p in rules.INDICATORS)
+    dates = f"list_filter(list_transform(regexp_extract_all(body, {_q('(?i)' + rules.DATE)}), lambda d: {strip('d')}), lambda d: d <> '')"
+    value = strip("regexp_replace(" + strip("v") + ", '\\.+$', '')")
+    values = f"list_transform(regexp_extract_all(body, {_q('(?i)' + rules.NUMBER)}), lambda v: {value})"
+    s["f3_f6_row_knowledge"] = (
+        f"WITH {N}, {SUBJECT}, i AS (SELECT doc_id, body, subject, {found} AS i0, {dates} AS d0, {values} AS v0 FROM subj), j AS (SELECT doc_id, subject, ({unique('i0')})[1:25] AS ind, ({unique('d0')})[1:20] AS dat, {unique('v0')} AS vals FROM i)"
+        ", k AS (SELECT doc_id, subject, ind, dat, list_sort(list_transform(list_filter(vals, lambda v: v <> '' AND NOT regexp_matches(v, '^\\d+[.)]?$') AND len(regexp_replace(v, '[^0-9]', '', 'g')) >= 3 AND len(list_filter(ind, lambda x: contains(x, v) OR contains(v, x))) = 0), lambda v: {'a': -len(regexp_replace(v, '[^0-9]', '', 'g')), 'b': v})) AS figs FROM j)"
+        " SELECT doc_id, array_to_string(ind, '|') AS indicators, array_to_string(dat, '|') AS dates, array_to_string(list_transform(figs[1:25], lambda f: f.b), '|') AS figures, subject FROM k"
+    )
+    cut = f"CASE WHEN {words('sentence')} <= 34 THEN sentence ELSE regexp_replace(array_to_string(list_filter(regexp_split_to_array(sentence, '\\s+'), lambda w: w <> '')[1:34], ' '), '[,;:]+$', '') || '…' END"
+    best = lambda n: f"{USABLE}, best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, sent_no) AS r FROM usable) WHERE r <= {n})"
+    s["f7_f8_summary"] = f"WITH {sentence_ctes()}{TERMS}{SCORES}, {SUBJECT}{best(6)} SELECT doc_id, string_agg({cut}, ' ' ORDER BY sent_no) AS summary FROM best GROUP BY doc_id"
+    s["f9_f10_key_facts"] = (
+        f"WITH {sentence_ctes()}{TERMS}{SCORES}, {SUBJECT}{best(16)}, once AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, substr({key_of('sentence')}, 1, 90) ORDER BY sent_no) AS o FROM best) WHERE o = 1)"
+        f" SELECT doc_id, {snippet('sentence', 320)} AS text, {classified('sentence')} AS category, round(score, 4) AS score, sent_no AS position, regexp_matches(sentence, {_q('(?i)' + rules.NUMBER)}) AS has_number FROM once"
+    )
+    s["f10_classify"] = f"WITH {sentence_ctes()} SELECT {classified('sentence')} AS category, count(*) AS n FROM sents GROUP BY 1"
+    label = f"CASE WHEN regexp_matches(line, '^\\s{{0,3}}#{{1,6}}\\s+') THEN {strip(chr(39).join(['regexp_replace(line, ', '^' + chr(92) + 's{0,3}#{1,6}' + chr(92) + 's+', ', ', '', ')']))} WHEN regexp_matches(line, '^\\s*(?:\\d+\\.\\s*)?[A-Z][A-Za-z /&]{{3,48}}:\\s*$') THEN regexp_extract(line, '^\\s*(?:\\d+\\.\\s*)?([A-Z][A-Za-z /&]{{3,48}}):\\s*$', 1) END"
+    s["h13_section_map"] = (
+        "WITH b AS (SELECT conv_id, turn, '## Start' || chr(10) || text || chr(10) || 'Key points:' || chr(10) || '- one' || chr(10) || chr(10) || '# End' || chr(10) || 'last' AS body FROM conversations)"
+        f", l AS (SELECT conv_id, turn, generate_subscripts(string_split(body, chr(10)), 1) AS k, unnest(string_split(body, chr(10))) AS line FROM b), m AS (SELECT *, {label} AS label FROM l), g AS (SELECT *, count(label) OVER (PARTITION BY conv_id, turn ORDER BY k) AS sec FROM m)"
+        f" SELECT conv_id, turn, coalesce(max(label), 'body') AS label, count(*) FILTER (label IS NULL AND {strip('line')} <> '') AS items, len(string_agg(line, chr(10) ORDER BY k) FILTER (label IS NULL)) AS char_count FROM g GROUP BY conv_id, turn, sec HAVING count(*) FILTER (label IS NULL) > 0"
+    )
     s["a1_scan_documents"] = "SELECT doc_id, 'text' AS source_kind, 'text/plain' AS media_type, len(text) AS n_chars FROM documents"
     s["a2_decode_bytes"] = "SELECT doc_id, len(text) AS n, 1 AS latin FROM documents"
     s["a3_flatten_delimited"] = "SELECT n_name || ' | ' || n_regionkey || ' | ' AS line FROM nation"
