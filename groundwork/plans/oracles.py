@@ -185,8 +185,8 @@ def sql() -> dict[str, str]:
     s["a4_normalise_json"] = "SELECT event_id, CASE WHEN json_valid(props) THEN json(props)::VARCHAR ELSE props END AS json FROM events"
     s["b2_strip_repeats"] = (
         "WITH c AS (SELECT doc_id, unnest(string_split(text, '')) AS ch, generate_subscripts(string_split(text, ''), 1) AS i FROM documents WHERE text IS NOT NULL AND text <> ''),"
-        " g AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, ch ORDER BY i) AS run FROM c), r AS (SELECT doc_id, ch, min(i) AS at, count(*) AS n FROM g GROUP BY doc_id, ch, run),"
-        " t AS (SELECT doc_id, string_agg(repeat(ch, (CASE WHEN n >= 5 AND ch NOT IN (chr(10), chr(13), chr(133), chr(8232), chr(8233)) THEN 3 ELSE n END)::BIGINT), '' ORDER BY at) AS body FROM r GROUP BY doc_id) SELECT doc_id, coalesce(body, '') AS body FROM documents LEFT JOIN t USING (doc_id)"
+        " g AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, ch ORDER BY i) AS run FROM c), r AS (SELECT doc_id, ch, min(i) AS pos, count(*) AS n FROM g GROUP BY doc_id, ch, run),"
+        " t AS (SELECT doc_id, string_agg(repeat(ch, (CASE WHEN n >= 5 AND ch NOT IN (chr(10), chr(13), chr(133), chr(8232), chr(8233)) THEN 3 ELSE n END)::BIGINT), '' ORDER BY pos) AS body FROM r GROUP BY doc_id) SELECT doc_id, coalesce(body, '') AS body FROM documents LEFT JOIN t USING (doc_id)"
     )
     rule = " UNION ALL ".join(f"SELECT conv_id, {k} AS rule_no, {_q(name)} AS pattern, {w}::DOUBLE AS weight, regexp_extract_all(text, {_rule(p)}) AS found, regexp_split_to_array(text, {_rule(p)}) AS gaps FROM transcripts WHERE regexp_matches(text, {_rule(p)})" for k, (name, p, w) in enumerate(rules.INJECTION))
     s["c1_injection_matches"] = (
@@ -392,7 +392,7 @@ def sql() -> dict[str, str]:
         " SELECT run_id, format, coalesce(string_agg(number, '|' ORDER BY number) FILTER (held = formats), '') AS shared, coalesce(string_agg(number, '|' ORDER BY number) FILTER (held < formats), '') AS divergent, coalesce(string_agg(number, '|' ORDER BY number) FILTER (held = 1 AND formats > 1), '') AS only_here FROM x JOIN f USING (run_id) JOIN h USING (run_id, number) GROUP BY run_id, format"
     )
     s["j6_stats"] = (
-        f"WITH {RUNS}, {OUTPUTS} SELECT 'documents' AS name, count(*)::DOUBLE AS value FROM customer UNION ALL SELECT 'runs', count(*) FROM runs UNION ALL SELECT 'outputs', count(*) FROM outputs UNION ALL SELECT 'audit_events', count(*) FROM events"
+        f"WITH {RUNS}, {OUTPUTS} SELECT 'documents' AS name, count(*)::DOUBLE AS value FROM customer UNION ALL SELECT 'runs', count(*) FROM runs UNION ALL SELECT 'outputs', count(*) FROM outputs UNION ALL SELECT 'audit_events', count(*) FROM events UNION ALL SELECT 'documents', count(*) FROM documents UNION ALL SELECT 'knowledge', count(*) FROM documents UNION ALL SELECT 'chunks', count(*) FROM (SELECT {NORM} AS body FROM documents) WHERE body <> ''"
         " UNION ALL SELECT 'status:' || status, count(*) FROM runs GROUP BY status UNION ALL SELECT 'completed', count(*) FROM runs WHERE status <> 'failed' UNION ALL SELECT 'mean_grounding', round(avg(grounding_score), 4) FROM outputs"
     )
     s["j7_list_audit"] = f"WITH {AUDIT} SELECT event_id, action, actor, created_at FROM audit ORDER BY created_at DESC, event_id DESC LIMIT 500"
@@ -464,7 +464,7 @@ def sql() -> dict[str, str]:
         " SELECT output_id, round(share, 4) AS grounding_score, verdict, t AS claims_total, u AS claims_supported, array_to_string(lost, '|') AS invented_numbers, u || '/' || t || ' claims supported by retrieved evidence (threshold 0.55).' AS coverage_note, verdict IN ('grounded', 'partially_grounded') AS source_grounded FROM w"
     )
     s["g6_g7_claim_support"] = f"{support} SELECT output_id, claim_no, round(support, 4) AS support, verbatim FROM supported"
-    s["a10_write_tables"] = f"WITH {OUTPUTS} SELECT 'runs' AS name, count(*) AS n FROM orders UNION ALL SELECT 'outputs', count(*) FROM outputs UNION ALL SELECT 'audit_events', count(*) FROM events"
+    s["a10_write_tables"] = f"WITH {OUTPUTS} SELECT 'runs' AS name, count(*) AS n FROM orders UNION ALL SELECT 'outputs', count(*) FROM outputs UNION ALL SELECT 'audit_events', count(*) FROM events UNION ALL SELECT 'documents', count(*) FROM documents UNION ALL SELECT 'knowledge', count(*) FROM documents UNION ALL SELECT 'chunks', count(*) FROM (SELECT {NORM} AS body FROM documents) WHERE body <> ''"
     keyed = EMBED.replace("{keys}", "item_id")
     s["e3_hash_embed"] = f"WITH {_features('benchmark', 'item_id', 'text')}{keyed} SELECT item_id, bucket, w FROM vec"
     level_of = {"critical": 4, "high": 3, "medium": 2, "low": 1}

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import rules
 from ..functions import text as T
 from ..operators import chunking, compose, corpus, grounding, knowledge, provenance, relational, retrieval, security, vectors
+from ..operators import runs as pipeline
 from ..sources import files
 from ..sources.tables import shared_root, spread, written
 from ..streaming import jobs
@@ -687,6 +689,28 @@ def i10_regenerate(spark, sf_dir):
     return provenance.regenerate(o, o.where("output_id % 4 = 1").select("output_id"), fresh).select("output_id", "title", "body", "version", "output_hash")
 
 
+@query
+def c13_checked_outputs(spark, sf_dir):
+    """Runs from request to verdict: retrieval, composition, leak redaction and claim checks."""
+    knowing = written(knowledge.build_knowledge(docs(spark, sf_dir)))
+    rows = pipeline.checked_outputs(requests(spark, sf_dir), knowing, doc_chunks(spark, sf_dir))
+    return rows.select("output_id", "run_id", "format", "output_hash", joined("leaked").alias("leaked"), "echo_score", "grounding_score", "verdict", "claims_total", "claims_supported")
+
+
+@query
+def i10_regenerate_runs(spark, sf_dir):
+    """Every fourth output of all requests retrieved, composed and checked again; its old body was altered."""
+    asked, chunked = requests(spark, sf_dir), doc_chunks(spark, sf_dir)
+    knowing = written(knowledge.build_knowledge(docs(spark, sf_dir)))
+    first = compose.compose(asked, knowing).select(
+        pipeline.output_id(F.col("run_id"), F.col("format")).alias("output_id"), "run_id", "format", "title", F.concat(F.lit("old "), "body").alias("body"), provenance.sha256(F.col("body")).alias("output_hash"),
+        F.length("body").alias("char_count"), F.lit(1).alias("version"), F.lit("approved").alias("review_state"), F.lit(None).cast("string").alias("edited_body"), F.lit("ann").alias("reviewed_by"), F.lit(0.5).alias("grounding_score"),
+    )
+    first = written(first)
+    rows = pipeline.regenerate_runs(first, first.where("run_id % 4 = 1").select("output_id"), asked, knowing, chunked)
+    return rows.select("output_id", "version", "review_state", "output_hash", F.round("grounding_score", 4).alias("grounding_score"))
+
+
 @query
 def i11_verify_outputs(spark, sf_dir):
     o = run_outputs(spark, sf_dir).withColumn("body", F.when(F.col("output_id") % 9 == 0, F.concat("body", F.lit("!"))).otherwise(F.col("body")))
@@ -803,11 +827,17 @@ def _own_folder(spark) -> str:
 
 @query
 def a10_write_tables(spark, sf_dir):
-    """Derived tables written (outputs by review state) and read back: rows of each."""
+    """All six tables of a run written (outputs by review state) and read back: rows of each, and of the chunks
+    the documents that have some."""
     path = _own_folder(spark)
-    files.write_tables({"runs": runs(spark, sf_dir), "outputs": run_outputs(spark, sf_dir), "audit_events": audit_events(spark, sf_dir)}, path, {"outputs": ["review_state"]})
-    count = lambda name: spark.read.parquet(f"{path}/{name}.parquet").agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n")
-    return count("runs").unionByName(count("outputs")).unionByName(count("audit_events"))
+    d = docs(spark, sf_dir)
+    tables = {
+        "runs": runs(spark, sf_dir), "outputs": run_outputs(spark, sf_dir), "audit_events": audit_events(spark, sf_dir), "documents": d, "chunks": chunking.chunks(d), "knowledge": knowledge.build_knowledge(d),
+    }
+    files.write_tables(tables, path, {"outputs": ["review_state"]})
+    rows = {"chunks": F.count_distinct("doc_id")}
+    count = lambda name: spark.read.parquet(f"{path}/{name}.parquet").agg(rows.get(name, F.count(F.lit(1))).alias("n")).select(F.lit(name).alias("name"), "n")
+    return reduce(DataFrame.unionByName, map(count, tables))
 
 
 @query

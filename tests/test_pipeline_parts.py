@@ -5,6 +5,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from groundwork.operators import chunking, compose, corpus, grounding, knowledge, provenance, relational, retrieval, vectors
+from groundwork.operators import runs as pipeline
 from groundwork.plans import registry
 from groundwork.sources import files
 
@@ -177,3 +178,28 @@ def test_long_chain_is_folded_without_a_list(spark):
         assert r.prev_hash == head
         chain_id, head = r.chain_id, hashlib.sha256(f"{head}|{r.p}".encode()).hexdigest()
         assert r.entry_hash == head
+
+
+def test_runs_from_request_to_verdict(spark):
+    """Composed outputs come from the source, leaks are redacted, and regeneration touches the chosen only."""
+    text = "Storm report\n\nThe storm closed 12 ports on 3 May 2021. Officials confirmed that 4500 people left the coast. Mail ann@example.org for details of the closure.\n\nWe recommend that crews inspect every pier before ships return."
+    docs = spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")
+    knowing, chunked = knowledge.build_knowledge(docs), chunking.chunks(docs)
+    asked = docs.select(F.col("doc_id").alias("run_id"), "doc_id", F.array(F.lit("executive_summary"), F.lit("advisory")).alias("requested_formats"), F.lit("balanced").alias("detail"), F.lit("").alias("source_title"), F.lit("Summarise").alias("user_instruction"))
+    got = {(r["run_id"], r["format"]): r for r in pipeline.checked_outputs(asked, knowing, chunked).collect()}
+    assert set(got) == {(i, f) for i in (1, 2) for f in ("executive_summary", "advisory")}
+    assert "storm closed 12 ports" in got[1, "executive_summary"]["body"] and got[1, "executive_summary"]["claims_supported"] > 0
+    assert all("ann@example.org" not in r["body"] for r in got.values())
+    old = spark.createDataFrame([(f"{i}-{f}", i, f, "t", "stale", "h", 5, 1, "approved", None, "bob", 0.1) for i, f in got], "output_id string, run_id long, format string, title string, body string, output_hash string, char_count int, version int, review_state string, edited_body string, reviewed_by string, grounding_score double")
+    rows = {r["output_id"]: r for r in pipeline.regenerate_runs(old, old.where("output_id = '1-advisory'").select("output_id"), asked, knowing, chunked).collect()}
+    assert len(rows) == 4 and rows["1-advisory"]["body"] == got[1, "advisory"]["body"] and rows["1-advisory"]["version"] == 2
+    assert rows["1-advisory"]["review_state"] == "pending_review" and rows["1-advisory"]["grounding_score"] == got[1, "advisory"]["grounding_score"]
+    assert all((r["body"], r["version"], r["grounding_score"]) == ("stale", 1, 0.1) for k, r in rows.items() if k != "1-advisory")
+
+
+def test_exports_as_files(spark, tmp_path):
+    rows = [(f"{i}-brief/..md" if i == 3 else f"{i}-brief.md", f"---\nrun: {i}\n---\n\né {i}") for i in range(5)]
+    for _ in range(2):  # written again: the same files
+        files.write_exports(spark.createDataFrame(rows, "filename string, content string").repartition(3), str(tmp_path / "out"))
+    got = {p.name: p.read_text(encoding="utf-8") for p in (tmp_path / "out").iterdir()}
+    assert got == {n.replace("/", "_"): c for n, c in rows}
