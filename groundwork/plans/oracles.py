@@ -180,8 +180,74 @@ USABLE = (
 )
 
 
+def _lines_of_sections() -> str:
+    """``f`` (doc_id, sec, heading, body): sections in order (D1), after ``LINES``."""
+    return (
+        f"k AS (SELECT doc_id, line_no, line, {heading('line')} AS h FROM l WHERE line <> '' AND NOT regexp_matches({strip('line')}, {_q(rules.BOILERPLATE)})), g AS (SELECT *, count(h) OVER (PARTITION BY doc_id ORDER BY line_no) AS sec FROM k),"
+        f" p AS (SELECT doc_id, sec, max(h) AS heading, {strip('coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (h IS NULL), chr(32))')} AS body FROM g GROUP BY doc_id, sec), f AS (SELECT doc_id, sec, heading, body FROM p WHERE body <> '' UNION ALL SELECT doc_id, 0, NULL, body FROM n WHERE body <> '' AND doc_id NOT IN (SELECT doc_id FROM p WHERE body <> ''))"
+    )
+
+
+def chunk_ctes() -> str:
+    """``chunks`` (doc_id, ordinal, heading, text, char_start): packing, hard splits, folding and offsets as list reductions."""
+    size = "list_sum(list_transform({x}, lambda t: len(t) + 1))"
+    keep = "len(list_filter(range(1, len(acc.now) + 1), lambda k: " + size.format(x="acc.now[-k:]") + " - 1 <= 180))"
+    sentence = f"list_filter(list_transform(CASE WHEN {words('blk')} <= 2 THEN [blk] ELSE string_split(regexp_replace(blk, '([.!?।])\\s+([\"''“‘(\\[]?[A-Z0-9])', '\\1' || chr(1) || '\\2', 'g'), chr(1)) END, lambda t: {strip('t')}), lambda t: t <> '')"
+    full = "len(acc.now) > 0 AND (x.s IS NULL OR " + size.format(x="acc.now") + " + len(x.s) > 1100)"
+    none = "[]::VARCHAR[]"
+    return (
+        f"{LINES}, {_lines_of_sections()}, b AS (SELECT doc_id, sec, heading, body, replace(body, chr(10), ' ') AS flat FROM f)"
+        f", bb AS (SELECT *, {strip(f'CASE WHEN regexp_matches(flat, {_q(rules.BULLET)}) THEN regexp_replace(flat, {_q(rules.BULLET_STRIP)}, {chr(39) * 2}) ELSE flat END')} AS blk FROM b)"
+        f", se AS (SELECT *, CASE WHEN len(body) > 1100 THEN {sentence} ELSE [] END AS ss FROM bb)"
+        f", pk AS (SELECT doc_id, sec, heading, flat, body, list_reduce(list_transform(list_append(ss, NULL), lambda t: {{'s': t, 'now': {none}, 'done': {none}}}), lambda acc, x: CASE WHEN {full} THEN {{'s': x.s, 'now': CASE WHEN x.s IS NULL THEN {none} ELSE list_append(acc.now[len(acc.now) - {keep} + 1:], x.s) END, 'done': list_append(acc.done, array_to_string(acc.now, ' '))}} ELSE {{'s': x.s, 'now': list_append(acc.now, x.s), 'done': acc.done}} END, {{'s': NULL::VARCHAR, 'now': {none}, 'done': {none}}}).done AS packed FROM se)"
+        ", hs AS (SELECT doc_id, sec, heading, CASE WHEN len(body) <= 1100 THEN [flat] ELSE flatten(list_transform(packed, lambda t: CASE WHEN len(t) > 1100 THEN list_transform(range(0, len(t), 920), lambda i: substr(t, i + 1, 1100)) ELSE [t] END)) END AS pieces FROM pk)"
+        f", el AS (SELECT doc_id, sec, unnest(list_transform(list_filter(pieces, lambda t: {strip('t')} <> ''), lambda t: {{'heading': heading, 'text': {strip('t')}}})) AS c, generate_subscripts(list_filter(pieces, lambda t: {strip('t')} <> ''), 1) AS k FROM hs)"
+        ", dl AS (SELECT doc_id, list({'done': [c]} ORDER BY sec, k) AS cs FROM el GROUP BY doc_id)"
+        ", fo AS (SELECT doc_id, list_reduce(cs, lambda acc, x: CASE WHEN len(x.done[1].text) < 40 AND len(acc.done[-1].text) + len(x.done[1].text) + 1 <= 1430 THEN {'done': list_append(acc.done[1:len(acc.done) - 1], {'heading': acc.done[-1].heading, 'text': acc.done[-1].text || ' ' || x.done[1].text})} ELSE {'done': list_concat(acc.done, x.done)} END).done AS cs FROM dl)"
+        ", of AS (SELECT doc_id, cs, list_reduce(list_transform(cs, lambda c: {'t': substr(c.text, 1, 80), 'at': 0::BIGINT, 'starts': []::BIGINT[]}), lambda acc, x: {'t': x.t, 'at': acc.at + greatest(instr(substr(src, acc.at + 1), x.t) - 1, 0), 'starts': list_append(acc.starts, acc.at + greatest(instr(substr(src, acc.at + 1), x.t) - 1, 0))}, {'t': NULL::VARCHAR, 'at': 0::BIGINT, 'starts': []::BIGINT[]}).starts AS starts FROM (SELECT doc_id, cs, replace(body, chr(10), ' ') AS src FROM fo JOIN n USING (doc_id)))"
+        ", ix AS (SELECT doc_id, cs, starts, unnest(range(1, len(cs) + 1)) AS i FROM of), chunks AS (SELECT doc_id, (i - 1)::INT AS ordinal, cs[i].heading AS heading, cs[i].text AS text, starts[i]::INT AS char_start FROM ix)"
+    )
+
+
+RETRIEVAL = (
+    f", {SUBJECT}, q AS (SELECT doc_id AS run_id, doc_id, subject AS query FROM subj), cu AS (SELECT DISTINCT doc_id, ordinal, unnest({content('text')}) AS term FROM chunks), cn AS (SELECT doc_id, count(*) AS n FROM chunks GROUP BY 1)"
+    ", wt AS (SELECT doc_id, term, 1 + any_value(n) / (1 + count(*)) AS idf FROM cu JOIN cn USING (doc_id) GROUP BY doc_id, term), mo AS (SELECT doc_id, max(idf) AS most FROM wt GROUP BY 1)"
+    f", qt AS (SELECT DISTINCT run_id, doc_id, unnest({content('query')}) AS term FROM q), ra AS (SELECT run_id, qt.doc_id, term, coalesce(idf, most, 1.0) AS rate FROM qt LEFT JOIN wt USING (doc_id, term) LEFT JOIN mo USING (doc_id))"
+    ", po AS (SELECT run_id, sum(rate) AS possible FROM ra GROUP BY 1), ks AS (SELECT run_id, doc_id, ordinal, least(1.0, sum(rate) / any_value(possible)) AS keyword_score FROM ra JOIN cu USING (doc_id, term) JOIN po USING (run_id) GROUP BY run_id, doc_id, ordinal)"
+)
+
+
+def _embedded(source: str, keys: str, x: str, mark: str) -> str:
+    """Vector tables of one source, their names marked."""
+    out = _features(source, keys, x) + EMBED.replace("{keys}", keys)
+    for name in ("w AS", "f0 AS", "feats AS", "parts AS", "sums AS", "vec AS"):
+        out = out.replace(name, f"{mark}{name}", 1) if out.startswith(name) else out.replace(f", {name}", f", {mark}{name}", 1)
+    for name in ("w", "f0", "feats", "parts", "sums"):
+        out = out.replace(f"FROM {name} ", f"FROM {mark}{name} ").replace(f"FROM {name})", f"FROM {mark}{name})")
+    return out
+
+
+POOL = (
+    f", {_embedded('q', 'run_id, doc_id', 'query', 'q_')}, {_embedded('chunks', 'doc_id, ordinal', 'text', 'k_')}, vs AS (SELECT run_id, q_vec.doc_id, ordinal, sum(q_vec.w * k_vec.w) AS vector_score FROM q_vec JOIN k_vec ON q_vec.doc_id = k_vec.doc_id AND q_vec.bucket = k_vec.bucket GROUP BY ALL)"
+    ", sc AS (SELECT q.run_id, c.doc_id, c.ordinal, c.heading, c.text, query, round(0.68::DOUBLE * coalesce(vector_score, 0) + 0.32::DOUBLE * coalesce(keyword_score, 0), 6) AS s0 FROM q JOIN chunks c USING (doc_id) LEFT JOIN vs ON vs.run_id = q.run_id AND vs.ordinal = c.ordinal LEFT JOIN ks ON ks.run_id = q.run_id AND ks.ordinal = c.ordinal)"
+    f", hy AS (SELECT *, CASE WHEN heading IS NOT NULL AND len(list_intersect({content('heading')}, {content('query')})) > 0 THEN round(least(1.0::DOUBLE, s0 + 0.08::DOUBLE), 6) ELSE s0 END AS score FROM sc)"
+    ", rk AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY score DESC, ordinal) AS place, max(score) OVER (PARTITION BY run_id) AS best FROM hy), pool AS (SELECT * FROM rk WHERE CASE WHEN best >= 0.12 THEN score >= 0.12 AND place <= 18 ELSE place <= 6 END)"
+)
+CONTEXT = (
+    ", bk AS (SELECT run_id, place, '[chunk ' || ordinal || coalesce(' | section: ' || heading, '') || ' | relevance ' || printf('%.2f', score) || ']' || chr(10) || trim(text) AS block FROM pool), us AS (SELECT *, coalesce(sum(len(block) + 2) OVER (PARTITION BY run_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM bk)"
+    ", fi AS (SELECT *, used + len(block) <= 9000 AS fits FROM us), op AS (SELECT *, coalesce(bool_and(fits) OVER (PARTITION BY run_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS open FROM fi)"
+    ", cx AS (SELECT run_id, place, CASE WHEN fits THEN block WHEN 9000 - used > 400 THEN substr(block, 1, (9000 - used)::BIGINT) END AS block FROM op WHERE open), contexts AS (SELECT run_id, string_agg(block, chr(10) || chr(10) ORDER BY place) AS context FROM cx WHERE block IS NOT NULL GROUP BY run_id)"
+)
+
+
 def sql() -> dict[str, str]:
     s: dict[str, str] = {}
+    chunked = f"WITH {chunk_ctes()}"
+    s["d2_d5_chunks"] = f"{chunked} SELECT doc_id, ordinal, heading, text, char_start, char_start + len(text) AS char_end, greatest(1, floor(len(text) / 3.6))::INT AS token_estimate FROM chunks"
+    s["d6_chunk_stats"] = f"{chunked} SELECT doc_id, count(*) AS chunk_count, sum(len(text)) AS chars, sum(greatest(1, floor(len(text) / 3.6))::INT) AS tokens FROM chunks GROUP BY doc_id"
+    s["e6_keyword_score"] = f"{chunked}{RETRIEVAL} SELECT run_id, doc_id, ordinal, round(keyword_score, 6) AS keyword_score FROM ks"
+    s["e7_e9_candidate_pool"] = f"{chunked}{RETRIEVAL}{POOL} SELECT run_id, ordinal, place, score FROM pool"
+    s["e11_context"] = f"{chunked}{RETRIEVAL}{POOL}{CONTEXT} SELECT run_id, context FROM contexts"
     s["a4_normalise_json"] = "SELECT event_id, CASE WHEN json_valid(props) THEN json(props)::VARCHAR ELSE props END AS json FROM events"
     s["b2_strip_repeats"] = (
         "WITH c AS (SELECT doc_id, unnest(string_split(text, '')) AS ch, generate_subscripts(string_split(text, ''), 1) AS i FROM documents WHERE text IS NOT NULL AND text <> ''),"
@@ -427,18 +493,9 @@ def sql() -> dict[str, str]:
         f"WITH {TRANSCRIPTS}, {sentence_ctes('transcripts', 'conv_id')}, u AS ({families}), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, signal ORDER BY sent_no) AS r FROM u) SELECT doc_id, signal, string_agg({snip(260)}, '|' ORDER BY sent_no) AS sentences FROM r WHERE r <= 4 GROUP BY doc_id, signal"
     )
 
-    def embedded(source: str, keys: str, x: str, mark: str) -> str:
-        """Vector tables of one source, their names marked."""
-        out = _features(source, keys, x) + EMBED.replace("{keys}", keys)
-        for name in ("w AS", "f0 AS", "feats AS", "parts AS", "sums AS", "vec AS"):
-            out = out.replace(name, f"{mark}{name}", 1) if out.startswith(name) else out.replace(f", {name}", f", {mark}{name}", 1)
-        for name in ("w", "f0", "feats", "parts", "sums"):
-            out = out.replace(f"FROM {name} ", f"FROM {mark}{name} ").replace(f"FROM {name})", f"FROM {mark}{name})")
-        return out
-
     ids = "output_id, run_id, claim_no"
     support = (
-        f"{claims}, {embedded('claims', ids, 'claim', 'c_')}, {embedded('e', 'run_id, ordinal', 'text', 'e_')}, cs AS (SELECT {ids}, ordinal, sum(c_vec.w * e_vec.w) AS cosine FROM c_vec JOIN e_vec USING (run_id, bucket) GROUP BY ALL)"
+        f"{claims}, {_embedded('claims', ids, 'claim', 'c_')}, {_embedded('e', 'run_id, ordinal', 'text', 'e_')}, cs AS (SELECT {ids}, ordinal, sum(c_vec.w * e_vec.w) AS cosine FROM c_vec JOIN e_vec USING (run_id, bucket) GROUP BY ALL)"
         f", ct AS (SELECT {ids}, len(list_distinct({content('claim')})) AS n FROM claims), ctt AS (SELECT DISTINCT {ids}, unnest({content('claim')}) AS term FROM claims), et AS (SELECT run_id, ordinal, len({content('text')}) AS e_terms FROM e), ett AS (SELECT DISTINCT run_id, ordinal, unnest({content('text')}) AS term FROM e)"
         f", sh AS (SELECT {ids}, ordinal, count(*) AS common FROM ctt JOIN ett USING (run_id, term) GROUP BY ALL)"
         f", p AS (SELECT {ids}, ordinal, n, e_terms, coalesce(cosine, 0) AS cosine, coalesce(common, 0) AS common FROM ct JOIN et USING (run_id) LEFT JOIN cs USING ({ids}, ordinal) LEFT JOIN sh USING ({ids}, ordinal) WHERE cosine IS NOT NULL OR common IS NOT NULL)"

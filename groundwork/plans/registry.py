@@ -396,7 +396,7 @@ def e6_keyword_score(spark, sf_dir):
 @query
 def e7_e9_candidate_pool(spark, sf_dir):
     c = doc_chunks(spark, sf_dir)
-    return retrieval.candidate_pool(retrieval.hybrid_scores(_queries_of_runs(spark, sf_dir), c)).select("run_id", "ordinal", "place", F.round("score", 5).alias("score"))
+    return retrieval.candidate_pool(retrieval.hybrid_scores(_queries_of_runs(spark, sf_dir), c)).select("run_id", "ordinal", "place", "score")
 
 
 @query
