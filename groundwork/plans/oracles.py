@@ -240,8 +240,54 @@ CONTEXT = (
 )
 
 
+def _pii_ctes(source: str = "documents") -> str:
+    """``raw``: matches of all rules in ``source`` (doc_id, text) with place and mask, ``cand``: those that are candidates
+    (C3), ``kept``: those that C4 accepts. RE2 has no look-around, so each start is tried by itself
+    against the bare pattern with the character after it; of one rule's matches the leftmost ones that do not overlap stay."""
+    parts = []
+    for k, (name, label, pattern, severity, token) in enumerate(rules.PII):
+        flags = "(?i)" if pattern.startswith("(?i)") else ""
+        core, left, right = pattern.removeprefix("(?i)"), "true", ""
+        before = "substr(text, i - 1, 1)"
+        for mark, char in (("(?<!\\d)", r"\d"), ("(?<![\\d.])", r"[\d.]")):
+            if core.startswith(mark):
+                core, left, right = core.removeprefix(mark), f"(i = 1 OR NOT regexp_matches({before}, {_q('^' + char)}))", "(?:" + (r"[^\d]" if char == r"\d" else r"[^\d.]") + "|$)"
+        for mark in ("(?!\\d)", "(?![\\d.])"):
+            core = core.removesuffix(mark)
+        if core.startswith("\\b"):
+            word = r"^[\p{L}\p{N}_]"
+            core, left = core.removeprefix("\\b"), f"(CASE WHEN i = 1 THEN false ELSE regexp_matches({before}, {_q(word)}) END) <> regexp_matches(substr(text, i, 1), {_q(word)})"
+        if core.endswith("\\b"):
+            core, right = core.removesuffix("\\b"), _E
+        whole = _q(f"{flags}^({core}){right}")
+        found = f"SELECT doc_id, i - 1 AS start, regexp_extract(substr(text, i, 2000), {whole}, 1) AS m FROM (SELECT doc_id, text, unnest(range(1, len(text) + 1)) AS i FROM {source} WHERE regexp_matches(text, {_q(flags + core)})) WHERE {left} AND regexp_matches(substr(text, i, 2000), {whole})"
+        first = "list_reduce(list({'end': 0::BIGINT, 'all': [{'start': start, 'm': m}]} ORDER BY start), lambda acc, x: CASE WHEN x.all[1].start >= acc.all[-1].start + len(acc.all[-1].m) THEN {'end': 0::BIGINT, 'all': list_concat(acc.all, x.all)} ELSE acc END).all"
+        digits = "regexp_replace(u.m, '[^0-9]', '', 'g')"
+        check = f" AND {_luhn(digits)}" if name == "credit_card" else ""
+        v = strip("u.m")
+        mask = f"substr({v}, 1, 2) || '***' || right({v}, 2)" if name in rules.SHORT_MASKED else f"CASE WHEN len({v}) <= 4 THEN repeat('*', len({v})) ELSE substr({v}, 1, 2) || repeat('*', len({v}) - 4) || right({v}, 2) END"
+        parts.append(
+            f"SELECT doc_id, {k} AS rule, {_q(name)} AS category, {_q(label)} AS label, {_q(severity)} AS severity, {rules.SEVERITIES.index(severity)} AS sev, u.start::INT AS position, (u.start + len(u.m))::INT AS ending, {mask} AS evidence, {_q(token)} AS token"
+            f", len({v}) >= 4{check} AS ok FROM (SELECT doc_id, unnest({first}) AS u FROM ({found}) GROUP BY doc_id)"
+        )
+    return (
+        "raw AS (" + " UNION ALL ".join(parts) + "), cand AS (SELECT * FROM raw WHERE ok), ordered AS (SELECT doc_id, list({'all': [cand]} ORDER BY sev, rule, position) AS cs FROM cand GROUP BY doc_id)"
+        ", kept AS (SELECT doc_id, unnest(list_reduce(cs, lambda acc, x: CASE WHEN len(list_filter(acc.all, lambda a: x.all[1].position < a.ending AND a.position < x.all[1].ending)) > 0 THEN acc ELSE {'all': list_concat(acc.all, x.all)} END).all) AS c FROM ordered)"
+        ", found AS (SELECT doc_id, count(*) AS n, min(c.sev) AS sev, list_sort(list(DISTINCT c.category)) AS types, list_sort(list(DISTINCT c.category) FILTER (c.category <> 'ip_address')) AS leaks FROM kept GROUP BY doc_id)"
+        ", cut AS (SELECT doc_id, count(*) AS applied, sum(ending - position - len(token)) AS shorter FROM raw JOIN (SELECT DISTINCT doc_id, c.category FROM kept) USING (doc_id, category) GROUP BY doc_id)"
+    )
+
+
 def sql() -> dict[str, str]:
     s: dict[str, str] = {}
+    columns = "category, label, severity, position, ending, evidence, token"
+    s["c3_pii_candidates"] = f"WITH {_pii_ctes()} SELECT doc_id, {columns} FROM cand"
+    resolved = f"WITH {_pii_ctes()}"
+    normal = f"WITH {N}, src AS (SELECT doc_id, body AS text FROM n), {_pii_ctes('src')}"
+    s["l1_pii_types"] = f"{normal} SELECT unnest(types) AS category, count(*) AS documents FROM found GROUP BY 1"
+    turns = f"WITH src AS (SELECT conv_id * 1000 + turn AS doc_id, conv_id, turn, coalesce(text, '') AS text FROM conversations), {_pii_ctes('src')}, t AS (SELECT *, {_score('text')} AS score FROM src)"
+    s["c13_output_scan"] = f"{turns} SELECT conv_id, turn, coalesce(array_to_string(leaks, '|'), '') AS leaked, score AS echo_score, n IS NULL AND score < 0.3 AS passed, len(text) - CASE WHEN len(leaks) > 0 THEN coalesce(shorter, 0) ELSE 0 END AS chars FROM t LEFT JOIN found USING (doc_id) LEFT JOIN cut USING (doc_id)"
+    s["c4_resolve_pii"] = f"{resolved} SELECT doc_id, {', '.join('c.' + x.strip() + ' AS ' + x.strip() for x in columns.split(','))} FROM kept"
     chunked = f"WITH {chunk_ctes()}"
     s["d2_d5_chunks"] = f"{chunked} SELECT doc_id, ordinal, heading, text, char_start, char_start + len(text) AS char_end, greatest(1, floor(len(text) / 3.6))::INT AS token_estimate FROM chunks"
     s["d6_chunk_stats"] = f"{chunked} SELECT doc_id, count(*) AS chunk_count, sum(len(text)) AS chars, sum(greatest(1, floor(len(text) / 3.6))::INT) AS tokens FROM chunks GROUP BY doc_id"
