@@ -7,6 +7,7 @@ content tokens. RE2 has no look-around, so rules with it are checked in boolean
 from __future__ import annotations
 
 from ..functions import rules
+from ..sources import files
 
 
 def _q(text: str) -> str:
@@ -309,6 +310,17 @@ def sql() -> dict[str, str]:
         f" p AS (SELECT doc_id, sec, max(h) AS heading, {strip('coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (h IS NULL), chr(32))')} AS body FROM g GROUP BY doc_id, sec), f AS (SELECT doc_id, sec, heading, body FROM p WHERE body <> '' UNION ALL SELECT doc_id, 0, NULL, body FROM n WHERE body <> '' AND doc_id NOT IN (SELECT doc_id FROM p WHERE body <> ''))"
         " SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY sec) - 1 AS sec_no, heading, body FROM f"
     )
+    cut = "coalesce(html, '')"
+    for tag in files.DROPPED_TAGS:
+        cut = f"regexp_replace({cut}, '(?is)<{tag}\\b[^>]*>.*?</{tag}\\s*>', '', 'g')"
+    inside = lambda tag: f"CASE WHEN regexp_matches(cut, '(?i)<{tag}[\\s>]') THEN regexp_extract(cut, '(?is)<{tag}\\b[^>]*>(.*?)(?:</{tag}\\s*>|$)', 1) END"
+    plain = "regexp_replace(part, '(?s)<[^>]*>', chr(10), 'g')"
+    for name, value in files.ENTITIES.items():
+        plain = f"replace({plain}, {_q(name)}, {_q(value)})"
+    s["a5_html_to_text"] = (
+        f"WITH c AS (SELECT page_id, regexp_replace({cut}, '(?s)<!--.*?-->', '', 'g') AS cut FROM pages), p AS (SELECT page_id, coalesce({inside('main')}, {inside('article')}, {inside('body')}, cut) AS part FROM c)"
+        f" SELECT page_id, array_to_string(list_filter(list_transform(string_split({plain}, chr(10)), lambda x: {strip('x')}), lambda x: len(x) > 1), chr(10)) AS text FROM p"
+    )
     s["e4_e5_embed_table"] = f"WITH {_features('documents', 'doc_id', 'text')}{EMBED.replace('{keys}', 'doc_id')} SELECT doc_id, count(*) AS buckets, round(sum(w * w), 3) AS norm FROM vec GROUP BY doc_id"
     found = " || ".join(f"regexp_extract_all(body, {_q(p)})" for p in rules.INDICATORS)
     dates = f"list_filter(list_transform(regexp_extract_all(body, {_q('(?i)' + rules.DATE)}), lambda d: {strip('d')}), lambda d: d <> '')"
@@ -319,6 +331,17 @@ def sql() -> dict[str, str]:
         ", k AS (SELECT doc_id, subject, ind, dat, list_sort(list_transform(list_filter(vals, lambda v: v <> '' AND NOT regexp_matches(v, '^\\d+[.)]?$') AND len(regexp_replace(v, '[^0-9]', '', 'g')) >= 3 AND len(list_filter(ind, lambda x: contains(x, v) OR contains(v, x))) = 0), lambda v: {'a': -len(regexp_replace(v, '[^0-9]', '', 'g')), 'b': v})) AS figs FROM j)"
         " SELECT doc_id, array_to_string(ind, '|') AS indicators, array_to_string(dat, '|') AS dates, array_to_string(list_transform(figs[1:25], lambda f: f.b), '|') AS figures, subject FROM k"
     )
+    # RE2's word borders know ASCII only: other letters become an underscore, which is a word character of no name
+    ascii_ = "array_to_string(list_transform(string_split(sentence, ''), lambda c: CASE WHEN unicode(c) > 127 AND regexp_matches(c, '[\\p{L}\\p{N}]') THEN '_' ELSE c END), '')"
+    taken = "[" + ",".join(map(_q, [*rules.STOP_WORDS, *rules.NON_ENTITIES, *rules.MONTHS])) + "]"
+    mentions = (
+        f"WITH {sentence_ctes()}, {SUBJECT}, ei AS (SELECT doc_id, subject, {found} AS i0 FROM subj), ej AS (SELECT doc_id, {key_of('subject')} AS title, ({unique('i0')})[1:25] AS ind FROM ei)"
+        f", ru AS (SELECT doc_id, unnest(regexp_extract_all({ascii_}, {_q(rules.PROPER_NOUN)})) AS run FROM sents), wo AS (SELECT doc_id, list_filter(regexp_split_to_array(regexp_replace(run, '^[ .,\\-]+|[ .,\\-]+$', '', 'g'), '\\s+'), lambda w: w <> '') AS words FROM ru)"
+        f", gd AS (SELECT doc_id, words, list_filter(range(1, len(words) + 1), lambda k: NOT list_contains({STOP}, lower(words[k]))) AS good FROM wo), nm AS (SELECT doc_id, array_to_string(words[good[1]:good[-1]], ' ') AS name FROM gd WHERE len(good) > 0)"
+        f", ok AS (SELECT nm.doc_id, name FROM nm JOIN ej USING (doc_id) LEFT JOIN heads USING (doc_id) WHERE len(string_split(name, ' ')) <= 4 AND len(name) >= 3 AND NOT list_contains({taken}, lower(name)) AND NOT list_contains(coalesce(headings, []), lower(name)) AND lower(name) <> title AND len(list_filter(ind, lambda x: contains(lower(x), lower(name)) OR contains(lower(name), lower(x)))) = 0)"
+        ", mentions AS (SELECT doc_id, name, count(*) AS mentions FROM ok GROUP BY ALL)"
+    )
+    s["f12_entity_mentions"] = f"{mentions} SELECT doc_id, name, mentions FROM mentions"
     cut = f"CASE WHEN {words('sentence')} <= 34 THEN sentence ELSE regexp_replace(array_to_string(list_filter(regexp_split_to_array(sentence, '\\s+'), lambda w: w <> '')[1:34], ' '), '[,;:]+$', '') || '…' END"
     best = lambda n: f"{USABLE}, best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, sent_no) AS r FROM usable) WHERE r <= {n})"
     s["f7_f8_summary"] = f"WITH {sentence_ctes()}{TERMS}{SCORES}, {SUBJECT}{best(6)} SELECT doc_id, string_agg({cut}, ' ' ORDER BY sent_no) AS summary FROM best GROUP BY doc_id"
