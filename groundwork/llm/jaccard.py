@@ -9,7 +9,7 @@ fewer than k with any others leaves all lists.
 1. Each list links its members to its smallest class of about their size. These few
    candidates are bounded by their signatures and verified on the whole sets. Lists whose
    members then stand in one component need no further work.
-2. The other lists go (twice for the likeliest partner of each member in its block, which joins
+2. The other lists go (first for the likeliest partner of each member in its block, which joins
    most components, then for more and more partners of the members outside a list's largest
    component, until no possible pair between components is left) through signature trees: a leaf holds the bitmap of a set's
    hashes and its size, a node the OR of its children's bitmaps and their size
@@ -20,7 +20,7 @@ fewer than k with any others leaves all lists.
 Lists longer than a block are cut into blocks, and pairs of blocks are dealt over the tasks. Only sets of
 candidates are shuffled, and the filter that finds their documents is a bitmap of bounded size. Shingles
 are 64-bit hashes of word hashes. The bounds of a round (partners of a member, three lists and one block in
-the first two, 4 000 000 pairs of a list) lose no link: rounds go on, the last without any bound, until
+the first, 4 000 000 pairs of a list) lose no link: rounds go on, the last without any bound, until
 one leaves out nothing.
 """
 
@@ -80,9 +80,9 @@ def class_of(tokens: np.ndarray) -> int:
 
 
 def signature(tokens: np.ndarray) -> np.ndarray:
-    """Bitmap of a set: the next power of two of twice its size, 64 bits at least."""
+    """Bitmap of a set: the next power of two of four times its size, 64 bits at least."""
     width = 64
-    while width < 2 * len(tokens):
+    while width < 4 * len(tokens):
         width *= 2
     bits = np.zeros(width, np.uint8)
     bits[(tokens >> np.uint64(20)) & np.uint64(width - 1)] = 1
@@ -599,7 +599,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     # first the likeliest candidates of each member in its block, which joins most components; then of the members outside
     # a list's largest component, more and more of them until none is left out
-    for most, salt in ((1, 1), (1, 2), (2, 0), (16, 0), (128, 0), (None, 0)):
+    for most, salt in ((1, 1), (2, 0), (16, 0), (128, 0), (None, 0)):
         found, more = searched(labels, most, salt)
         labels = joined_labels(labels, found)
         if not (more or salt):
