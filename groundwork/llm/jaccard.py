@@ -41,7 +41,7 @@ SHINGLE, PERCENT = 5, 75
 #: Frequent shingles put last: at most this many, 8 bytes each. Only the order depends on them.
 FREQUENT = 1 << 15
 SALTS = 16
-BLOCK = 1024
+BLOCK = 256
 #: Bits of the filter that picks candidates' sets: 16 for each candidate, between these bounds (32 MB at
 #: most); when it fills up, more sets are shuffled.
 FILTER_LEAST, FILTER_MOST = 1 << 16, 1 << 28
@@ -571,39 +571,43 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         named = members.withColumn("label", F.col("class"))
         if labels is not None:
             named = members.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
-        parts = named.groupBy("token", "label").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("class").cast("decimal(38,0)")).alias("mark"))
-        cut = lambda n: F.ceil(n / BLOCK).cast("int")
+        parts = named.groupBy("token", "label").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("lead"), F.sum(F.xxhash64("class").cast("decimal(38,0)")).alias("mark"))
+        # powers of two, so that lists of about the same members have the same blocks
+        cut = lambda n: F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(n / BLOCK, F.lit(1.0))))).cast("int")
         open_ = (
             parts.groupBy("token")
-            .agg(F.count(F.lit(1)).alias("labels"), F.max_by("label", F.struct("n", "label")).alias("major"), F.max("n").alias("most"), F.sum("n").alias("members"), F.sum("mark").alias("mark"))
+            .agg(F.count(F.lit(1)).alias("labels"), F.max_by("label", F.struct("n", "label")).alias("major"), F.max("n").alias("most"), F.sum("n").alias("members"), F.min("lead").alias("lead"), F.sum("mark").alias("mark"))
             .where("labels > 1")
             .withColumn("one", F.row_number().over(Window.partitionBy("mark", "members").orderBy("token")))
             .where("one = 1")
-            .select("token", "major", "members", cut(F.col("most")).alias("ma"), cut(F.col("members") - F.col("most")).alias("mi"))
+            .select("token", "lead", "major", "members", cut(F.col("most")).alias("ma"), cut(F.col("members") - F.col("most")).alias("mi"))
         )
         work = named.join(open_, "token")
         if salt:  # in this round, the longest lists of each member
             longest = Window.partitionBy("class").orderBy(F.desc("members"), "token")
             work = work.withColumn("r", F.row_number().over(longest)).where("r <= 3")
-            block = F.pmod(F.xxhash64("class", "token", F.lit(salt)), F.col("ma") + F.col("mi")).cast("int")
+            block = F.pmod(F.xxhash64("class", F.lit(salt)), cut(F.col("members"))).cast("int")
             work = work.withColumn("minor", F.lit(True)).withColumn("block", block).withColumn("other", block)
         else:
             work, spread = work.withColumn("minor", F.col("label") != F.col("major")), F.xxhash64("class")
             work = work.withColumn("block", F.when(F.col("minor"), F.col("ma") + F.pmod(spread, "mi")).otherwise(F.pmod(spread, "ma")).cast("int"))
             work = work.withColumn("other", F.explode(F.sequence(F.when(F.col("minor"), F.lit(0)).otherwise(F.col("ma")), F.col("ma") + F.col("mi") - 1)))
         work = work.join(signs.select("class", "bits"), "class")
-        work = work.select("token", "class", "size", "label", "minor", "bits", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-        pairs = work.withColumn("group", F.pmod(F.xxhash64("token", "i", "j"), F.lit(groups))).groupBy("group").applyInArrow(_traverse(percent, most), "a long, b long")
+        work = work.select("token", "lead", "class", "size", "label", "minor", "bits", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+        # lists of like members have the same smallest one: their pairs of the same two blocks are told once
+        pairs = work.withColumn("group", F.pmod(F.xxhash64("lead", "i", "j"), F.lit(groups))).drop("lead").groupBy("group").applyInArrow(_traverse(percent, most), "a long, b long")
         pairs = written(pairs.distinct(), "pairs")
         return _verified(table, signs, pairs.where("a is not null"), words, percent), not pairs.where("a is null").isEmpty()
 
     # first the likeliest candidates of each member in its block, which joins most components; then of the members outside
     # a list's largest component, more and more of them until none is left out
-    for most, salt in ((1, 1), (2, 0), (16, 0), (128, 0), (None, 0)):
-        found, more = searched(labels, most, salt)
+    most, salt, more = 1, 1, True
+    while more:
+        found, cut_short = searched(labels, most, salt)
         labels = joined_labels(labels, found)
-        if not (more or salt):
-            break
+        more = most is not None and (cut_short or bool(salt))
+        # where a round joins nothing, a somewhat larger one hardly does: the next has no bound
+        most, salt = (2 if salt else None if most > 100 or found.isEmpty() else 8 * most) if more else None, 0
 
     named = signs.select(F.col("class").alias("node"), "least").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     best = named.groupBy("label").agg(F.min("least").alias("component_id"))
