@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import spread
-from . import ann, bpe, dedup, html, jaccard, langid, pack, pii, shard, substr
+from . import alignment, ann, bpe, conversations, decontaminate, dedup, html, jaccard, langid, pack, pii, shard, substr
+from .queries_sql import OP11_SQL, OP12_SQL
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +62,18 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substr.substring_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(conversations.damage(_table(spark, sf_dir, "conversations")))
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(_table(spark, sf_dir, "documents"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.tiktoken"), _vocabulary("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_html_extraction": op1_html_extraction,
@@ -73,6 +86,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_nearest_neighbours": op8_nearest_neighbours,
         "op9_best_fit_packing": op9_best_fit_packing,
         "op10_substring_dedup": op10_substring_dedup,
+        "op11_conversation_repair": op11_conversation_repair,
+        "op12_decontamination": op12_decontamination,
+        "op13_tokenizer_alignment": op13_tokenizer_alignment,
     }
 
 
@@ -119,4 +135,4 @@ FROM documents LEFT JOIN y USING (doc_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_jaccard_join": OP5_SQL, "op6_exact_dedup": OP6_SQL, "op10_substring_dedup": OP10_SQL}
+    return {"op5_jaccard_join": OP5_SQL, "op6_exact_dedup": OP6_SQL, "op10_substring_dedup": OP10_SQL, "op11_conversation_repair": OP11_SQL, "op12_decontamination": OP12_SQL}
