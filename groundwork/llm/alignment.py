@@ -55,6 +55,7 @@ class Pieces:
         return bytes([int(piece[1:-1], 16)]) if self.model.is_byte(k) else piece.replace("▁", " ").encode()
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of whole texts and each text's place in them."""
         ids = self.model.encode(texts, out_type=int, num_threads=1)
         at = np.cumsum([0, *map(len, ids)])
         return np.fromiter(chain.from_iterable(ids), np.int64, at[-1]), at
@@ -98,40 +99,75 @@ def tokenised(enc: Encoder, own: Pieces, texts: list[str]) -> tuple[Tokens, Toke
 
 
 class Aligner:
-    """Aligns windows of ids; what a window gives is kept by its id tuple."""
+    """Aligns windows of ids. What a window gives is kept by its id tuple: a sorted hash finds it, its ids
+    are compared. New windows of a batch are worked out together."""
+
+    #: What is kept of a window: flat values, and the end of each window's part.
+    PARTS = ("ids_a", "ids_b", "text", "links")
 
     def __init__(self, enc: Encoder, own: Pieces):
         self.enc, self.own = enc, own
         self.marked_a = enc.flat[np.minimum(enc.first[:-1], len(enc.flat) - 1)] == 0x20
+        # each id in decimal with the mark that follows it: a comma inside a group's side, a bar after A's, a semicolon after B's
+        spelled = [f"{k}{mark}".encode() for mark in ",|;" for k in range(max(len(enc.lengths), len(own.lengths)))]
+        self.sizes = np.array([len(x) for x in spelled], np.int64)
+        self.flat, self.begin = np.frombuffer(b"".join(spelled), np.uint8), np.cumsum(self.sizes) - self.sizes
         self.worked_out = 0
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[tuple[bytes, bytes], int] = {}
-        self.text: list[bytes] = []
-        self.n_groups: list[int] = []
-        self.links: list[list[int]] = []
-
-    def window(self, a: list[int], b: list[int]) -> tuple[bytes, int, list[int]]:
-        """Groups as text, their number, and the linked id pairs of one window: whose tokens end first moves on."""
-        size_a, size_b = self.enc.lengths[a].tolist(), self.own.lengths[b].tolist()
-        groups, links, i, j, from_a, from_b = [], [], 0, 0, 0, 0
-        end_a, end_b = size_a[0], size_b[0]
-        while True:
-            links.append(a[i] << _BITS | b[j])
-            step_a, step_b = end_a <= end_b, end_b <= end_a
-            i, j = i + step_a, j + step_b
-            if step_a and step_b:
-                groups.append(f"{','.join(map(str, a[from_a:i]))}|{','.join(map(str, b[from_b:j]))}")
-                from_a, from_b = i, j
-                if i == len(a) or j == len(b):
-                    return ";".join(groups).encode(), len(groups), links
-            end_a += size_a[i] if step_a else 0
-            end_b += size_b[j] if step_b else 0
+        self.keys, self.place = np.empty(0, np.uint64), np.empty(0, np.int64)
+        self.kept = {p: (np.empty(0, np.uint8 if p == "text" else np.int64), np.zeros(1, np.int64)) for p in self.PARTS}
+        self.n_groups = np.empty(0, np.int64)
+
+    def part(self, name: str, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A part of the windows numbered ``at``, and its size in each."""
+        flat, ends = self.kept[name]
+        size = ends[at + 1] - ends[at]
+        return take_runs(flat, ends[at], size), size
+
+    def work_out(self, ids_a: np.ndarray, n_a: np.ndarray, ids_b: np.ndarray, n_b: np.ndarray) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+        """Text of groups, links and number of groups of windows (``n`` ids each; both sides spell the same bytes)."""
+        last_a, last_b = np.cumsum(n_a), np.cumsum(n_b)
+        ends_a, ends_b = np.cumsum(self.enc.lengths[ids_a]), np.cumsum(self.own.lengths[ids_b])
+        # between two neighbouring ends of either side one token of each overlaps: a link
+        ends = np.union1d(ends_a, ends_b)
+        links = ids_a[np.searchsorted(ends_a, ends)] << _BITS | ids_b[np.searchsorted(ends_b, ends)]
+        shared = np.intersect1d(ends_a, ends_b, assume_unique=True)
+        # groups as text: A's ids, then B's, group by group
+        group_a, group_b = np.searchsorted(shared, ends_a), np.searchsorted(shared, ends_b)
+        mark_a = np.where(np.append(group_a[1:] != group_a[:-1], True), 1, 0)
+        mark_b = np.where(np.append(group_b[1:] != group_b[:-1], True), 2, 0)
+        before = np.concatenate([[0], np.cumsum(np.bincount(group_b, minlength=len(shared)))])[group_a]
+        until = np.cumsum(np.bincount(group_a, minlength=len(shared)))[group_b]
+        width = len(self.sizes) // 3
+        written_ids = np.empty(len(ids_a) + len(ids_b), np.int64)
+        written_ids[np.arange(len(ids_a)) + before] = mark_a * width + ids_a
+        written_ids[np.arange(len(ids_b)) + until] = mark_b * width + ids_b
+        text = take_runs(self.flat, self.begin[written_ids], self.sizes[written_ids])
+        size = np.concatenate([[0], np.cumsum(self.sizes[written_ids])])
+        stop = ends_a[last_a - 1]  # the byte where each window ends
+        return {
+            "ids_a": (ids_a, last_a), "ids_b": (ids_b, last_b), "text": (text, size[last_a + last_b]),
+            "links": (links, np.searchsorted(ends, stop) + 1), "groups": (shared, np.searchsorted(shared, stop) + 1),
+        }
+
+    def _add(self, key: np.ndarray, found: dict[str, tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Keep new windows; their numbers."""
+        number = len(self.n_groups) + np.arange(len(key))
+        for p in self.PARTS:
+            (flat, ends), (more, stop) = self.kept[p], found[p]
+            self.kept[p] = np.concatenate([flat, more]), np.concatenate([ends, ends[-1] + stop])
+        self.n_groups = np.concatenate([self.n_groups, np.diff(found["groups"][1], prepend=0)])
+        order = np.argsort(key)
+        where = np.searchsorted(self.keys, key[order])
+        self.keys, self.place = np.insert(self.keys, where, key[order]), np.insert(self.place, where, number[order])
+        self.worked_out += len(key)
+        return number
 
     def batch(self, a: Tokens, b: Tokens) -> tuple[np.ndarray, np.ndarray]:
         """Each window's number in the memo, and each text's first window."""
-        if len(self.text) > _MEMO:
+        if len(self.keys) > _MEMO:
             self._forget()
         if not len(a.ids):
             return np.empty(0, np.int64), np.zeros(len(a.at), np.int64)
@@ -144,21 +180,27 @@ class Aligner:
         end_a, end_b = last_a[anchor] + 1, last_b[anchor] + 1
         start_a, start_b = np.concatenate([[0], end_a[:-1]]), np.concatenate([[0], end_b[:-1]])
         key = mix(run_hash(mix(a.ids.astype(np.uint64)), start_a, end_a)) ^ run_hash(mix(b.ids.astype(np.uint64)), start_b, end_b)
-        _, sample, of = np.unique(key, return_index=True, return_inverse=True)
-        numbers = np.empty(len(sample), np.int64)
-        for k, (sa, ea, sb, eb) in enumerate(zip(start_a[sample].tolist(), end_a[sample].tolist(), start_b[sample].tolist(), end_b[sample].tolist(), strict=True)):
-            ids_a, ids_b = a.ids[sa:ea], b.ids[sb:eb]
-            at = (ids_a.tobytes(), ids_b.tobytes())
-            number = self.known.get(at)
-            if number is None:
-                number = self.known[at] = len(self.text)
-                text, n, links = self.window(ids_a.tolist(), ids_b.tolist())
-                self.text.append(text)
-                self.n_groups.append(n)
-                self.links.append(links)
-                self.worked_out += 1
-            numbers[k] = number
-        return numbers[of], np.searchsorted(end_a, a.at, "right")
+        key, sample, of = np.unique(key, return_index=True, return_inverse=True)
+        n_a, n_b = (end_a - start_a)[sample], (end_b - start_b)[sample]
+        ids_a, ids_b = take_runs(a.ids, start_a[sample], n_a), take_runs(b.ids, start_b[sample], n_b)
+        near = np.minimum(np.searchsorted(self.keys, key), max(len(self.keys) - 1, 0))
+        number = np.full(len(key), -1, np.int64)
+        hit = np.flatnonzero(self.keys[near] == key) if len(self.keys) else np.empty(0, np.int64)
+        if len(hit):  # kept windows have these very ids
+            at, same = self.place[near[hit]], np.ones(len(hit), bool)
+            for p, ids, n in (("ids_a", ids_a, n_a), ("ids_b", ids_b, n_b)):
+                kept, size = self.part(p, at)
+                own = take_runs(ids, (np.cumsum(n) - n)[hit], np.minimum(n[hit], size))
+                kept = take_runs(kept, np.cumsum(size) - size, np.minimum(n[hit], size))
+                some = np.minimum(n[hit], size)
+                same &= (n[hit] == size) & np.logical_and.reduceat(own == kept, np.cumsum(some) - some)
+            number[hit[same]] = at[same]
+        new = np.flatnonzero(number < 0)
+        if len(new):
+            first_a, first_b = np.cumsum(n_a) - n_a, np.cumsum(n_b) - n_b
+            found = self.work_out(take_runs(ids_a, first_a[new], n_a[new]), n_a[new], take_runs(ids_b, first_b[new], n_b[new]), n_b[new])
+            number[new] = self._add(key[new], found)
+        return number[of], np.searchsorted(end_a, a.at, "right")
 
 
 @lru_cache(1)
@@ -178,15 +220,13 @@ def aligned(docs: DataFrame, ranks: str, model: str, id_col: str = "doc_id", tex
             texts = batch.column("text").fill_null("").to_pylist()
             a, b = tokenised(work.enc, work.own, texts)
             number, first = work.batch(a, b)
-            used, number = np.unique(number, return_inverse=True)
-            known = [work.text[k] for k in used.tolist()]
-            lines = [b";".join([known[k] for k in own.tolist()]) for own in np.split(number, first[1:-1])] if len(texts) else []
-            groups = np.concatenate([[0], np.cumsum(np.array([work.n_groups[k] for k in used.tolist()], np.int64)[number])])[first]
-            links = [work.links[k] for k in used.tolist()]
-            sizes = np.array([len(x) for x in links], np.int64)
-            flat = np.fromiter(chain.from_iterable(links), np.int64, sizes.sum())
-            pairs = take_runs(flat, (np.cumsum(sizes) - sizes)[number], sizes[number])
-            at = np.concatenate([[0], np.cumsum(sizes[number])])[first]
+            text, size = work.part("text", number)
+            cut = np.concatenate([[0], np.cumsum(size)])[first].tolist()
+            text = text.tobytes()  # each window ends with a semicolon
+            lines = [text[x : max(y - 1, x)] for x, y in zip(cut, cut[1:], strict=False)]
+            groups = np.concatenate([[0], np.cumsum(work.n_groups[number])])[first]
+            pairs, size = work.part("links", number)
+            at = np.concatenate([[0], np.cumsum(size)])[first]
             row = np.repeat(np.arange(len(texts)), np.diff(at))
             order = np.lexsort((pairs, row))
             row, pairs = row[order], pairs[order]

@@ -96,7 +96,20 @@ def test_windows_are_worked_out_once():
     work = al.Aligner(al.encoder(RANKS), al.pieces(MODEL))
     for _ in range(3):
         work.batch(*al.tokenised(work.enc, work.own, ["the same few words, the same few words"] * 20))
-    assert work.worked_out == len(work.text) < 12
+    assert work.worked_out == len(work.keys) < 12
+
+
+def test_a_full_memo_starts_again(monkeypatch):
+    monkeypatch.setattr(al, "_MEMO", 3)
+    work = al.Aligner(al.encoder(RANKS), al.pieces(MODEL))
+    lots = [["some words here", "other words there"], ["some more words", ""], ["some words here"]]
+    texts = []
+    for lot in lots:
+        number, first = work.batch(*al.tokenised(work.enc, work.own, lot))
+        text, size = work.part("text", number)
+        cut = [0, *size.cumsum().tolist()]
+        texts += [text.tobytes()[cut[a] : cut[b]] for a, b in zip(first[:-1], first[1:], strict=True)]
+    assert texts[0] == texts[4] and texts[3] == b"" and texts[0].endswith(b";")
 
 
 def test_empty_table_clashing_columns_and_groups(spark):
