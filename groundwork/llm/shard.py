@@ -2,10 +2,11 @@
 
 The ``bytes`` law: shard sizes as near equal as the groups allow. LPT hands the groups,
 largest first, to the least-loaded shard (a heap). Groups of one size are alike, so Spark counts
-the groups of each size and the heap deals the counts; sizes are told to ``SIGNIFICANT`` bits
-(sizes below 4096 are exact, larger ones to 1 in 4096 or better), which bounds what the driver sees
+the groups of each size and the heap deals the counts; sizes are told to ``significant`` bits
+(with 12, sizes below 4096 are exact, larger ones to 1 in 2048 or better), which bounds what the driver sees
 for any input: 2048 classes to an octave. Since larger classes stand for their mean, the true
-loads are summed once all inexact classes are dealt, and the exact ones level them.
+loads are summed once all inexact classes are dealt, and the exact ones level them. ``significant=None``
+is plain LPT on exact sizes; the driver then sees a row for each different size.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from .dedup import digest_of, frequent_digests, short_name
 from .shared import ranked, written
 
-#: Bits of a group's size that count.
+#: Bits of a group's size that count, unless told otherwise.
 SIGNIFICANT = 12
 OVERHEAD = 16
 
@@ -56,13 +57,15 @@ def deal(loads: list[int], size: int, count: int, heap: list[tuple[int, int]]) -
     return [(s, n) for s, n in enumerate(given) if n]
 
 
-def size_class(size: str) -> Column:
-    """The column ``size`` to ``SIGNIFICANT`` bits, as a number that orders like sizes; exact where no bit is lost."""
-    lost = f"cast(greatest(length(bin({size})) - {SIGNIFICANT}, 0) as int)"
-    return F.expr(f"cast({lost} as bigint) * {1 << SIGNIFICANT} + shiftright({size}, {lost})")
+def size_class(size: str, significant: int | None = SIGNIFICANT) -> Column:
+    """The column ``size`` to so many bits, as a number that orders like sizes; exact where no bit is lost."""
+    if significant is None:
+        return F.col(size).cast("long")
+    lost = f"cast(greatest(length(bin({size})) - {significant}, 0) as int)"
+    return F.expr(f"cast({lost} as bigint) * {1 << significant} + shiftright({size}, {lost})")
 
 
-def shard_documents(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", significant: int | None = SIGNIFICANT) -> DataFrame:
     """Per row: ``doc_id, size, text_crc32, law, shard, slot, grown_shard``.
 
     ``size`` is the UTF-8 bytes of the text (null: none) plus 16; rows with equal texts
@@ -80,11 +83,11 @@ def shard_documents(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", t
         digest_of(text).alias("digest"),
     )
     rows = written(rows, "sizes")
-    groups = written(rows.groupBy("digest").agg(F.sum("size").alias("total")).withColumn("class", size_class("total")), "groups")
+    groups = written(rows.groupBy("digest").agg(F.sum("size").alias("total")).withColumn("class", size_class("total", significant)), "groups")
     # bound by the number of classes, whatever the input
     counts = groups.groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.sum("total").alias("sum")).collect()
     numbered = ranked(groups, ["class"], "digest", "number")
-    exact = 1 << SIGNIFICANT  # classes below hold one size each
+    exact = 1 << (62 if significant is None else significant)  # classes below hold one size each
 
     def dealt(part: DataFrame, shares: dict[int, list[tuple[int, int]]]) -> DataFrame:
         """Groups of each class by number: so many to the first shard, so many to the next."""
