@@ -527,13 +527,19 @@ def sql() -> dict[str, str]:
         " SELECT run_id, format, coalesce(string_agg(number, '|' ORDER BY number) FILTER (held = formats), '') AS shared, coalesce(string_agg(number, '|' ORDER BY number) FILTER (held < formats), '') AS divergent, coalesce(string_agg(number, '|' ORDER BY number) FILTER (held = 1 AND formats > 1), '') AS only_here FROM x JOIN f USING (run_id) JOIN h USING (run_id, number) GROUP BY run_id, format"
     )
     s["j6_stats"] = (
-        f"WITH {RUNS}, {OUTPUTS} SELECT 'documents' AS name, count(*)::DOUBLE AS value FROM customer UNION ALL SELECT 'runs', count(*) FROM runs UNION ALL SELECT 'outputs', count(*) FROM outputs UNION ALL SELECT 'audit_events', count(*) FROM events UNION ALL SELECT 'documents', count(*) FROM documents UNION ALL SELECT 'knowledge', count(*) FROM documents UNION ALL SELECT 'chunks', count(*) FROM (SELECT {NORM} AS body FROM documents) WHERE body <> ''"
+        f"WITH {RUNS}, {OUTPUTS} SELECT 'documents' AS name, count(*)::DOUBLE AS value FROM customer UNION ALL SELECT 'runs', count(*) FROM runs UNION ALL SELECT 'outputs', count(*) FROM outputs UNION ALL SELECT 'audit_events', count(*) FROM events"
         " UNION ALL SELECT 'status:' || status, count(*) FROM runs GROUP BY status UNION ALL SELECT 'completed', count(*) FROM runs WHERE status <> 'failed' UNION ALL SELECT 'mean_grounding', round(avg(grounding_score), 4) FROM outputs"
     )
     s["j7_list_audit"] = f"WITH {AUDIT} SELECT event_id, action, actor, created_at FROM audit ORDER BY created_at DESC, event_id DESC LIMIT 500"
     s["j8_search_documents"] = "SELECT c_custkey AS doc_id, c_name AS title, lower(c_mktsegment) AS source_kind FROM customer WHERE contains(lower(c_name), 'build') OR contains(lower(c_mktsegment), 'build')"
     s["j9_total_bytes"] = "SELECT sum(strlen(text)) AS bytes FROM documents"
     s["l4_activity_windows"] = "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL"
+    s["l6_near_duplicates"] = (
+        f"WITH RECURSIVE {_features('documents', 'doc_id', 'text')}, nv AS (SELECT doc_id, feature, weight / sqrt(sum(weight * weight) OVER (PARTITION BY doc_id)) AS x FROM feats)"
+        ", p AS (SELECT a.doc_id AS x, b.doc_id AS y FROM nv a JOIN nv b ON a.feature = b.feature AND a.doc_id < b.doc_id GROUP BY 1, 2 HAVING round(sum(a.x * b.x), 9) >= 0.9), e AS (SELECT x, y FROM p UNION ALL SELECT y, x FROM p)"
+        ", r AS (SELECT x AS doc_id, y AS reach FROM e UNION SELECT r.doc_id, e.y FROM r JOIN e ON e.x = r.reach), m AS (SELECT doc_id, min(reach) AS reach FROM r GROUP BY doc_id)"
+        f", c AS (SELECT d.doc_id, least(d.doc_id, coalesce(m.reach, d.doc_id)) AS class_id, array_to_string({tokens('text')}, ' ') AS k FROM documents d LEFT JOIN m USING (doc_id)), z AS (SELECT class_id, count(*) AS class_size, count(DISTINCT k) AS texts FROM c GROUP BY 1) SELECT doc_id, class_id, class_size, texts FROM c JOIN z USING (class_id)"
+    )
     s["l4_sessions"] = (
         "WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), h AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM g)"
         " SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, count(*) AS n FROM h GROUP BY user_id, sid"

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions import text as T
-from ..operators import chunking, compose, corpus, grounding, knowledge, provenance, relational, retrieval, security, vectors
+from ..operators import chunking, compose, corpus, grounding, knowledge, provenance, relational, retrieval, security, similarity, vectors
 from ..operators import runs as pipeline
 from ..sources import files
 from ..sources.tables import shared_root, spread, written
@@ -821,6 +821,11 @@ def l6_exact_duplicates(spark, sf_dir):
     return d.join(best.where("copies > 1"), "file_hash").select("doc_id", "first_id", "copies")
 
 
+@query
+def l6_near_duplicates(spark, sf_dir):
+    return similarity.near_duplicates(table(spark, sf_dir, "documents"), 0.9)
+
+
 def _own_folder(spark) -> str:
     return f"{shared_root(spark)}/runs/{uuid.uuid4().hex}"
 
