@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from ..functions import rules
 from ..functions.text import tokens
@@ -45,11 +49,77 @@ def hash_embed(units: DataFrame, keys: list[str], text_col: str = "text", dims:
     return summed.withColumn("norm", norm).where("norm > 0").select(*keys, "bucket", F.round(F.col("x") / F.col("norm"), 6).alias("w"))
 
 
-def embed_table(units: DataFrame, keys: list[str], text_col: str = "text", provider: str | Callable = "auto", dims: int = DIMS) -> DataFrame:
-    """E5. ``provider`` is ``auto`` or ``hashing``, or an Arrow UDF from text to array of double."""
+#: Texts that a provider gets at once.
+BATCH = 64
+_PROBE = "One short text to see whether this provider answers."
+
+
+@dataclass(frozen=True)
+class Provider:
+    """A model of the user's: ``load()`` sets it up and returns a function from a list of texts to a matrix. It is
+    called in Python workers, once in each; ``load`` has to be importable there."""
+
+    name: str
+    load: Callable[[], Callable[[list[str]], np.ndarray]]
+
+
+_loaded: dict[str, Callable[[list[str]], np.ndarray]] = {}
+
+
+def _encode(provider: Provider, texts: list[str]) -> np.ndarray:
+    """The rows of the texts, 64 at a time, by the model of this worker."""
+    if provider.name not in _loaded:
+        _loaded[provider.name] = provider.load()
+    parts = [np.asarray(_loaded[provider.name](texts[k : k + BATCH]), np.float64) for k in range(0, len(texts), BATCH)]
+    return np.concatenate(parts) if parts else np.empty((0, 0))
+
+
+def first_working(spark: SparkSession, providers: Sequence[Provider]) -> Provider | None:
+    """The first provider, in the order given, that loads and answers in an executor; None if none does. One
+    provider serves a whole job, so that vectors of different models never meet."""
+    for provider in providers:
+
+        def probe(batches: Iterator[pa.RecordBatch], own: Provider = provider) -> Iterator[pa.RecordBatch]:
+            for _ in batches:
+                try:
+                    found = _encode(own, [_PROBE])
+                    ok = found.ndim == 2 and len(found) == 1 and bool(np.isfinite(found).all())
+                except Exception:  # any fault of a user's model means the next provider
+                    ok = False
+                yield pa.RecordBatch.from_arrays([pa.array([ok])], names=["ok"])
+
+        if spark.range(0, 1, 1, 1).mapInArrow(probe, "ok boolean").first()["ok"]:
+            return provider
+    return None
+
+
+def provided(units: DataFrame, keys: list[str], text_col: str, provider: Provider) -> DataFrame:
+    """``keys, bucket, w`` of a provider's vectors, scaled to length 1 and rounded to six places; zero vectors and null
+    texts (which count as empty) that give one have no rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            m = _encode(provider, batch.column("_text").to_pylist())
+            norm = np.sqrt((m * m).sum(axis=1, keepdims=True)) if m.size else np.ones((len(m), 1))
+            m = np.round(m / np.where(norm > 0, norm, 1), 6)
+            row, bucket = np.nonzero(m)
+            at = pa.array(row)
+            cols = [batch.column(k).take(at) for k in range(len(keys))]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(bucket.astype(np.int32)), pa.array(m[row, bucket])], names=[*keys, "bucket", "w"])
+
+    rows = units.select(*keys, F.coalesce(text_col, F.lit("")).alias("_text"))
+    return rows.mapInArrow(run, StructType([*(rows.schema[k] for k in keys), StructField("bucket", IntegerType()), StructField("w", DoubleType())]))
+
+
+def embed_table(units: DataFrame, keys: list[str], text_col: str = "text", provider: str | Callable | Sequence[Provider] = "auto", dims: int = DIMS) -> DataFrame:
+    """E5. ``provider`` is ``hashing`` (or ``auto``, which is the same without models), an Arrow UDF from text to array of
+    double, or a list of providers: the first that works, else hashing."""
     if callable(provider):
         dense = units.select(*keys, provider(F.coalesce(text_col, F.lit(""))).alias("v"))
         return dense.select(*keys, F.posexplode("v").alias("bucket", "w")).where("w <> 0")
+    if not isinstance(provider, str):
+        found = first_working(units.sparkSession, provider)
+        return hash_embed(units, keys, text_col, dims) if found is None else provided(units, keys, text_col, found)
     if provider not in ("auto", "hashing"):
         raise ValueError(f"unknown provider {provider!r}")
     return hash_embed(units, keys, text_col, dims)
@@ -72,9 +142,6 @@ def knn(base: DataFrame, k: int, every: int = 50, id_col: str = "vec_id", vector
     queries and keeps each query's best ``k``, so what leaves it is bounded. Null or zero vectors, and those
     with null or non-finite components, take no part; only vectors of the query's dimension are candidates.
     """
-    import numpy as np
-    import pyarrow as pa
-
     x = F.col("v")
     rows = base.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     finite = F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) != float("inf")))

@@ -2,11 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import re
-import uuid
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -172,27 +167,6 @@ def export_outputs(outputs: DataFrame, runs: DataFrame) -> DataFrame:
     return rows.select(F.concat(F.col("run_id").cast("string"), F.lit("-"), "format", F.lit(".md")).alias("filename"), F.concat(header, F.lit("\n\n"), F.coalesce("edited_body", "body")).alias("content"))
 
 
-def write_exports(exports: DataFrame, path: str) -> None:
-    """A11, as files: each export under ``path/<run>-<format>.md``. Tasks write their own rows through the
-    file system that the path names, under a temporary name first, so that a repeated task replaces its files."""
-    from pyspark.sql.types import StringType, StructField, StructType
-
-    def save(batches):
-        from pathlib import Path
-
-        for b in batches:
-            names = b.column("filename").to_pylist()
-            for name, content in zip(names, b.column("content").to_pylist(), strict=True):
-                safe = re.sub(r"[^A-Za-z0-9._-]", "_", name)
-                part = Path(path) / f".{safe}.{uuid.uuid4().hex}"
-                part.write_text(content or "", encoding="utf-8")
-                part.replace(Path(path) / safe)
-            yield pa.RecordBatch.from_arrays([b.column("filename")], names=["filename"])
-
-    os.makedirs(path, exist_ok=True)
-    exports.select("filename", "content").mapInArrow(save, StructType([StructField("filename", StringType())])).write.format("noop").mode("overwrite").save()
-
-
 def apply_retention(docs: DataFrame, now: Column, days: int = RETENTION_DAYS, column: str = "created_at") -> DataFrame:
     """A12. Rows not older than the window."""
     return docs.where(F.col(column) >= now - F.make_interval(days=F.lit(days)))

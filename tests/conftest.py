@@ -5,8 +5,8 @@ from pathlib import Path
 import pytest
 
 ROOT = str(Path(__file__).resolve().parent.parent)
-os.environ["PYTHONPATH"] = ROOT + os.pathsep + os.environ.get("PYTHONPATH", "")
-sys.path.insert(0, ROOT)
+os.environ["PYTHONPATH"] = os.pathsep.join([ROOT, f"{ROOT}/tests", os.environ.get("PYTHONPATH", "")])
+sys.path[:0] = [ROOT, f"{ROOT}/tests"]
 
 
 @pytest.fixture(scope="session")
