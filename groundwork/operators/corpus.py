@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import content_tokens, normalise_ws
 from ..sources.tables import written
 from .chunking import chunks
-from .grounding import claim_support
+from .grounding import claim_support, grounding_report, judge_claims, numbers_of
 from .security import found_categories, injection_score, resolve_pii, risk_by_presence
 
 #: Parts into which the documents of one term are split.
@@ -46,7 +46,9 @@ def foreign_candidates(claims: DataFrame, docs: DataFrame, min_share: float = 0.
     hits = rare.join(held.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")), ["term", "salt"])
     near = hits.groupBy(*pair).agg(F.count(F.lit(1)).alias("hits"), F.first("h").alias("h")).where("hits >= h").select(*pair)
     wanted = terms.groupBy("item_id").agg(F.collect_list("term").alias("item_terms"))
-    both = near.join(wanted, "item_id").join(held.groupBy("doc_id").agg(F.collect_list("term").alias("doc_terms")), "doc_id")
+    near = written(near)
+    fetched = held.join(near.select("doc_id").distinct(), "doc_id", "left_semi")
+    both = near.join(wanted, "item_id").join(fetched.groupBy("doc_id").agg(F.collect_list("term").alias("doc_terms")), "doc_id")
     scored = both.select(*pair, F.size(F.array_intersect("item_terms", "doc_terms")).cast("long").alias("shared"), F.size("item_terms").cast("long").alias("n_terms"))
     scored = scored.withColumn("support", F.round(F.col("shared") / F.col("n_terms"), 6)).where(F.col("support") >= min_share)
     order = Window.partitionBy("item_id").orderBy(F.desc("support"), "doc_id")
@@ -64,3 +66,26 @@ def ground_foreign(claims: DataFrame, docs: DataFrame, min_share: float = 0.5, k
     evidence = best.select("item_id", "doc_id").join(parts, "doc_id").select(run, "ordinal", "text")
     judged = claim_support(rows, evidence).select("run_id", F.col("support").alias("claim_support"), "verbatim")
     return best.withColumn("run_id", run).join(judged, "run_id").drop("run_id")
+
+
+def foreign_verdicts(claims: DataFrame, docs: DataFrame, min_share: float = 0.5, k: int = 3) -> DataFrame:
+    """L5, G5 to G10 for foreign texts (``item_id, text``): their claims and numbers against the chunks of the candidate
+    documents. ``item_id, candidates, grounding_score, verdict, claims_total, claims_supported, invented_numbers`` and
+    ``held_elsewhere``: documents of the corpus, candidates or not, that hold an invented number.
+
+    Only candidates' texts are cut into chunks. Numbers of the corpus are posted only if an item asks for them, and counted
+    before they are dealt by number, so that a number that most documents hold is no hot key."""
+    best = written(foreign_candidates(claims, docs, min_share, k).select("item_id", "doc_id"))
+    parts = chunks(docs.select("doc_id", "text").join(best.select("doc_id").distinct(), "doc_id", "left_semi"))
+    evidence = written(best.join(parts, "doc_id").select(F.col("item_id").alias("run_id"), (F.col("doc_id") * 100_000 + F.col("ordinal")).alias("ordinal"), "text"))
+    outputs = claims.select(F.col("item_id").alias("output_id"), F.col("item_id").alias("run_id"), F.col("text").alias("body"))
+    report = written(grounding_report(outputs, judge_claims(outputs, evidence)))
+    asked = report.select("output_id", F.explode("invented_numbers").alias("number"))
+    wanted = asked.select("number").distinct()
+    posted = docs.select(F.explode(F.array_distinct(numbers_of(F.col("text")))).alias("number")).join(F.broadcast(wanted) if wanted.count() < 100_000 else wanted, "number", "left_semi")
+    holders = posted.groupBy("number").agg(F.count(F.lit(1)).alias("n"))
+    elsewhere = asked.join(holders, "number").groupBy("output_id").agg(F.sum("n").alias("held_elsewhere"))
+    counted = best.groupBy(F.col("item_id").alias("output_id")).agg(F.count(F.lit(1)).alias("candidates"))
+    rows = report.join(counted, "output_id", "left").join(elsewhere, "output_id", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return rows.select(F.col("output_id").alias("item_id"), zero("candidates"), "grounding_score", "verdict", "claims_total", "claims_supported", "invented_numbers", zero("held_elsewhere"))

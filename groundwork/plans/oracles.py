@@ -275,10 +275,19 @@ def _pii_ctes(source: str = "documents") -> str:
         "raw AS (" + " UNION ALL ".join(parts) + "), cand AS (SELECT * FROM raw WHERE ok), ordered AS (SELECT doc_id, list({'all': [cand]} ORDER BY sev, rule, position) AS cs FROM cand GROUP BY doc_id)"
         ", kept AS (SELECT doc_id, unnest(list_reduce(cs, lambda acc, x: CASE WHEN len(list_filter(acc.all, lambda a: x.all[1].position < a.ending AND a.position < x.all[1].ending)) > 0 THEN acc ELSE {'all': list_concat(acc.all, x.all)} END).all) AS c FROM ordered)"
         ", found AS (SELECT doc_id, count(*) AS n, min(c.sev) AS sev, list_sort(list(DISTINCT c.category)) AS types, list_sort(list(DISTINCT c.category) FILTER (c.category <> 'ip_address')) AS leaks FROM kept GROUP BY doc_id)"
+        ", lastly AS (SELECT doc_id, c.category AS category, max(c.position) AS lp FROM kept GROUP BY ALL), due AS (SELECT raw.*, lp FROM raw JOIN lastly USING (doc_id, category))"
+        ", used AS (SELECT doc_id, list_reduce(list({'all': [due]} ORDER BY lp DESC, position), lambda acc, x: CASE WHEN len(list_filter(acc.all, lambda a: x.all[1].position < a.ending AND a.position < x.all[1].ending)) > 0 THEN acc ELSE {'all': list_concat(acc.all, x.all)} END).all AS us FROM due GROUP BY doc_id)"
         ", cut AS (SELECT doc_id, count(*) AS applied, sum(ending - position - len(token)) AS shorter FROM raw JOIN (SELECT DISTINCT doc_id, c.category FROM kept) USING (doc_id, category) GROUP BY doc_id)"
     )
 
 
+def _spliced(spans: str) -> str:
+    """``text`` with the spans replaced by their tokens."""
+    order = f"list_sort(list_transform({spans}, lambda u: {{'position': u.position, 'ending': u.ending, 'token': u.token}}))"
+    walk = f"list_reduce({order}, lambda acc, x: {{'at': x.ending, 'out': acc.out || substr(text, acc.at + 1, x.position - acc.at) || x.token}}, {{'at': 0, 'out': ''}})"
+    return f"list_transform([{walk}], lambda z: z.out || substr(text, z.at + 1))[1]"
+
+
 def sql() -> dict[str, str]:
     s: dict[str, str] = {}
     columns = "category, label, severity, position, ending, evidence, token"
@@ -381,6 +390,16 @@ def sql() -> dict[str, str]:
         f"WITH {OUTPUTS} SELECT run_id || '-' || format || '.md' AS filename, concat_ws(chr(10), '---', 'format: ' || format, 'run: ' || run_id, 'model: extractive-v1', 'prompt: p1', 'source hash: ' || sha256(run_id::VARCHAR), 'output hash: ' || output_hash,"
         " 'grounding: ' || printf('%.2f', grounding_score), 'review state: ' || review_state, 'created: ' || strftime(created_at, '%Y-%m-%d %H:%M:%S'), '---') || chr(10) || chr(10) || body AS content FROM outputs"
     )
+    s["a11_export_files"] = (
+        f"WITH {TURNS} SELECT run_id || '-turn' || output_id % 1000 || '.md' AS filename, sha256(concat_ws(chr(10), '---', 'format: turn' || output_id % 1000, 'run: ' || run_id, 'model: extractive-v1', 'prompt: p1', 'source hash: ' || sha256(run_id::VARCHAR), 'output hash: ' || sha256(body),"
+        " 'grounding: 0.50', 'review state: approved', 'created: 2024-01-01 00:00:00', '---') || chr(10) || chr(10) || body) AS content_hash FROM o"
+    )
+    s["a12_stored_retention"] = "SELECT year(o_orderdate) AS year, count(*) AS n, min(o_orderdate) AS first FROM orders WHERE o_orderdate >= TIMESTAMP '1998-08-02' - INTERVAL 1500 DAY GROUP BY 1"
+    s["a13_stored_delete"] = "SELECT 'documents' AS name, count(*) AS n FROM customer WHERE c_custkey % 10 <> 3 UNION ALL SELECT 'runs', count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 10 = 3) UNION ALL SELECT 'valid entries', count(*) FROM customer WHERE c_custkey % 10 = 3"
+    s["i4_stored_chain"] = "SELECT user_id AS chain_id, true AS valid, count(*) AS length FROM events GROUP BY 1"
+    s["l2_stream_once"] = "SELECT DISTINCT sha256(coalesce(text, '')) AS file_hash FROM documents"
+    letters = "[" + ", ".join(f"len(text) - len(replace(text, '{chr(97 + k)}', ''))" for k in range(26)) + "]"
+    s["e5_provider"] = f"WITH c AS (SELECT doc_id, list_filter({letters}, lambda n: n > 0) AS n FROM documents) SELECT doc_id, len(n) AS letters, round(list_max(n) / sqrt(list_sum(list_transform(n, lambda x: x * x))), 6) AS most FROM c WHERE len(n) > 0"
     s["a12_retention"] = "SELECT o_orderkey AS run_id, o_orderdate AS created_at FROM orders WHERE o_orderdate >= TIMESTAMP '1998-08-02' - INTERVAL 3650 DAY"
     s["a13_delete_documents"] = (
         f"WITH {OUTPUTS}, g AS (SELECT c_custkey AS k FROM customer WHERE c_custkey % 10 = 3) SELECT 'documents' AS name, count(*) AS n FROM customer WHERE c_custkey % 10 <> 3 UNION ALL SELECT 'runs', count(*) FROM orders WHERE o_custkey NOT IN (SELECT k FROM g)"
@@ -390,7 +409,9 @@ def sql() -> dict[str, str]:
     s["b3_tokens"] = f"SELECT doc_id, array_to_string({tokens('text')}, ' ') AS tokens FROM documents"
     s["b4_content_tokens"] = f"SELECT doc_id, array_to_string({content('text')}, ' ') AS tokens FROM documents"
     s["b5_b6_counts"] = f"SELECT doc_id, {words('text')} AS words, greatest(1, floor(len(text) / 3.6::DOUBLE))::INT AS tokens FROM documents"
-    s["b7_headings"] = f"WITH {LINES}, h AS (SELECT *, {heading('line')} AS heading FROM l) SELECT * FROM h WHERE heading IS NOT NULL"
+    kinds = "['# Report {}', '{}. Field Notes', 'Chapter {} on rivers', 'WATER LEVELS', 'Page {}', 'Key Findings', 'Summary of the year', 'Not a heading, as it ends here.', '1) lower case {}']"
+    titled = f"titled AS (SELECT doc_id, replace({kinds}[doc_id % 9 + 1], '{{}}', (doc_id % 50)::VARCHAR) || coalesce(chr(10) || text, '') || chr(10) || 'The outage of unit ' || doc_id || ' was critical. It did no harm. A breach followed.' AS text FROM documents)"
+    s["b7_headings"] = f"WITH {titled}, {LINES.replace('FROM documents', 'FROM titled')}, h AS (SELECT *, {heading('line')} AS heading FROM l) SELECT * FROM h WHERE heading IS NOT NULL"
     s["b8_b10_line_kinds"] = (
         f"WITH {LINES} SELECT doc_id, count(*) FILTER (regexp_matches(line, {_q(rules.BOILERPLATE)})) AS boilerplate, count(*) FILTER (regexp_matches(line, {_q(rules.BULLET)})) AS bullets,"
         f" count(*) FILTER (regexp_matches(line, {_q(rules.PLACEHOLDER)})) AS placeholders, sum(len(trim(regexp_replace(line, {_q(rules.BULLET_STRIP)}, '')))) AS chars FROM l GROUP BY doc_id"
@@ -544,11 +565,13 @@ def sql() -> dict[str, str]:
         "WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), h AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM g)"
         " SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, count(*) AS n FROM h GROUP BY user_id, sid"
     )
+    s["l4_stream_sessions"] = s["l4_sessions"]
     s["l5_foreign_candidates"] = (
         f"WITH t AS (SELECT DISTINCT item_id, unnest({content('text')}) AS term FROM benchmark), h AS (SELECT DISTINCT doc_id, unnest({content('text')}) AS term FROM documents)"
         ", n AS (SELECT item_id, count(*) AS n_terms FROM t GROUP BY ALL), b AS (SELECT item_id, doc_id, count(*) AS shared FROM t JOIN h USING (term) GROUP BY ALL), s AS (SELECT item_id, doc_id, shared, n_terms, round(shared / n_terms::DOUBLE, 6) AS support FROM b JOIN n USING (item_id))"
         ", r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY support DESC, doc_id) AS rank FROM s WHERE support >= 0.5) SELECT item_id, rank, doc_id, shared, n_terms, support FROM r WHERE rank <= 3"
     )
+    cand = f"cand AS ({s['l5_foreign_candidates']}), chk AS (WITH {chunk_ctes()} SELECT doc_id, ordinal, text FROM chunks)"
     s["l6_exact_duplicates"] = "SELECT doc_id, first_id, copies FROM (SELECT doc_id, min(doc_id) OVER w AS first_id, count(*) OVER w AS copies FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))) WHERE copies > 1"
     s["i10_regenerate"] = (
         f"WITH {OUTPUTS} SELECT output_id, CASE WHEN g THEN 'new' ELSE 'title' END AS title, CASE WHEN g THEN upper(body) ELSE body END AS body, 1 + g::INT AS version, CASE WHEN g THEN sha256(upper(body)) ELSE output_hash END AS output_hash FROM (SELECT *, output_id % 4 = 1 AS g FROM outputs)"
@@ -561,7 +584,7 @@ def sql() -> dict[str, str]:
     s["i7_manifests"] = f"WITH {RUNS}, {OUTPUTS}, i AS (SELECT run_id, string_agg({item}, ',' ORDER BY format) AS items FROM outputs GROUP BY ALL), m AS (SELECT run_id, {manifest} AS manifest FROM runs LEFT JOIN i USING (run_id)) SELECT run_id, manifest, sha256(manifest) AS manifest_hash FROM m"
     snip = lambda n: f"CASE WHEN len(sentence) <= {n} THEN sentence ELSE rtrim(substr(sentence, 1, {n - 1})) || '…' END"  # noqa: E731  (sentences have single spaces)
     s["f16_risk_markers"] = (
-        f"WITH {sentence_ctes()}, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY sent_no) AS r FROM sents WHERE regexp_matches(sentence, {_q(rules.RISK_WORD)})) SELECT doc_id, string_agg({snip(200)}, '|' ORDER BY sent_no) AS risk_markers FROM r WHERE r <= 6 GROUP BY doc_id"
+        f"WITH {titled}, {sentence_ctes('titled')}, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY sent_no) AS r FROM sents WHERE regexp_matches(sentence, {_q(rules.RISK_WORD)})) SELECT doc_id, string_agg({snip(200)}, '|' ORDER BY sent_no) AS risk_markers FROM r WHERE r <= 6 GROUP BY doc_id"
     )
     families = " UNION ALL ".join(f"SELECT doc_id, sent_no, sentence, {_q(k)} AS signal FROM sents WHERE regexp_matches(sentence, {_q(v)})" for k, v in rules.SIGNALS.items())
     s["f11_section_signals"] = (
@@ -595,8 +618,18 @@ def sql() -> dict[str, str]:
         ", w AS (SELECT *, CASE WHEN share >= 0.85 AND len(lost) > 0 THEN 'numeric_drift' WHEN share >= 0.85 THEN 'grounded' WHEN share >= 0.6 THEN 'partially_grounded' WHEN share >= 0.35 THEN 'weakly_grounded' ELSE 'ungrounded' END AS verdict FROM v)"
         " SELECT output_id, round(share, 4) AS grounding_score, verdict, t AS claims_total, u AS claims_supported, array_to_string(lost, '|') AS invented_numbers, u || '/' || t || ' claims supported by retrieved evidence (threshold 0.55).' AS coverage_note, verdict IN ('grounded', 'partially_grounded') AS source_grounded FROM w"
     )
+    alone = f"claims AS (SELECT item_id || '-' || doc_id AS output_id, item_id || '-' || doc_id AS run_id, 0 AS claim_no, {NORM} AS claim FROM cand JOIN benchmark USING (item_id)), e AS (SELECT item_id || '-' || doc_id AS run_id, ordinal, text FROM cand JOIN chk USING (doc_id))"
+    s["l5_ground_foreign"] = f"WITH {cand}, {alone}{support.removeprefix(claims)} SELECT item_id, rank, doc_id, shared, n_terms, cand.support, round(supported.support, 4) AS claim_support, verbatim FROM cand JOIN supported ON output_id = item_id || '-' || doc_id"
+    items = "items AS (SELECT item_id, text || chr(10) || 'In total ' || (item_id * 1000 + 7) || ' readings were taken over the year.' AS text FROM benchmark)"
+    both = f"{items}, {cand.replace('FROM benchmark', 'FROM items')}, o AS (SELECT item_id AS output_id, item_id AS run_id, text AS body FROM items), e AS (SELECT item_id AS run_id, doc_id * 100000 + ordinal AS ordinal, text FROM cand JOIN chk USING (doc_id))"
+    s["l5_foreign_verdicts"] = (
+        s["g10_g11_report"].split(" SELECT output_id, round(share, 4)")[0].replace(TURNS, both).replace("doc_id // 1000 AS run_id", "doc_id AS run_id")
+        + f", ea AS (SELECT output_id, count(*) AS n FROM (SELECT output_id, unnest(lost) AS number FROM w) JOIN (SELECT DISTINCT doc_id, unnest({_numbers('text')}) AS number FROM documents) USING (number) GROUP BY 1)"
+        " SELECT item_id, coalesce(c, 0) AS candidates, coalesce(round(share, 4), 1.0) AS grounding_score, coalesce(verdict, 'no_claims') AS verdict, coalesce(t, 0) AS claims_total, coalesce(u, 0) AS claims_supported, coalesce(array_to_string(lost, '|'), '') AS invented_numbers, coalesce(ea.n, 0) AS held_elsewhere"
+        " FROM items LEFT JOIN w ON w.output_id = item_id LEFT JOIN (SELECT item_id, count(*) AS c FROM cand GROUP BY 1) USING (item_id) LEFT JOIN ea ON ea.output_id = item_id"
+    )
     s["g6_g7_claim_support"] = f"{support} SELECT output_id, claim_no, round(support, 4) AS support, verbatim FROM supported"
-    s["a10_write_tables"] = f"WITH {OUTPUTS} SELECT 'runs' AS name, count(*) AS n FROM orders UNION ALL SELECT 'outputs', count(*) FROM outputs UNION ALL SELECT 'audit_events', count(*) FROM events UNION ALL SELECT 'documents', count(*) FROM documents UNION ALL SELECT 'knowledge', count(*) FROM documents UNION ALL SELECT 'chunks', count(*) FROM (SELECT {NORM} AS body FROM documents) WHERE body <> ''"
+    s["a10_write_tables"] = f"WITH {OUTPUTS} SELECT 'runs' AS name, count(*) AS n FROM orders UNION ALL SELECT 'outputs', count(*) FROM outputs UNION ALL SELECT 'audit_events', count(*) FROM events UNION ALL SELECT 'documents', count(*) FROM documents UNION ALL SELECT 'knowledge', count(*) FROM documents UNION ALL SELECT 'chunks', count(*) FROM (WITH {chunk_ctes()} SELECT doc_id FROM chunks)"
     keyed = EMBED.replace("{keys}", "item_id")
     s["e3_hash_embed"] = f"WITH {_features('benchmark', 'item_id', 'text')}{keyed} SELECT item_id, bucket, w FROM vec"
     level_of = {"critical": 4, "high": 3, "medium": 2, "low": 1}
@@ -627,6 +660,25 @@ def sql() -> dict[str, str]:
         whens.append(f"CASE WHEN {score} >= 0.75 THEN 4 WHEN {score} >= 0.45 THEN 3 WHEN {score} > 0 THEN 1 ELSE 0 END")
         return f"['none','low','medium','high','critical'][greatest({', '.join(whens)}) + 1]"
 
-    s["c10_risk_level"] = f"SELECT doc_id, {rank('text')} AS risk_level FROM documents"
+    s["c10_risk_by_presence"] = f"SELECT doc_id, {rank('text')} AS risk_level FROM documents"
+    level = f"['none', 'low', 'medium', 'high', 'critical'][greatest(CASE WHEN {_score('text')} >= 0.75 THEN 4 WHEN {_score('text')} >= 0.45 THEN 3 WHEN {_score('text')} > 0 THEN 1 ELSE 0 END, coalesce(4 - sev, 0)) + 1]"
+    s["c10_risk_level"] = f"{normal} SELECT doc_id, {level} AS risk_level FROM src LEFT JOIN found USING (doc_id)"
+    redacted = f"red AS (SELECT doc_id, text, {_score('text')} AS score, coalesce(n, 0) AS n, coalesce(types, []) AS types, {level} AS risk_level, CASE WHEN us IS NULL THEN text ELSE {_spliced('us')} END AS clean, coalesce(len(us), 0) AS applied FROM src LEFT JOIN found USING (doc_id) LEFT JOIN used USING (doc_id))"
+    s["c14_security_columns"] = f"{normal}, {redacted} SELECT risk_level, count(*) AS documents, sum(applied)::BIGINT AS redactions, round(avg(score), 4) AS score FROM red GROUP BY 1"
+    s["c7_redact"] = (
+        f"{resolved}, exact AS (SELECT doc_id, list(c) AS ks FROM kept GROUP BY doc_id) SELECT doc_id, CASE WHEN us IS NULL THEN text ELSE {_spliced('us')} END AS text, coalesce(len(us), 0) AS applied, CASE WHEN ks IS NULL THEN text ELSE {_spliced('ks')} END AS exact FROM documents LEFT JOIN used USING (doc_id) LEFT JOIN exact USING (doc_id)"
+    )
+    families = {}
+    for name, p, _ in rules.INJECTION:
+        families.setdefault(name, []).append(f"regexp_matches(text, {_rule(p)})")
+    named = "list_sort(list_filter([" + ", ".join(f"CASE WHEN {' OR '.join(ps)} THEN {_q(name)} END" for name, ps in families.items()) + "], lambda p: p IS NOT NULL))"
+    say = rules.RECOMMENDATIONS
+    has = lambda names: "len(list_intersect(types, [" + ",".join(map(_q, names)) + "])) > 0"
+    advice = f"list_filter([CASE WHEN score >= 0.45 THEN {_q(say['injection'])} END, CASE WHEN {has(rules.CREDENTIALS)} THEN {_q(say['credential'])} END, CASE WHEN {has(rules.NATIONAL_IDS)} THEN {_q(say['national'])} END, CASE WHEN n > 0 AND NOT {has(('email', 'ip_address'))} THEN {_q(say['personal'])} END], lambda a: a IS NOT NULL)"
+    lines = f"list_transform(string_split(clean, chr(10)), lambda x: CASE WHEN {_score('x')} >= 0.5 AND {strip('x')} <> '' THEN {_q(rules.SUPPRESSED)} ELSE x END)"
+    s["c11_c12_scan_report"] = (
+        f"{normal}, {redacted}, wk AS (SELECT *, CASE WHEN score >= 0.45 THEN array_to_string({lines}, chr(10)) ELSE clean END AS working, {advice} AS advice FROM red) SELECT doc_id, score AS injection_score, array_to_string({named}, '|') AS patterns, n AS pii_count, array_to_string(types, '|') AS pii_types, applied AS redaction_count, risk_level,"
+        f" CASE WHEN len(advice) > 0 THEN array_to_string(advice, '|') ELSE {_q(say['none'])} END AS recommendations, len(list_filter(string_split(working, chr(10)), lambda x: x = {_q(rules.SUPPRESSED)})) AS suppressed_lines, sha256(working) AS working_sha FROM wk"
+    )
     s["l1_risk_summary"] = f"WITH {N}, r AS (SELECT lang AS grp, {rank('body')} AS risk_level, {_score('body')} AS score FROM n JOIN documents USING (doc_id)) SELECT grp, risk_level, count(*) AS documents, round(avg(score), 4) AS mean_score FROM r GROUP BY ROLLUP (grp, risk_level)"
     return s

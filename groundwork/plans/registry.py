@@ -14,10 +14,10 @@ from ..functions import rules
 from ..functions import text as T
 from ..operators import chunking, compose, corpus, grounding, knowledge, provenance, relational, retrieval, security, similarity, vectors
 from ..operators import runs as pipeline
-from ..sources import files
+from ..sources import exports, files, stored
 from ..sources.tables import shared_root, spread, written
 from ..streaming import jobs
-from . import oracles
+from . import models, oracles
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -179,6 +179,52 @@ def a11_export_outputs(spark, sf_dir):
     return files.export_outputs(run_outputs(spark, sf_dir), r)
 
 
+@query
+def a11_export_files(spark, sf_dir):
+    """Every answer of a conversation as a file, written by the committing writer and read back."""
+    o = _outputs_of_turns(spark, sf_dir).select(
+        "run_id", F.concat(F.lit("turn"), (F.col("output_id") % 1000).cast("string")).alias("format"), "body", F.lit(None).cast("string").alias("edited_body"), provenance.sha256(F.col("body")).alias("output_hash"),
+        F.lit(0.5).alias("grounding_score"), F.lit("approved").alias("review_state"), F.lit("2024-01-01").cast("timestamp").alias("created_at"),
+    )
+    r = o.select("run_id").distinct().select("run_id", F.lit("extractive-v1").alias("model"), F.lit("p1").alias("prompt"), provenance.sha256(F.col("run_id").cast("string")).alias("source_hash"))
+    path = _own_folder(spark)
+    exports.write_exports(files.export_outputs(o, r), path)
+    back = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("filename"), "value")
+    return back.select("filename", provenance.sha256(F.col("value")).alias("content_hash"))
+
+
+@query
+def a12_stored_retention(spark, sf_dir):
+    """Runs stored by year; what the window leaves of each year after its partitions were written again."""
+    path = _own_folder(spark)
+    stored.store(runs(spark, sf_dir).withColumn("year", F.year("created_at")), path, "year")
+    stored.retain(spark, path, "year", F.lit("1998-08-02").cast("timestamp"), 1500)
+    return spark.read.parquet(path).groupBy("year").agg(F.count(F.lit(1)).alias("n"), F.min("created_at").alias("first"))
+
+
+@query
+def a13_stored_delete(spark, sf_dir):
+    """Documents deleted from stored tables: what is left, and the tombstones in the audit log."""
+    path, of = _own_folder(spark), {"documents": run_docs(spark, sf_dir).withColumns({"file_hash": provenance.sha256(F.col("title")), "text_hash": provenance.sha256(F.col("filename"))}), "runs": runs(spark, sf_dir)}
+    for name, df in of.items():
+        stored.store(df.withColumn("part", stored.bucket()), f"{path}/{name}", "part")
+    log = stored.AuditLog(spark, f"{path}/audit")
+    stored.delete_stored(spark, path, ["runs"], of["documents"].where("doc_id % 10 = 3").select("doc_id"), F.lit("2024-01-01").cast("timestamp"), log)
+    count = lambda df, name: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n")
+    told = provenance.verify_chain(log.events()).where("valid").select(F.lit("valid entries").alias("name"), F.col("length").alias("n"))
+    return count(spark.read.parquet(f"{path}/documents"), "documents").unionByName(count(spark.read.parquet(f"{path}/runs"), "runs")).unionByName(told)
+
+
+@query
+def i4_stored_chain(spark, sf_dir):
+    """The audit log in two appends, the second from the stored heads: one chain for each user, as if appended at once."""
+    log, rows = stored.AuditLog(spark, _own_folder(spark)), audit_events(spark, sf_dir)
+    middle = F.lit(rows.agg(F.percentile_approx("created_at", 0.5)).first()[0])
+    log.append(rows.where(F.col("created_at") < middle))
+    log.append(rows.where(F.col("created_at") >= middle))
+    return provenance.verify_chain(log.events()).select("chain_id", "valid", "length")
+
+
 @query
 def a12_retention(spark, sf_dir):
     return files.apply_retention(runs(spark, sf_dir), F.lit("1998-08-02").cast("timestamp"), 3650).select("run_id", "created_at")
@@ -221,13 +267,23 @@ def b5_b6_counts(spark, sf_dir):
     return scalar(spark, sf_dir, words=T.word_count("text"), tokens=T.estimate_tokens("text"))
 
 
+def _titled(spark, sf_dir):
+    """All documents with lines of their own that look like headings, or nearly so, and risk words."""
+    kinds = ["# Report {}", "{}. Field Notes", "Chapter {} on rivers", "WATER LEVELS", "Page {}", "Key Findings", "Summary of the year", "Not a heading, as it ends here.", "1) lower case {}"]
+    first = F.element_at(F.array(*map(F.lit, kinds)), (F.col("doc_id") % len(kinds) + 1).cast("int"))
+    first = F.replace(first, F.lit("{}"), (F.col("doc_id") % 50).cast("string"))
+    last = F.concat(F.lit("The outage of unit "), F.col("doc_id").cast("string"), F.lit(" was critical. It did no harm. A breach followed."))
+    return docs(spark, sf_dir).withColumn("text", F.concat_ws("\n", first, "text", last))
+
+
 def _lines(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.posexplode(F.split(T.normalise_ws("text"), "\n")).alias("line_no", "line"))
 
 
 @query
 def b7_headings(spark, sf_dir):
-    return _lines(spark, sf_dir).withColumn("heading", T.heading_of(F.col("line"))).where("heading is not null")
+    lines = _titled(spark, sf_dir).select("doc_id", F.posexplode(F.split(T.normalise_ws("text"), "\n")).alias("line_no", "line"))
+    return lines.withColumn("heading", T.heading_of(F.col("line"))).where("heading is not null")
 
 
 @query
@@ -302,8 +358,9 @@ def c6_mask(spark, sf_dir):
 
 @query
 def c7_redact(spark, sf_dir):
-    step = docs(spark, sf_dir).select("doc_id", "text", security.resolve_pii(F.col("text")).alias("f")).withColumn("r", security.redact(F.col("text"), F.col("f")))
-    return step.select("doc_id", "r.text", "r.applied", security.redact_spans(F.col("text"), F.col("f")).alias("exact"))
+    step = docs(spark, sf_dir).select("doc_id", F.col("text").alias("source"), security.resolve_pii(F.col("text")).alias("f"))
+    step = step.withColumn("r", security.redact(F.col("source"), F.col("f"))).withColumn("exact", security.redact_spans(F.col("source"), F.col("f")))
+    return step.select("doc_id", "r.text", "r.applied", "exact")
 
 
 @query
@@ -319,6 +376,13 @@ def c9_fence(spark, sf_dir):
 
 @query
 def c10_risk_level(spark, sf_dir):
+    """C10 as all reports use it: injection score and resolved findings of the normalised text."""
+    d = docs(spark, sf_dir).select("doc_id", T.normalise_ws("text").alias("body"))
+    return d.select("doc_id", security.risk_level(security.injection_score(F.col("body")), security.resolve_pii(F.col("body"))).alias("risk_level"))
+
+
+@query
+def c10_risk_by_presence(spark, sf_dir):
     return scalar(spark, sf_dir, risk_level=security.risk_by_presence(F.col("text")))
 
 
@@ -387,6 +451,13 @@ def e4_e5_embed_table(spark, sf_dir):
     return vectors.embed_table(docs(spark, sf_dir), ["doc_id"], provider="auto").groupBy("doc_id").agg(F.count(F.lit(1)).alias("buckets"), F.round(F.sum(F.col("w") * F.col("w")), 3).alias("norm"))
 
 
+@query
+def e5_provider(spark, sf_dir):
+    """A model of the user's after one that fails to load."""
+    rows = vectors.embed_table(docs(spark, sf_dir), ["doc_id"], provider=[models.MISSING, models.LETTERS])
+    return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("letters"), F.max("w").alias("most"))
+
+
 @query
 def e6_keyword_score(spark, sf_dir):
     c = doc_chunks(spark, sf_dir)
@@ -494,7 +565,7 @@ def f14_f15_objective_level(spark, sf_dir):
 
 @query
 def f16_risk_markers(spark, sf_dir):
-    return knowledge.risk_markers(knowledge.sentence_table(docs(spark, sf_dir))).select("doc_id", joined("risk_markers").alias("risk_markers"))
+    return knowledge.risk_markers(knowledge.sentence_table(_titled(spark, sf_dir))).select("doc_id", joined("risk_markers").alias("risk_markers"))
 
 
 @query
@@ -811,7 +882,14 @@ def l5_foreign_candidates(spark, sf_dir):
 
 @query
 def l5_ground_foreign(spark, sf_dir):
-    return corpus.ground_foreign(table(spark, sf_dir, "benchmark"), docs(spark, sf_dir))
+    return corpus.ground_foreign(table(spark, sf_dir, "benchmark"), docs(spark, sf_dir)).withColumn("claim_support", F.round("claim_support", 4))
+
+
+@query
+def l5_foreign_verdicts(spark, sf_dir):
+    """Each item with a figure of its own, which no document holds by intent."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.concat("text", F.lit("\nIn total "), F.col("item_id") * 1000 + 7, F.lit(" readings were taken over the year.")).alias("text"))
+    return corpus.foreign_verdicts(items, docs(spark, sf_dir)).withColumn("invented_numbers", joined("invented_numbers"))
 
 
 @query
@@ -832,16 +910,14 @@ def _own_folder(spark) -> str:
 
 @query
 def a10_write_tables(spark, sf_dir):
-    """All six tables of a run written (outputs by review state) and read back: rows of each, and of the chunks
-    the documents that have some."""
+    """All six tables of a run written (outputs by review state) and read back: rows of each."""
     path = _own_folder(spark)
     d = docs(spark, sf_dir)
     tables = {
         "runs": runs(spark, sf_dir), "outputs": run_outputs(spark, sf_dir), "audit_events": audit_events(spark, sf_dir), "documents": d, "chunks": chunking.chunks(d), "knowledge": knowledge.build_knowledge(d),
     }
     files.write_tables(tables, path, {"outputs": ["review_state"]})
-    rows = {"chunks": F.count_distinct("doc_id")}
-    count = lambda name: spark.read.parquet(f"{path}/{name}.parquet").agg(rows.get(name, F.count(F.lit(1))).alias("n")).select(F.lit(name).alias("name"), "n")
+    count = lambda name: spark.read.parquet(f"{path}/{name}.parquet").agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n")
     return reduce(DataFrame.unionByName, map(count, tables))
 
 
@@ -854,6 +930,31 @@ def l2_stream_ingest(spark, sf_dir):
     return scans.select("doc_id", "risk_level", "pii_count").join(chunking.chunk_stats(parts), "doc_id", "left")
 
 
+@query
+def l2_stream_once(spark, sf_dir):
+    """All documents arrive twice, under other ids and in a later micro-batch: each content is ingested once."""
+    path, d = _own_folder(spark), docs(spark, sf_dir)
+    for copy in (d, d.withColumn("doc_id", -1 - F.col("doc_id"))):
+        copy.write.mode("append").parquet(f"{path}/in")
+        jobs.ingest(spark, f"{path}/in", f"{path}/tables", f"{path}/checkpoint", copies="30 days").awaitTermination()
+    ids = spark.read.parquet(f"{path}/tables/scans").select("doc_id")
+    return ids.join(d.select("doc_id", provenance.sha256(F.coalesce("text", F.lit(""))).alias("file_hash")), "doc_id").select("file_hash")
+
+
+@query
+def l4_stream_sessions(spark, sf_dir):
+    """All events in four runs of the stream, in the order of time, each restarted from the checkpoint."""
+    path, rows = _own_folder(spark), table(spark, sf_dir, "events").select("ts", "user_id", "event_type")
+    cuts = rows.agg(F.percentile_approx("ts", [0.25, 0.5, 0.75])).first()[0] or []
+    part = sum(((F.col("ts") >= F.lit(c)).cast("int") for c in cuts), F.lit(0))
+    for k in range(len(cuts) + 1):
+        rows.where(part == k).write.mode("append").parquet(f"{path}/in")
+        jobs.session_run(spark, f"{path}/in", f"{path}/out", f"{path}/checkpoint")
+    jobs.end_of_events(spark, f"{path}/in")
+    jobs.session_run(spark, f"{path}/in", f"{path}/out", f"{path}/checkpoint")
+    return spark.read.parquet(f"{path}/out")
+
+
 @query
 def l3_stream_chain(spark, sf_dir):
     """All events through the streaming audit chain, to the last one."""
