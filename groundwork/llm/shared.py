@@ -11,6 +11,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -59,6 +60,50 @@ def ranked(df: DataFrame, keys: list[str], order: str, into: str) -> DataFrame:
     )
 
 
+# --------------------------------------------------------------------------
+# ids that may be in a table
+
+_BLOCK = 1 << 16
+
+
+def _places(ids: np.ndarray, bits: int) -> np.ndarray:
+    """Two places of each id in a bitmap."""
+    first = mix(ids.astype(np.int64).view(np.uint64))
+    return np.stack([first >> np.uint64(64 - bits), mix(first) >> np.uint64(64 - bits)]).astype(np.int64)
+
+
+def id_filter(ids: DataFrame, column: str, bits: int = 26):  # noqa: ANN201
+    """A test for a column of longs: false only for ids that ``ids`` lacks (and nulls). Its bitmap of 2 ** ``bits`` bits (8 MB)
+    is put together by blocks and broadcast; where it fills up, more ids pass, so it only ever spares a join work."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.unique(_places(batch.column(0).to_numpy(zero_copy_only=False), bits))
+            cut = np.flatnonzero(np.diff(at // _BLOCK, prepend=-1))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(at[cut] // _BLOCK, pa.int32()), pa.array([x.tobytes() for x in np.split((at % _BLOCK).astype(np.uint16), cut[1:])] if len(cut) else [], pa.binary())], names=["block", "at"]
+            )
+
+    def fill(table: pa.Table) -> pa.Table:
+        own = np.zeros(_BLOCK, bool)
+        for x in table.column("at").to_pylist():
+            own[np.frombuffer(x, np.uint16)] = True
+        return pa.table({"block": table.column("block").slice(0, 1), "at": pa.array([np.packbits(own).tobytes()], pa.binary())})
+
+    known = ids.select(F.col(column).cast("long")).where(F.col(column).isNotNull())
+    bitmap = np.zeros(max(1 << bits, _BLOCK) // 8, np.uint8)
+    for r in known.mapInArrow(mark, "block int, at binary").groupBy("block").applyInArrow(fill, "block int, at binary").collect():
+        bitmap[r["block"] * _BLOCK // 8 : (r["block"] + 1) * _BLOCK // 8] = np.frombuffer(r["at"], np.uint8)
+    shared = ids.sparkSession.sparkContext.broadcast(bitmap)
+
+    def test(own: pd.Series) -> pd.Series:
+        at = _places(own.to_numpy(), bits)
+        return pd.Series(((shared.value[at >> 3] << (at & 7).astype(np.uint8)) & 128).astype(bool).all(axis=0))
+
+    passes = F.pandas_udf(test, "boolean")
+    return lambda name: F.col(name).isNotNull() & passes(F.coalesce(F.col(name).cast("long"), F.lit(0).cast("long")))
+
+
 def hex_sha256(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import partitions, powers, mix, slices, take_runs, text_bytes, word_hashes, word_runs, written
+from .shared import id_filter, partitions, powers, mix, slices, take_runs, text_bytes, word_hashes, word_runs, written
 
 WIDTH, GRAM = 50, 8
 _BASE_W, _BASE_G, _BASE_V = 0x9FB21C651E98DF25, 0xD1B54A32D192ED03, 0xA24BAED4963EE407
@@ -354,7 +354,11 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             batch = batch.where(F.col("doc_id") <= high)
         found = index.add(batch)
         flags = found if flags is None else flags.unionByName(found)
-    prints = flags.groupBy("doc_id").agg(F.collect_list("a").alias("prints"))
-    starts = written(repeated_windows(table.join(prints, "doc_id"), index.buckets, width, gram), "repeats").withColumnRenamed("p", "starts")
+    # only texts that may have flags, and then only those that may have repeats, are dealt by id
+    prints = written(flags.groupBy("doc_id").agg(F.collect_list("a").alias("prints")), "flags")
+    flagged = table.where(id_filter(prints, "doc_id")("doc_id")).join(prints, "doc_id")
+    starts = written(repeated_windows(flagged, index.buckets, width, gram), "repeats").withColumnRenamed("p", "starts")
+    hit = id_filter(starts, "doc_id")("doc_id")
+    cut = table.where(hit).join(starts, "doc_id", "left").select("doc_id", "text", "starts").unionByName(table.where(~hit).withColumn("starts", F.lit(None).cast("binary")))
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if keep_text else "")
-    return table.join(starts, "doc_id", "left").mapInArrow(_cut(width, keep_text), schema)
+    return cut.mapInArrow(_cut(width, keep_text), schema)

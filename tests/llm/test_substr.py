@@ -2,6 +2,9 @@ import hashlib
 import random
 import re
 
+from pyspark.sql import functions as F
+
+from groundwork.llm import shared
 from groundwork.llm.substr import substring_dedup
 
 
@@ -47,3 +50,14 @@ def test_equals_brute_force(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert substring_dedup(df).collect() == []
+
+
+def test_id_filter_lets_all_members_pass(spark):
+    ids = spark.range(0, 4000, 2).select((F.col("id") + (1 << 60)).alias("k"))
+    rows = spark.range(-4000, 4000).withColumn("k", F.when(F.col("id") != 7, F.col("id") + (1 << 60)))
+    passed = [r["k"] for r in rows.where(shared.id_filter(ids, "k")("k")).collect()]
+    members = {(1 << 60) + k for k in range(0, 4000, 2)}
+    assert members <= set(passed) and None not in passed and len(passed) < 2010
+    few = [r["k"] for r in rows.where(shared.id_filter(ids, "k", 10)("k")).collect()]  # a full bitmap spares nothing, and loses nothing
+    assert members <= set(few)
+    assert rows.where(shared.id_filter(ids.limit(0), "k")("k")).count() == 0
