@@ -34,7 +34,7 @@ ACCOUNT = rf"(?<![0-9{JOINT}A-Za-z+.,:/_@-])[0-9][0-9{JOINT}]{{7,19}}+(?![0-9{JO
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "iban", "account")
-#: Words that speak for a kind when they stand close before a span.
+#: Words that speak for a kind when they stand close to a span, before or after it.
 CONTEXT = {
     "email": "mail|email|e-mail|contact|correo|courriel",
     "ip": "ip|host|server|address|adresse|client",
@@ -107,10 +107,13 @@ def _matches(kind: str, searched: Column) -> Column:
 
 def _placed(kind: str, raw: Column) -> Column:
     """The matches with their places (where each begins, given where the one before it ended) and the text
-    just before them: at most ``CONTEXT_WINDOW`` characters, from the match before on."""
+    around them: at most ``CONTEXT_WINDOW`` characters on each side, as far as the matches next to it."""
     found = raw["found"]
     before = F.concat(F.array(F.lit("")), F.slice(found, F.lit(1), F.greatest(F.size(found) - 1, F.lit(0))))
     near = F.zip_with(before, F.slice(raw["gaps"], F.lit(1), F.size(found)), lambda m, g: F.struct(F.length(g).cast("bigint").alias("gap"), F.right(F.concat(m, g), F.lit(CONTEXT_WINDOW)).alias("near")))
+    following = F.concat(F.slice(found, F.lit(2), F.greatest(F.size(found) - 1, F.lit(0))), F.array(F.lit("")))
+    later = F.zip_with(F.slice(raw["gaps"], F.lit(2), F.size(found)), following, lambda g, m: F.left(F.concat(g, m), F.lit(CONTEXT_WINDOW)))
+    near = F.zip_with(near, later, lambda n, a: F.struct(n["gap"].alias("gap"), F.concat(n["near"], F.lit("|"), a).alias("near")))
     items = F.zip_with(near, found, lambda n, m: F.struct(n["gap"].alias("gap"), n["near"].alias("near"), m.alias("value")))
 
     def step(at: Column, x: Column) -> tuple[Column, Column]:

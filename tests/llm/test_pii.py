@@ -60,8 +60,15 @@ def test_iban_and_context(spark):
 
 def test_context_decides_about_bare_numbers(spark):
     rows = [(1, "my account number is 12345678901"), (2, "there are 12345678901 of them"), (3, "test account 12345678901"), (4, "passport 123-45-67890, account 1234567"), (5, "account 4111111111111111"), (6, "order 12345678901")]
+    rows += [(7, "12345678 is my account number"), (8, "12345678 is the number of my order; see account"), (9, "12345678" + " " * 41 + "account")]
     got = {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["spans"]] for r in find_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {1: [("account", 21, 32)], 2: [], 3: [], 4: [("account", 9, 21)], 5: [("card", 8, 24)], 6: []}
+    assert got == {1: [("account", 21, 32)], 2: [], 3: [], 4: [("account", 9, 21)], 5: [("card", 8, 24)], 6: [], 7: [("account", 0, 8)], 8: [], 9: []}
+
+
+def test_context_stands_on_both_sides(spark):
+    rows = [(1, "4111111111111111 (credit card)"), (2, "4111111111111111 zz"), (3, "4111111111111111 is an order"), (4, "a 4111111111111111 b 4111111111111111 credit card")]
+    got = {r["doc_id"]: [s["score"] for s in r["spans"]] for r in find_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1][0] > got[2][0] > got[3][0] and got[4] == [got[2][0], got[1][0]]  # as far as the next match
 
 
 def masked(text):
