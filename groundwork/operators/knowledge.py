@@ -6,8 +6,15 @@ work on one table of sentences and one of (document, sentence, term).
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import rules
 from ..functions.text import (
@@ -15,6 +22,7 @@ from ..functions.text import (
     extract_all,
     heading_case,
     heading_of,
+    let,
     normalise_ws,
     sentence_array,
     snippet,
@@ -63,6 +71,99 @@ def topics(scored: DataFrame, terms: DataFrame, most: int = 12) -> DataFrame:
     return ranked.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "term"))), lambda s: s["term"]).alias("topics"))
 
 
+SCORED = "array<struct<sent_no:int,sentence:string,score:double>>"
+
+
+def scored_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 12) -> DataFrame:
+    """F1 and F2 in one pass: ``doc_id, body, sentences`` (number, text, score as ``score_sentences``), ``topics`` (as
+    ``topics``). All weights are of one document, so they are summed beside its own row: no term is exploded or dealt."""
+    step = docs.select(F.col(id_col).alias("doc_id"), normalise_ws(text_col).alias("body"))
+    return _scored(step, most)
+
+
+def _scored(step: DataFrame, most: int = 12) -> DataFrame:
+    """``step`` (with ``body``) and ``sentences, topics``; its other columns pass through Python as they are, so that what
+    stands above reads them and does not work them out again."""
+    kept = step.columns
+    step = step.withColumn("s", sentence_array(F.col("body")))
+    step = step.select(*kept, "s", F.transform("s", word_count).alias("words"), F.transform("s", lambda x: F.array_distinct(content_tokens(x))).alias("terms"))
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores, best = [], []
+            for words, terms in zip(batch.column("words").to_pylist(), batch.column("terms").to_pylist(), strict=True):
+                own, mass = _weighed(words or [], terms or [])
+                scores += own
+                best.append([t for _, t in sorted((-round(m, 6), t) for t, m in mass.items())[:most]])
+            texts = batch.column("s")
+            cut = np.concatenate([[0], np.cumsum(texts.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int32)
+            number = (np.arange(cut[-1]) - np.repeat(cut[:-1], np.diff(cut))).astype(np.int32)
+            rows = pa.StructArray.from_arrays([pa.array(number), texts.flatten().cast(pa.string()), pa.array(scores, pa.float64())], names=["sent_no", "sentence", "score"])
+            cols = [*(batch.column(c) for c in kept), pa.ListArray.from_arrays(pa.array(cut), rows), pa.array(best, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(cols, names=[*kept, "sentences", "topics"])
+
+    more = StructType.fromDDL(f"sentences {SCORED}, topics array<string>")
+    return step.mapInArrow(weigh, StructType([*(step.schema[c] for c in kept), *more.fields]))
+
+
+def _weighed(words: list[int], terms: list[list[str]]) -> tuple[list[float], dict[str, float]]:
+    """The scores of a document's sentences and the mass of its terms."""
+    df = Counter(t for own in terms for t in own)
+    idf = {t: 1 + len(terms) / (1 + n) for t, n in df.items()}
+    top = max(idf.values(), default=1.0)
+    scores, mass = [], {}
+    for k, (n, held) in enumerate(zip(words, terms, strict=True)):
+        share = sum(idf[t] for t in held) / math.sqrt(len(held)) if held else 0.0
+        score = round(share * (1.0 if 8 <= n <= 45 else 0.72) * (1.22 if k == 0 else 1.10 if k < 3 else 1.0), 9)
+        scores.append(score)
+        for t in held:
+            mass[t] = mass.get(t, 0.0) + score * idf[t] / top
+    return scores, mass
+
+
+def usable_sentences(sentences: Column, headings: Column, title: Column) -> Column:
+    """F7 inside the row; ``title`` is the subject's key."""
+
+    def ok(x: Column) -> Column:
+        def run(key: Column) -> Column:
+            text = x["sentence"]
+            noise = (text == rules.SUPPRESSED) | F.array_contains(headings, key) | ((F.length(text) < 25) & ~text.rlike("[0-9]"))
+            return ~noise & ~((title != "") & (key.startswith(title) | title.startswith(key)))
+
+        return (x["score"] > 0) & let(key_of(x["sentence"]), run)
+
+    return F.filter(sentences, ok)
+
+
+def best_in_order(sentences: Column, most: int) -> Column:
+    """The ``most`` best sentences, back in the order of the text."""
+    best = F.slice(F.array_sort(F.transform(sentences, lambda x: F.struct((-x["score"]).alias("minus"), x["sent_no"].alias("sent_no"), x["sentence"].alias("sentence")))), 1, most)
+    return F.array_sort(F.transform(best, lambda x: F.struct(x["sent_no"].alias("sent_no"), x["sentence"].alias("sentence"), (-x["minus"]).alias("score"))))
+
+
+def row_summary(usable_: Column, most: int = 6) -> Column:
+    """F8 inside the row."""
+    return F.array_join(F.transform(best_in_order(usable_, most), lambda x: truncate_words(x["sentence"], 34)), " ")
+
+
+def row_key_facts(best: Column) -> Column:
+    """F9 inside the row, from the best sentences in order (a variable: it is read for each of them)."""
+    fact = lambda x: F.struct(
+        snippet(x["sentence"], 320).alias("text"), classify(x["sentence"]).alias("category"), F.round(x["score"], 4).alias("score"), x["sent_no"].alias("position"), x["sentence"].rlike(f"(?i){rules.NUMBER}").alias("has_number"),
+    )
+    once = lambda sign: F.filter(best, lambda x, i: F.array_position(sign, F.element_at(sign, i + 1)) == i + 1)
+    return F.transform(let(F.transform(best, lambda x: F.substring(key_of(x["sentence"]), 1, 90)), once), fact)
+
+
+def scored_knowledge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``row_knowledge`` with ``sentences, topics, summary, key_facts``: a row per document, without a shuffle."""
+    rows = with_row_knowledge(docs.select(F.col(id_col).alias("doc_id"), normalise_ws(text_col).alias("body")))
+    step = _scored(rows.withColumn("title", key_of(F.col("subject"))))
+    both = lambda u: F.struct(row_summary(u).alias("summary"), let(best_in_order(u, 16), row_key_facts).alias("key_facts"))
+    step = step.withColumn("_k", let(usable_sentences(F.col("sentences"), F.col("headings"), F.col("title")), both))
+    return step.select(*(c for c in step.columns if c not in ("_k", "title")), "_k.summary", "_k.key_facts")
+
+
 def indicators(text: Column) -> Column:
     """F3."""
     return F.slice(F.array_distinct(F.concat(*(extract_all(text, p) for p in rules.INDICATORS))), 1, 25)
@@ -113,14 +214,16 @@ def classify(sentence: Column) -> Column:
     )
 
 
+def with_row_knowledge(step: DataFrame) -> DataFrame:
+    """``step`` (with a column ``body``) and F3-F6, F15."""
+    step = step.withColumn("indicators", indicators(F.col("body"))).withColumn("headings", heading_keys(F.col("body")))
+    return step.withColumns({"dates": dates(F.col("body")), "figures": figures(F.col("body"), F.col("indicators")), "subject": subject(F.col("body")), "reading_level": reading_level(F.col("body"))})
+
+
 def row_knowledge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """F3-F6, F15: what needs no term weights, one row per document."""
-    step = docs.select(F.col(id_col).alias("doc_id"), normalise_ws(text_col).alias("body"))
-    step = step.withColumn("indicators", indicators(F.col("body"))).withColumn("headings", heading_keys(F.col("body")))
-    return step.select(
-        "doc_id", "body", "indicators", "headings", dates(F.col("body")).alias("dates"), figures(F.col("body"), F.col("indicators")).alias("figures"),
-        subject(F.col("body")).alias("subject"), reading_level(F.col("body")).alias("reading_level"),
-    )
+    rows = with_row_knowledge(docs.select(F.col(id_col).alias("doc_id"), normalise_ws(text_col).alias("body")))
+    return rows.select("doc_id", "body", "indicators", "headings", "dates", "figures", "subject", "reading_level")
 
 
 def usable(scored: DataFrame, rows: DataFrame) -> DataFrame:
@@ -238,19 +341,16 @@ def risk_markers(sentences: DataFrame, most: int = 6) -> DataFrame:
 def build_knowledge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep=written) -> DataFrame:
     """F17. One row per document with all of the above. Documents without sentences have empty lists.
     ``keep`` materialises the tables that several parts read."""
-    rows = keep(row_knowledge(docs, id_col, text_col))
-    sents = keep(sentence_table(docs, id_col, text_col))
-    terms = keep(sentence_terms(sents))
-    scored = keep(score_sentences(sents, terms))
-    good = usable(scored, rows)
+    rows = keep(scored_knowledge(docs, id_col, text_col))
+    sents = rows.select("doc_id", F.inline("sentences")).select("doc_id", "sent_no", "sentence")
     signals = section_signals(sents).groupBy("doc_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("signal", "sentences")))).alias("section_signals"))
-    out = rows.drop("headings")
-    for part in (topics(scored, terms), summary(good), key_facts(good), signals, entities(entity_mentions(sents, rows), rows), risk_markers(sents)):
+    out = rows.drop("headings", "sentences")
+    for part in (signals, entities(entity_mentions(sents, rows), rows), risk_markers(sents)):
         out = out.join(part, "doc_id", "left")
     empty = F.array().cast("array<string>")
     advises = F.coalesce(F.map_contains_key("section_signals", "recommendation"), F.lit(False))
     return out.select(
-        "doc_id", F.coalesce("summary", F.lit("")).alias("summary"), "subject", F.coalesce("topics", empty).alias("topics"), "key_facts", "entities", "indicators", "dates", "figures",
+        "doc_id", "summary", "subject", "topics", F.when(F.size("key_facts") > 0, F.col("key_facts")).alias("key_facts"), "entities", "indicators", "dates", "figures",
         objective(F.col("body"), advises).alias("objective"), "reading_level", F.lit("deterministic").alias("build_mode"), "section_signals", F.coalesce("risk_markers", empty).alias("risk_markers"),
     )
 

@@ -498,22 +498,15 @@ def e14_knn(spark, sf_dir):
 # ---- F. knowledge
 
 
-def _parts(spark, sf_dir):
-    d = docs(spark, sf_dir)
-    sents = written(knowledge.sentence_table(d))
-    terms = written(knowledge.sentence_terms(sents))
-    return d, sents, terms, knowledge.score_sentences(sents, terms)
-
-
 @query
 def f1_sentence_scores(spark, sf_dir):
-    return _parts(spark, sf_dir)[3].select("doc_id", "sent_no", F.round("score", 4).alias("score"))
+    rows = knowledge.scored_documents(docs(spark, sf_dir)).select("doc_id", F.inline("sentences"))
+    return rows.select("doc_id", "sent_no", F.round("score", 4).alias("score"))
 
 
 @query
 def f2_topics(spark, sf_dir):
-    _, _, terms, scored = _parts(spark, sf_dir)
-    return knowledge.topics(scored, terms).select("doc_id", joined("topics", " ").alias("topics"))
+    return knowledge.scored_documents(docs(spark, sf_dir)).where(F.size("topics") > 0).select("doc_id", joined("topics", " ").alias("topics"))
 
 
 @query
@@ -524,14 +517,12 @@ def f3_f6_row_knowledge(spark, sf_dir):
 
 @query
 def f7_f8_summary(spark, sf_dir):
-    d, _, _, scored = _parts(spark, sf_dir)
-    return knowledge.summary(knowledge.usable(scored, knowledge.row_knowledge(d)))
+    return knowledge.scored_knowledge(docs(spark, sf_dir)).where(F.size("key_facts") > 0).select("doc_id", "summary")
 
 
 @query
 def f9_f10_key_facts(spark, sf_dir):
-    d, _, _, scored = _parts(spark, sf_dir)
-    return knowledge.key_facts(knowledge.usable(scored, knowledge.row_knowledge(d))).select("doc_id", F.inline("key_facts"))
+    return knowledge.scored_knowledge(docs(spark, sf_dir)).select("doc_id", F.inline("key_facts"))
 
 
 @query
