@@ -345,11 +345,21 @@ def sql() -> dict[str, str]:
     taken = "[" + ",".join(map(_q, [*rules.STOP_WORDS, *rules.NON_ENTITIES, *rules.MONTHS])) + "]"
     mentions = (
         f"WITH {sentence_ctes()}, {SUBJECT}, ei AS (SELECT doc_id, subject, {found} AS i0 FROM subj), ej AS (SELECT doc_id, {key_of('subject')} AS title, ({unique('i0')})[1:25] AS ind FROM ei)"
-        f", ru AS (SELECT doc_id, unnest(regexp_extract_all({ascii_}, {_q(rules.PROPER_NOUN)})) AS run FROM sents), wo AS (SELECT doc_id, list_filter(regexp_split_to_array(regexp_replace(run, '^[ .,\\-]+|[ .,\\-]+$', '', 'g'), '\\s+'), lambda w: w <> '') AS words FROM ru)"
-        f", gd AS (SELECT doc_id, words, list_filter(range(1, len(words) + 1), lambda k: NOT list_contains({STOP}, lower(words[k]))) AS good FROM wo), nm AS (SELECT doc_id, array_to_string(words[good[1]:good[-1]], ' ') AS name FROM gd WHERE len(good) > 0)"
-        f", ok AS (SELECT nm.doc_id, name FROM nm JOIN ej USING (doc_id) LEFT JOIN heads USING (doc_id) WHERE len(string_split(name, ' ')) <= 4 AND len(name) >= 3 AND NOT list_contains({taken}, lower(name)) AND NOT list_contains(coalesce(headings, []), lower(name)) AND lower(name) <> title AND len(list_filter(ind, lambda x: contains(lower(x), lower(name)) OR contains(lower(name), lower(x)))) = 0)"
-        ", mentions AS (SELECT doc_id, name, count(*) AS mentions FROM ok GROUP BY ALL)"
-    )
+        f", ru AS (SELECT doc_id, sent_no, sentence, unnest(regexp_extract_all({ascii_}, {_q(rules.PROPER_NOUN)})) AS run FROM sents), wo AS (SELECT doc_id, sent_no, sentence, list_filter(regexp_split_to_array(regexp_replace(run, '^[ .,\\-]+|[ .,\\-]+$', '', 'g'), '\\s+'), lambda w: w <> '') AS words FROM ru)"
+        f", gd AS (SELECT doc_id, sent_no, sentence, words, list_filter(range(1, len(words) + 1), lambda k: NOT list_contains({STOP}, lower(words[k]))) AS good FROM wo), nm AS (SELECT doc_id, sent_no, sentence, array_to_string(words[good[1]:good[-1]], ' ') AS name FROM gd WHERE len(good) > 0)"
+        f", ok AS (SELECT nm.doc_id, name, title, sent_no, sentence FROM nm JOIN ej USING (doc_id) LEFT JOIN heads USING (doc_id) WHERE len(string_split(name, ' ')) <= 4 AND len(name) >= 3 AND NOT list_contains({taken}, lower(name)) AND NOT list_contains(coalesce(headings, []), lower(name)) AND lower(name) <> title AND len(list_filter(ind, lambda x: contains(lower(x), lower(name)) OR contains(lower(name), lower(x)))) = 0)"
+        ", mentions AS (SELECT doc_id, name, count(*) AS mentions, any_value(title) AS title, min_by(sentence, sent_no) AS sentence FROM ok GROUP BY doc_id, name)"
+    )
+    # names by (mentions, name): one inside a kept name goes; kept ones are told by their lower case
+    keeps = "(contains(x.all[1].name, ' ') OR x.all[1].mentions >= 2 OR (x.all[1].name = upper(x.all[1].name) AND x.all[1].name <> lower(x.all[1].name)))"
+    entities = (
+        f"{mentions}, el AS (SELECT doc_id, list({{'all': [{{'name': name, 'mentions': mentions, 'title': title, 'sentence': sentence}}]}} ORDER BY mentions DESC, name) AS es FROM mentions GROUP BY doc_id)"
+        f", ef AS (SELECT doc_id, list_reduce(es, lambda acc, x: CASE WHEN len(acc.all) < 18 AND {keeps} AND len(list_filter(acc.all, lambda a: contains(lower(a.name), lower(x.all[1].name)))) = 0 THEN {{'all': list_concat(acc.all, x.all)}} ELSE acc END, {{'all': list_filter(es[1].all, lambda a: false)}}).all AS ks FROM el)"
+        ", ents AS (SELECT doc_id, unnest(ks) AS e FROM ef)"
+    )
+    kinds_ = f"CASE WHEN regexp_matches(e.name, {_q(rules.TITLE_SIGNAL)}) OR (e.title <> '' AND contains(e.title, lower(e.name))) THEN 'document' WHEN regexp_matches(e.name, {_q(rules.ORGANISATION)}) THEN 'organisation' WHEN regexp_matches(e.name, {_q(rules.PRODUCT)}) THEN 'product' ELSE 'term' END"
+    cased = "CASE WHEN e.name = upper(e.name) AND len(e.name) > 3 THEN array_to_string(list_transform(string_split(lower(e.name), ' '), lambda w: upper(substr(w, 1, 1)) || substr(w, 2)), ' ') ELSE upper(substr(e.name, 1, 1)) || substr(e.name, 2) END"
+    s["f12_f13_entities"] = f"{entities} SELECT doc_id, {cased} AS name, e.mentions AS mentions, {kinds_} AS kind, {snippet('e.sentence', 160)} AS context FROM ents"
     s["f12_entity_mentions"] = f"{mentions} SELECT doc_id, name, mentions FROM mentions"
     cut = f"CASE WHEN {words('sentence')} <= 34 THEN sentence ELSE regexp_replace(array_to_string(list_filter(regexp_split_to_array(sentence, '\\s+'), lambda w: w <> '')[1:34], ' '), '[,;:]+$', '') || '…' END"
     best = lambda n: f"{USABLE}, best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, sent_no) AS r FROM usable) WHERE r <= {n})"
@@ -471,6 +481,14 @@ def sql() -> dict[str, str]:
         f"WITH {N} SELECT doc_id, CASE WHEN regexp_matches({low}, {_q(rules.URGENT)}) THEN 'escalate' WHEN regexp_matches({low}, {_q(rules.FINDINGS)}) THEN 'report' WHEN regexp_matches({low}, {_q(rules.AWARENESS)}) THEN 'awareness' ELSE 'inform' END AS objective,"
         f" CASE WHEN {level} THEN 'technical' ELSE 'general' END AS reading_level FROM n"
     )
+    fact = snippet("sentence", 320)
+    s["f17_knowledge"] = (
+        f"WITH {sentence_ctes()}{TERMS}{SCORES}, {SUBJECT}{USABLE}, rk AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, sent_no) AS r FROM usable), su AS (SELECT doc_id, string_agg({cut}, ' ' ORDER BY sent_no) AS summary FROM rk WHERE r <= 6 GROUP BY doc_id)"
+        f", oc AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, substr({key_of('sentence')}, 1, 90) ORDER BY sent_no) AS o FROM rk WHERE r <= 16) WHERE o = 1), fa AS (SELECT doc_id, count(*) AS n_facts, least(6, count(*) FILTER (regexp_matches({fact}, {_q(rules.RISK_WORD)}))) AS n_risks FROM oc GROUP BY doc_id)"
+        f", tp AS ({s['f2_topics']}), en AS ({entities} SELECT doc_id, len(ks) AS n_entities FROM ef), ad AS (SELECT DISTINCT doc_id, true AS advises FROM sents WHERE regexp_matches(sentence, {_q(rules.SIGNALS['recommendation'])}))"
+        f" SELECT doc_id, coalesce(summary, '') AS summary, subject, coalesce(topics, '') AS topics, coalesce(n_facts, 0) AS n_facts, n_entities, CASE WHEN advises THEN 'advise' WHEN regexp_matches({low}, {_q(rules.URGENT)}) THEN 'escalate' WHEN regexp_matches({low}, {_q(rules.FINDINGS)}) THEN 'report' WHEN regexp_matches({low}, {_q(rules.AWARENESS)}) THEN 'awareness' ELSE 'inform' END AS objective,"
+        f" CASE WHEN {level} THEN 'technical' ELSE 'general' END AS reading_level, coalesce(n_risks, 0) AS n_risks FROM subj LEFT JOIN su USING (doc_id) LEFT JOIN fa USING (doc_id) LEFT JOIN tp USING (doc_id) LEFT JOIN en USING (doc_id) LEFT JOIN ad USING (doc_id)"
+    )
     skip = f"(regexp_matches(line, {_q(rules.SKIP_LINE)}) OR regexp_matches({strip('line')}, {_q(rules.METADATA_LINE)}) OR regexp_matches({strip('line')}, {_q(rules.STAT_LINE)}))"
     stat = strip(f"regexp_extract({strip('line')}, {_q(rules.STAT_LINE)}, 1)")
     oline = "ol AS (SELECT output_id, run_id, generate_subscripts(string_split(body, chr(10)), 1) - 1 AS line_no, unnest(string_split(body, chr(10))) AS line FROM o)"
