@@ -135,45 +135,74 @@ def map_dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.map_entries(a), F.lit(0.0), lambda s, e: s + e["value"] * F.coalesce(F.try_element_at(b, e["key"]), F.lit(0.0)))
 
 
-def knn(base: DataFrame, k: int, every: int = 50, id_col: str = "vec_id", vector_col: str = "embedding", block: int = 2048) -> DataFrame:
+#: Queries that are broadcast at once, and rows that meet them at once (64 MB of scores).
+QUERIES, ROWS = 8192, 1024
+
+
+class _Nearest:
+    """The best ``k`` rows of each query so far, nearest first, ties to the smaller id."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int):
+        self.ids, self.vectors, self.k = ids, vectors, k
+        self.score, self.at = np.full((len(ids), k), -np.inf), np.full((len(ids), k), np.iinfo(np.int64).max)
+
+    def meet(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+        new = self.vectors @ vectors.T
+        new[self.ids[:, None] == ids[None, :]] = -np.inf
+        most = min(self.k, new.shape[1])
+        least = np.maximum(np.partition(new, -most, axis=1)[:, -most], self.score[:, -1])
+        for q in np.flatnonzero(new.max(axis=1) >= self.score[:, -1]).tolist():
+            near = np.flatnonzero(new[q] >= least[q])
+            score, at = np.concatenate([self.score[q], new[q, near]]), np.concatenate([self.at[q], ids[near]])
+            best = np.lexsort((at, -score))[: self.k]
+            self.score[q], self.at[q] = score[best], at[best]
+
+    def told(self) -> pa.RecordBatch:
+        row, place = np.nonzero(np.isfinite(self.score))
+        return pa.RecordBatch.from_arrays([pa.array(self.ids[row]), pa.array(self.at[row, place]), pa.array(self.score[row, place])], names=["query_id", "neighbour_id", "score"])
+
+
+def _unit(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(dimension, ids, vectors of length 1) of the rows of each dimension."""
+    size = batch.column("v").value_lengths().to_numpy(zero_copy_only=False)
+    for dims in np.unique(size).tolist():
+        own = batch.filter(pa.array(size == dims))
+        m = own.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
+        yield dims, own.column("id").to_numpy(zero_copy_only=False), m / np.sqrt((m * m).sum(axis=1))[:, None]
+
+
+def knn(base: DataFrame, k: int, every: int = 50, id_col: str = "vec_id", vector_col: str = "embedding", queries: int = QUERIES) -> DataFrame:
     """E14. Exact nearest rows by cosine of each row whose id is divisible by ``every``.
 
-    All rows meet the queries in blocks: a task multiplies one block of rows with one chunk of
-    queries and keeps each query's best ``k``, so what leaves it is bounded. Null or zero vectors, and those
+    Queries are broadcast in lots of at most about ``queries``; the rows stream past each lot, and a task tells each query's
+    best ``k`` only, so no row is copied or dealt. Null or zero vectors, and those
     with null or non-finite components, take no part; only vectors of the query's dimension are candidates.
     """
     x = F.col("v")
     rows = base.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     finite = F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) != float("inf")))
-    rows = rows.where(F.col("id").isNotNull() & x.isNotNull() & F.coalesce(finite, F.lit(False)) & F.exists(x, lambda e: e != 0)).withColumn("dims", F.size("v"))
-    n, nq = rows.agg(F.count(F.lit(1)), F.count_if(F.col("id") % every == 0)).first()
-    blocks, chunks = -(-n // block) or 1, -(-nq // block) or 1
-    spread = lambda parts: F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")
-    own = rows.select("id", "v", "dims", spread(blocks).alias("b"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("c"), F.lit(False).alias("q"))
-    asked = rows.where(F.col("id") % every == 0).select("id", "v", "dims", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), spread(chunks).alias("c"), F.lit(True).alias("q"))
-
-    def meet(part: pa.Table) -> pa.Table:
-        query, ids = part.column("q").to_numpy(), part.column("id").to_numpy()
-        flat = part.column("v").combine_chunks()
-        m = flat.flatten().to_numpy().reshape(len(ids), -1)
-        m = m / np.sqrt((m * m).sum(axis=1))[:, None]
-        score = m[query] @ m[~query].T
-        qid, bid = ids[query], ids[~query]
-        score[qid[:, None] == bid[None, :]] = -np.inf
-        out_q, out_b, out_s = [], [], []
-        for i in range(len(qid)):
-            if score.shape[1]:
-                s = score[i]
-                rough = np.flatnonzero(s >= np.partition(s, -min(k, len(s)))[-min(k, len(s))])
-                best = rough[np.lexsort((bid[rough], -s[rough]))[:k]]
-                best = best[np.isfinite(s[best])]
-                out_q.append(np.full(len(best), qid[i]))
-                out_b.append(bid[best])
-                out_s.append(s[best])
-        cat = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.empty(0, kind)
-        return pa.table({"query_id": cat(out_q, "int64"), "neighbour_id": cat(out_b, "int64"), "score": cat(out_s, "float64")})
-
-    found = own.unionByName(asked).groupBy("b", "c", "dims").applyInArrow(meet, "query_id long, neighbour_id long, score double")
+    rows = rows.where(F.col("id").isNotNull() & x.isNotNull() & F.coalesce(finite, F.lit(False)) & F.exists(x, lambda e: e != 0))
+    asked = rows.where(F.col("id") % every == 0)
+    lots = -(-asked.count() // queries) or 1
+    schema, found = "query_id long, neighbour_id long, score double", None
+    for lot in range(lots):
+        own = asked if lots == 1 else asked.where(F.pmod(F.xxhash64("id"), F.lit(lots)) == lot)
+        shared = base.sparkSession.sparkContext.broadcast([x for b in own.toArrow().to_batches() for x in _unit(b)])
+
+        def meet(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+            of: dict[int, list[_Nearest]] = {}
+            for dims, ids, m in shared.value:
+                of.setdefault(dims, []).append(_Nearest(ids, m, k))
+            for batch in batches:
+                for start in range(0, batch.num_rows, ROWS):
+                    for dims, ids, m in _unit(batch.slice(start, ROWS)):
+                        for nearest in of.get(dims, ()):
+                            nearest.meet(ids, m)
+            for all_ in of.values():
+                yield from (n.told() for n in all_)
+
+        part = rows.mapInArrow(meet, schema)
+        found = part if found is None else found.unionByName(part)
     found = found.withColumn("score", F.round("score", 6))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "neighbour_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "neighbour_id", "score")

@@ -165,6 +165,20 @@ def test_knn_leaves_out_what_is_no_vector(spark):
     assert got == [(0, 1, 1), (0, 2, 2), (0, 3, 3), (50, 1, 40)]
 
 
+def test_knn_in_lots_equals_brute_force(spark):
+    rng = random.Random(8)
+    rows = [(k, [rng.choice([-1.0, 0.5, 2.0]) for _ in range(3)]) for k in range(300)]  # many ties
+    near = {}
+    for q, v in rows[::10]:
+        cos = lambda w, v=v: round(sum(a * b for a, b in zip(v, w, strict=True)) / (sum(a * a for a in v) * sum(b * b for b in w)) ** 0.5, 6)
+        near[q] = sorted((-cos(w), k) for k, w in rows if k != q)[:4]
+    for queries in (7, 8192):
+        got = {}
+        for r in vectors.knn(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5), 4, 10, queries=queries).collect():
+            got.setdefault(r["query_id"], []).append((r["rank"], -r["score"]))
+        assert {q: [s for _, s in sorted(x)] for q, x in got.items()} == {q: [s for s, _ in x] for q, x in near.items()}
+
+
 def test_long_chain_is_folded_without_a_list(spark):
     n = 25_000
     events = spark.range(n).selectExpr("if(id % 50 = 0, 2L, 1L) as chain_id", "id as event_id", "'a' as action", "timestamp_seconds(1700000000 + id) as created_at")
