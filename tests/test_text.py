@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from groundwork.functions import text as T
+from groundwork.plans import registry
 
 REPORT = """Incident Note 44
 Confidential
@@ -52,3 +53,15 @@ def test_idf_and_cosine(spark):
     assert got == {(1, "alpha"): 1 + 2 / 3, (1, "beta"): 2.0, (2, "gamma"): 1.5}
     row = spark.range(1).select(T.cosine(F.array(F.lit(1.0), F.lit(0.0)), F.array(F.lit(1.0), F.lit(1.0), F.lit(9.0))), T.cosine(F.array(F.lit(0.0)), F.array(F.lit(1.0)))).first()
     assert abs(row[0] - 0.5**0.5) < 1e-12 and row[1] == 0
+
+
+def test_capitals_keep_their_length(spark):
+    texts = ["ßheit am fluss", "ßaal", "ﬁeld", "ÜBER DEN FLUSS", "straße", "ABCß", "ab c"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(T.heading_case(F.col("t"))).collect()
+    assert [r[0] for r in rows] == ["ẞheit am fluss", "ẞaal", "ﬁeld", "Über Den Fluss", "Straße", "ABCß", "Ab c"]
+
+
+def test_snippet_of_a_null_text_is_null(spark, tmp_path):
+    spark.createDataFrame([(1, None), (2, "two  words")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r.doc_id: (r.snippet, r.words) for r in registry.queries()["b12_b14_shaping"](spark, str(tmp_path)).collect()}
+    assert rows == {1: (None, None), 2: ("two words", "two  words")}
