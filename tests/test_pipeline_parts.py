@@ -1,7 +1,9 @@
 import hashlib
+import math
 import random
 from datetime import datetime
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from groundwork.operators import chunking, compose, corpus, grounding, knowledge, provenance, relational, retrieval, vectors
@@ -209,3 +211,19 @@ def test_runs_from_request_to_verdict(spark):
     assert len(rows) == 4 and rows["1-advisory"]["body"] == got[1, "advisory"]["body"] and rows["1-advisory"]["version"] == 2
     assert rows["1-advisory"]["review_state"] == "pending_review" and rows["1-advisory"]["grounding_score"] == got[1, "advisory"]["grounding_score"]
     assert all((r["body"], r["version"], r["grounding_score"]) == ("stale", 1, 0.1) for k, r in rows.items() if k != "1-advisory")
+
+
+def test_weights_of_a_batch_equal_those_of_each_document(spark):
+    pick = random.Random(9)
+    words = [[pick.randrange(0, 60) for _ in range(pick.randrange(0, 7))] for _ in range(40)]
+    terms = [[sorted({pick.choice("abcdefghijklmnop") for _ in range(pick.randrange(0, 9))}) for _ in own] for own in words]
+    cut, scores, best = knowledge._weighed(pa.array(words, pa.list_(pa.int32())), pa.array(terms, pa.list_(pa.list_(pa.string()))), 5)
+    for d, (lengths, sents) in enumerate(zip(words, terms, strict=True)):
+        idf = {t: 1 + len(sents) / (1 + sum(t in s for s in sents)) for s in sents for t in s}
+        mass, own = {}, []
+        for k, (n, held) in enumerate(zip(lengths, sents, strict=True)):
+            own.append(round(sum(idf[t] for t in held) / math.sqrt(len(held) or 1) * (1.0 if 8 <= n <= 45 else 0.72) * (1.22 if k == 0 else 1.10 if k < 3 else 1.0), 9))
+            for t in held:
+                mass[t] = mass.get(t, 0.0) + own[-1] * idf[t] / max(idf.values())
+        assert abs(scores[cut[d] : cut[d + 1]] - own).max(initial=0) < 2e-9
+        assert best[d].as_py() == [t for _, t in sorted((-round(m, 6), t) for t, m in mass.items())[:5]]

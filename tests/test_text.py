@@ -1,3 +1,6 @@
+import random
+import re
+
 from pyspark.sql import functions as F
 
 from groundwork.functions import text as T
@@ -71,3 +74,16 @@ def test_two_places_round_the_binary_value(spark):
     values = [k / 1000 for k in range(-1100, 1101)] + [0.125, 0.375, 0.6149995, 0.004999, 1e-9, 7.995, 12.345]
     rows = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k int, v double").select("k", T.two_places(F.col("v"))).collect()
     assert {r[0]: r[1] for r in rows if values[r[0]] < 8} == {k: f"{v:.2f}" for k, v in enumerate(values) if v < 8}
+
+
+def test_normalising_equals_its_rules_one_by_one(spark):
+    pick = random.Random(5)
+    texts = ["".join(pick.choice(["a", "B", "é", " ", " ", "\t", "\n", "\n", "\r", "-", "\x07", "\x0b", "\xa0", "…", "ﬁ", "！"]) for _ in range(pick.randrange(0, 40))) for _ in range(600)]
+
+    def plain(t):
+        t = re.sub("\r\n?", "\n", t).translate({0xA0: " ", 0x2026: "...", 0xFB01: "fi", 0xFF01: "!"})
+        t = re.sub(r"([^\W])-\n([^\W])", r"\1\2", re.sub(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", " ", t))
+        return re.sub("\n{3,}", "\n\n", re.sub(" ?\n ?", "\n", re.sub("[ \t]+", " ", t))).strip(" \n")
+
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", T.normalise_ws("t")).collect()
+    assert {r[0]: r[1] for r in rows} == {k: plain(t) for k, t in enumerate(texts)}
