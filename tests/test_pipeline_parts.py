@@ -1,11 +1,15 @@
 import hashlib
 import math
 import random
+import re
+from collections import Counter
 from datetime import datetime
 
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
+from groundwork.functions import rules
 from groundwork.operators import chunking, compose, corpus, grounding, knowledge, provenance, relational, retrieval, vectors
 from groundwork.operators import runs as pipeline
 from groundwork.plans import registry
@@ -227,3 +231,26 @@ def test_weights_of_a_batch_equal_those_of_each_document(spark):
                 mass[t] = mass.get(t, 0.0) + own[-1] * idf[t] / max(idf.values())
         assert abs(scores[cut[d] : cut[d + 1]] - own).max(initial=0) < 2e-9
         assert best[d].as_py() == [t for _, t in sorted((-round(m, 6), t) for t, m in mass.items())[:5]]
+
+
+def test_hashed_vectors_are_made_without_a_shuffle(spark):
+    texts = ["ab cd ab_cd the ab", None, "12", "The the of", "x_y_z x_y z", "one two three one two"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string").coalesce(1)
+    made = vectors.hash_embed(rows, ["id"])
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    got = {}
+    for r in made.collect():
+        got.setdefault(r["id"], {})[r["bucket"]] = r["w"]
+    want = {}
+    for k, text in enumerate(texts):
+        words = [w.lower() for w in re.findall(rules.TOKEN, text or "")]
+        sums = Counter()
+        for f, n in Counter(words + [f"{a}_{b}" for a, b in zip(words, words[1:], strict=False)]).items():
+            for lead, half in (("", 1), ("x", 0.5)):
+                h = hashlib.md5((lead + f).encode()).hexdigest()
+                w = (1 + math.log(n)) * (0.45 if f in rules.STOP_WORDS else 1) * (0.6 if "_" in f else 1) * half
+                sums[int(h[:8], 16) % vectors.DIMS] += w if h[8] >= "8" else -w
+        norm = math.sqrt(sum(x * x for x in sums.values()))
+        if sums:
+            want[k] = {b: pytest.approx(x / norm, abs=1.1e-6) for b, x in sums.items()}
+    assert got == want
