@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from groundwork.functions import text as T
-from groundwork.operators import compose, grounding, knowledge, retrieval, vectors
+from groundwork.operators import compose, grounding, knowledge, relational, retrieval, vectors
 
 
 def plan(df):
@@ -90,3 +90,12 @@ def test_rated_without_any_terms():
     none = pa.array([[]], pa.list_(pa.string()))
     row, unit, score = retrieval._rated(none, pa.array([[[]]], pa.list_(pa.list_(pa.string()))))
     assert len(row) == len(unit) == len(score) == 0
+
+
+def test_formats_are_compared_inside_the_run(spark):
+    rows = [(1, "a", ["1,200", "5", "5"]), (1, "b", ["1200"]), (1, "b", ["7"]), (1, "c", []), (2, "a", None), (3, "a", [f"{k:03d}" for k in range(50)]), (None, "a", ["1"])]
+    got = relational.compare_formats(spark.createDataFrame(rows, "run_id long, format string, numbers array<string>"), F.col("numbers"))
+    assert "Window" not in plan(got) and "Join" not in plan(got)
+    assert {(r.run_id, r.format): (r.shared, r.divergent, r.only_here) for r in got.collect()} == {
+        (1, "a"): ([], ["1200", "5"], ["5"]), (1, "b"): ([], ["1200", "7"], ["7"]), (1, "c"): ([], [], []), (2, "a"): ([], [], []), (3, "a"): ([f"{k:03d}" for k in range(40)], [], []),
+    }
