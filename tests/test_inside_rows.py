@@ -99,3 +99,22 @@ def test_formats_are_compared_inside_the_run(spark):
     assert {(r.run_id, r.format): (r.shared, r.divergent, r.only_here) for r in got.collect()} == {
         (1, "a"): ([], ["1200", "5"], ["5"]), (1, "b"): ([], ["1200", "7"], ["7"]), (1, "c"): ([], [], []), (2, "a"): ([], [], []), (3, "a"): ([f"{k:03d}" for k in range(40)], [], []),
     }
+
+
+def test_entities_signals_and_risks_inside_the_row(spark):
+    text = "Acme Corp met The Border Agency. Then Acme Corp paid.\n\nNASA saw a severe outage; the Border Agency did not. We recommend that NASA and Zeta act. Beta lost."
+    docs = spark.createDataFrame([(1, text), (2, ""), (3, None), (4, "Plain words only here.")], "doc_id long, text string")
+    rows = knowledge.build_knowledge(docs)
+    assert not any(x in plan(rows) for x in ("Aggregate", "Join", "Generate", "Window", "Repartition"))
+    got = {r.doc_id: r for r in rows.collect()}
+    assert [(e["name"], e["mentions"]) for e in got[1].entities] == [("Acme Corp", 2), ("Border Agency", 2), ("Nasa", 2)]
+    assert list(got[1].section_signals) == ["recommendation", "timeline"] and len(got[1].risk_markers) == 1
+    assert got[2].entities is got[2].section_signals is None and got[4].risk_markers == []
+    mentions = knowledge.entity_mentions(docs)
+    assert "Aggregate" not in plan(mentions) and "Join" not in plan(mentions) and "Filter" not in plan(mentions)
+    assert {(r.name, r.mentions, r.sent_no) for r in mentions.collect() if r.doc_id == 1} == {("Acme Corp", 2, 0), ("Border Agency", 2, 0), ("NASA", 2, 2), ("Zeta", 1, 3), ("Beta", 1, 4)}
+
+
+def test_counted_runs(spark):
+    rows = spark.createDataFrame([(["a", "a", "b", "c", "c", "c"],), ([],), (["x"],)], "x array<string>").select(T.counted(F.col("x"), lambda v: v, lambda v, n: F.struct(v.alias("v"), n.alias("n"))).alias("x"))
+    assert [[tuple(s) for s in r.x] for r in rows.collect()] == [[("a", 2), ("b", 1), ("c", 3)], [], [("x", 1)]]
