@@ -58,6 +58,13 @@ def test_idf_and_cosine(spark):
     assert abs(row[0] - 0.5**0.5) < 1e-12 and row[1] == 0
 
 
+def test_idf_inside_the_row(spark):
+    rows = spark.createDataFrame([(1, ["alpha beta", "alpha alpha"]), (2, ["gamma"]), (3, []), (4, ["the of"])], "doc_id long, x array<string>")
+    listed = rows.select("doc_id", F.inline(T.idf_list(F.col("x"))))
+    assert "Aggregate" not in listed._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.doc_id, r.term): (r.df, r.idf) for r in listed.collect()} == {(1, "alpha"): (2, 1 + 2 / 3), (1, "beta"): (1, 2.0), (2, "gamma"): (1, 1.5)}
+
+
 def test_capitals_keep_their_length(spark):
     texts = ["ßheit am fluss", "ßaal", "ﬁeld", "ÜBER DEN FLUSS", "straße", "ABCß", "ab c"]
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select(T.heading_case(F.col("t"))).collect()
