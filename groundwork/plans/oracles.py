@@ -647,6 +647,8 @@ def sql() -> dict[str, str]:
         " FROM items LEFT JOIN w ON w.output_id = item_id LEFT JOIN (SELECT item_id, count(*) AS c FROM cand GROUP BY 1) USING (item_id) LEFT JOIN ea ON ea.output_id = item_id"
     )
     s["g6_g7_claim_support"] = f"{support} SELECT output_id, claim_no, round(support, 4) AS support, verbatim FROM supported"
+    for name in ("g6_g7_claim_support", "g9_judged_claims", "g10_g11_report"):  # all claims
+        s[name] = s[name].replace(" WHERE claim_no <= 60", "")
     s["a10_write_tables"] = f"WITH {OUTPUTS} SELECT 'runs' AS name, count(*) AS n FROM orders UNION ALL SELECT 'outputs', count(*) FROM outputs UNION ALL SELECT 'audit_events', count(*) FROM events UNION ALL SELECT 'documents', count(*) FROM documents UNION ALL SELECT 'knowledge', count(*) FROM documents UNION ALL SELECT 'chunks', count(*) FROM (WITH {chunk_ctes()} SELECT doc_id FROM chunks)"
     keyed = EMBED.replace("{keys}", "item_id")
     s["e3_hash_embed"] = f"WITH {_features('benchmark', 'item_id', 'text')}{keyed} SELECT item_id, bucket, w FROM vec"
