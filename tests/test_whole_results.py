@@ -1,6 +1,8 @@
+import duckdb
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from groundwork.operators import grounding
+from groundwork.operators import grounding, knowledge
 from groundwork.plans import oracles
 
 
@@ -14,3 +16,11 @@ def test_all_claims_are_checked(spark):
     assert grounding.claims(outs, most=grounding.MOST_CLAIMS).agg(F.max("claim_no")).first()[0] == 60
     sql = oracles.sql()
     assert not any("claim_no <= 60" in sql[q] for q in ("g6_g7_claim_support", "g9_judged_claims", "g10_g11_report"))
+
+
+def test_weights_round_halves_as_sql_does():
+    # 1023 of 1025 sentences hold the term: 1 + 1025 / 1024 ends in 5 at the tenth decimal
+    held = [["common"]] * 1023 + [[], []]
+    _, scores, _ = knowledge._weighed(pa.array([[10] * 1025], pa.list_(pa.int32())), pa.array([held], pa.list_(pa.list_(pa.string()))), 12)
+    asked = "SELECT round(sum(x) * 1.0::DOUBLE, 9) FROM (SELECT 1 + 1025 / (1 + 1023) AS x)"
+    assert scores[500] == duckdb.sql(asked).fetchall()[0][0] == 2.000976563
