@@ -1,8 +1,10 @@
+import hashlib
+
 import duckdb
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from groundwork.operators import grounding, knowledge
+from groundwork.operators import grounding, knowledge, vectors
 from groundwork.plans import oracles, registry
 
 
@@ -49,3 +51,19 @@ def test_an_address_before_an_account_number_is_no_card(spark, tmp_path):
     # 33 and 1059743005346 together pass the Luhn check, neither does alone
     got, wanted = both(spark, tmp_path, "l1_risk_summary", ["host 10.20.30.33 1059743005346 x", "pay 4111111111111111 now", "calm", None])
     assert got == wanted and ("en", "medium", 1, 0.0) in got and ("en", "critical", 1, 0.0) in got
+
+
+def test_features_are_hashed_as_md5_does():
+    names = ["a_b", "x", "Wort", "é" * 27, "q" * 54, "q" * 55, "z" * 56, "z" * 200, *(f"w{k}_v{k % 7}" for k in range(5000))]
+    for lead in (b"", b"x"):
+        bucket, sign = vectors._hashes(pa.array(["cut off", *names])[1:], lead, 512)
+        digests = [hashlib.md5(lead + n.encode()).hexdigest() for n in names]
+        assert bucket.tolist() == [int(d[:8], 16) % 512 for d in digests]
+        assert sign.tolist() == [1.0 if d[8] >= "8" else -1.0 for d in digests]
+
+
+def test_no_feature_is_a_call_of_its_own(monkeypatch):
+    calls = []
+    monkeypatch.setattr(vectors.hashlib, "md5", lambda *a, **k: calls.append(a) or hashlib.new("md5", a[0]))
+    row, bucket, x = vectors.vectors_of(pa.array([["ab", "cd", "ab"], [], None, ["ab"]], pa.list_(pa.string())))
+    assert not calls and set(row.tolist()) == {0, 3} and len(bucket) == len(x)
